@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Let the executors import this package, once a session; Spark serves the archive to them."""
+    context = spark.sparkContext
+    if getattr(context, "_hearthline_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    if package.is_dir():
+        archive = Path(tempfile.mkdtemp(prefix="hearthline-")) / "hearthline.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for path in sorted(package.rglob("*.py")):
+                z.write(path, path.relative_to(package.parent))
+        context.addPyFile(str(archive))
+    context._hearthline_shipped = True
+
+
 def tune(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, whatever the length of the texts."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
@@ -92,3 +110,20 @@ def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None]
 
 def record(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+FILTER_BITS = 24
+
+
+def known(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of docs whose doc_id is in ids (a semi join).
+
+    Most rows that have no partner are ruled out before the shuffle by a filter of
+    2^bits bits, held as at most 2^(bits-6) broadcast rows of 64; it has no false
+    negatives, and what passes it is joined exactly.
+    """
+    ids = ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+    slot = f"pmod(xxhash64(doc_id), {1 << bits})"
+    words = ids.select(F.expr(f"cast(shiftright({slot}, 6) as int)").alias("_w"), F.expr(f"shiftleft(1L, cast({slot} & 63 as int))").alias("_m")).groupBy("_w").agg(F.bit_or("_m").alias("_m"))
+    some = docs.withColumn("_w", F.expr(f"cast(shiftright({slot}, 6) as int)")).join(F.broadcast(words), "_w").where(F.expr(f"shiftright(_m, cast({slot} & 63 as int)) & 1") == 1).drop("_w", "_m")
+    return some.join(ids.distinct().hint("shuffle_hash"), "doc_id", "left_semi")
