@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from hearthline.llm import byte_bpe, compress_quality, quality_rules
+from hearthline.llm import byte_bpe, compress_quality, license_scan, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op2_license_scan": license_scan.query,
     "op7_byte_bpe": byte_bpe.query,
     "op8_compression_quality": compress_quality.query,
 }
