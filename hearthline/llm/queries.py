@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from hearthline.llm import byte_bpe, compress_quality, license_scan, quality_rules
+from hearthline.llm import byte_bpe, compress_quality, license_scan, quality_rules, secret_scan
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_license_scan": license_scan.query,
+    "op5_secret_scan": secret_scan.query,
     "op7_byte_bpe": byte_bpe.query,
     "op8_compression_quality": compress_quality.query,
 }
