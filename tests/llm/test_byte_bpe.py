@@ -18,7 +18,7 @@ def pair():
 
 def texts():
     r = random.Random(7)
-    out = ["", " ", "a", "a" * 5000, "ab" * 3000, "-=" * 999, "0123456789" * 400, "Größe über naïve 漢字 🙂" * 9, "\x00\n\t \r\n  x", "'s't're hello   world  "]
+    out = ["", " ", "a", "a" * 5000, "ab" * 3000, "-=" * 999, "0123456789" * 400, "Größe über naïve 漢字 🙂" * 9, "\x00\n\t \r\n  x", "\x1c\x1d x\x1e\x1f\x85 y\xa0 z", "'s't're hello   world  "]
     for alphabet in ("ab", "abcdefgh", "aeioutnshr", "=-#", "éèüa", " ation", "0123456789"):
         out += ["".join(r.choice(alphabet) for _ in range(r.randint(1, 700))) for _ in range(40)]
     return out
