@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from hearthline.llm import byte_bpe, compress_quality, license_scan, quality_rules, secret_scan
+from hearthline.llm import byte_bpe, compress_quality, license_scan, mixing, quality_rules, secret_scan, sharding
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_license_scan": license_scan.query,
+    "op3_minimax_shards": sharding.query,
     "op5_secret_scan": secret_scan.query,
     "op7_byte_bpe": byte_bpe.query,
     "op8_compression_quality": compress_quality.query,
+    "op10_source_mix": mixing.query,
 }
 ORACLE_SQL: dict[str, str] = {}
