@@ -122,8 +122,27 @@ def known(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame
     2^bits bits, held as at most 2^(bits-6) broadcast rows of 64; it has no false
     negatives, and what passes it is joined exactly.
     """
-    ids = ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
-    slot = f"pmod(xxhash64(doc_id), {1 << bits})"
-    words = ids.select(F.expr(f"cast(shiftright({slot}, 6) as int)").alias("_w"), F.expr(f"shiftleft(1L, cast({slot} & 63 as int))").alias("_m")).groupBy("_w").agg(F.bit_or("_m").alias("_m"))
-    some = docs.withColumn("_w", F.expr(f"cast(shiftright({slot}, 6) as int)")).join(F.broadcast(words), "_w").where(F.expr(f"shiftright(_m, cast({slot} & 63 as int)) & 1") == 1).drop("_w", "_m")
-    return some.join(ids.distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    some, _ = _sifted(docs, ids, bits)
+    return some.join(_ids(ids).distinct().hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
+
+
+def without(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of docs whose doc_id is not in ids; what the filter of known() rules out doesn't move."""
+    some, rest = _sifted(docs, ids, bits)
+    return rest.unionByName(some.join(_ids(ids).distinct().hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns))
+
+
+def _ids(ids: DataFrame) -> DataFrame:
+    return ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+
+
+def _sifted(docs: DataFrame, ids: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs that the filter of ids lets pass, and the others."""
+    slot = f"pmod(xxhash64(cast(doc_id as bigint)), {1 << bits})"
+    bit = f"cast({slot} & 63 as int)"
+    words = _ids(ids).select(F.expr(f"cast(shiftright({slot}, 6) as int)").alias("_w"), F.expr(f"shiftleft(1L, {bit})").alias("_m")).groupBy("_w").agg(F.bit_or("_m").alias("_m"))
+    words = cut(words)  # at most 2^(bits-6) rows
+    held = docs.withColumn("_w", F.expr(f"cast(shiftright({slot}, 6) as int)"))
+    passes = F.coalesce(F.expr(f"shiftright(_m, {bit}) & 1") == 1, F.lit(False)) & F.col("doc_id").isNotNull()
+    held = held.join(F.broadcast(words), "_w", "left").withColumn("_some", passes)
+    return held.where("_some").select(docs.columns), held.where("not _some").select(docs.columns)

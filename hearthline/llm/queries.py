@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hearthline.llm import byte_bpe, compress_quality, license_scan, mixing, quality_rules, secret_scan, sharding
+from hearthline.llm import byte_bpe, compress_quality, jaccard_join, license_scan, mixing, quality_rules, secret_scan, sharding
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_secret_scan": secret_scan.query,
     "op7_byte_bpe": byte_bpe.query,
     "op8_compression_quality": compress_quality.query,
+    "op9_jaccard_join": jaccard_join.query,
     "op10_source_mix": mixing.query,
 }
 ORACLE_SQL: dict[str, str] = {}
