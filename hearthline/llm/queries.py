@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from hearthline.llm import byte_bpe, compress_quality, jaccard_join, license_scan, mixing, quality_rules, secret_scan, sharding
+from hearthline.llm import byte_bpe, compress_quality, embedding_dedup, jaccard_join, license_scan, maxent_lm, mixing, quality_rules, secret_scan, sharding
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_license_scan": license_scan.query,
     "op3_minimax_shards": sharding.query,
+    "op4_embedding_dedup": embedding_dedup.query,
     "op5_secret_scan": secret_scan.query,
+    "op6_maxent_lm": maxent_lm.query,
     "op7_byte_bpe": byte_bpe.query,
     "op8_compression_quality": compress_quality.query,
     "op9_jaccard_join": jaccard_join.query,
