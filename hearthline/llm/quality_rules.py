@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,29 +127,48 @@ def _base(b: bytes, words: list[bytes]) -> tuple[int, int, int, int]:
     return chars, sum(b.count(s.encode()) for s in SYMBOLS), len(lines) - len(set(lines)), repeated_words(words)
 
 
-def score_documents(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of docs (doc_id, text); trusted_ids has the doc_id of the trusted target."""
-    spark = docs.sparkSession
-    tune(spark)
+def fitted(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> np.ndarray | None:
+    """The log ratio of each bucket; None without trusted n-grams. docs has doc_id and text."""
+    tune(docs.sparkSession)
     both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes())
     target = counts(known(both, trusted_ids), buckets)
-    if has_target := target.any():
-        ratios = spark.sparkContext.broadcast(log_ratios(target, counts(both, buckets), smoothing))  # 8 bytes per bucket
+    return log_ratios(target, counts(both, buckets), smoothing) if target.any() else None
+
+
+NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+KINDS = (*[pa.int64()] * 5, *[pa.bool_()] * 2, pa.float64())
+SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
+
+
+def judge(b: bytes, ratio: np.ndarray | None, threshold: float) -> tuple:
+    """The columns NAMES of one text."""
+    words = b.split()
+    n, base = len(words), _base(b, words)
+    failed = n < 20 or 100 * base[3] > 30 * n
+    score = round(float(ratio[grams(words, len(ratio))].mean()), 6) + 0.0 if n and ratio is not None else 0.0
+    return n, *base, failed, not failed and score >= threshold, score
+
+
+def score_documents(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per row of docs (doc_id, text); trusted_ids has the doc_id of the trusted target."""
+    held = docs.sparkSession.sparkContext.broadcast(fitted(docs, trusted_ids, buckets, smoothing))  # 8 bytes per bucket
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ratio = ratios.value if has_target else None
-        out = []
-        for b in batch.column(1).to_pylist():
-            words = b.split()
-            n, base = len(words), _base(b, words)
-            failed = n < 20 or 100 * base[3] > 30 * n
-            score = round(float(ratio[grams(words, buckets)].mean()), 6) + 0.0 if n and has_target else 0.0
-            out.append((n, *base, failed, not failed and score >= threshold, score))
-        kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
-        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
-        return record(doc_id=batch.column(0), **{k: pa.array(v, t) for k, v, t in zip(names, zip(*out, strict=True), kinds, strict=True)})
+        out = zip(*[judge(b, held.value, threshold) for b in batch.column(1).to_pylist()], strict=True)
+        return record(doc_id=batch.column(0), **{k: pa.array(v, t) for k, v, t in zip(NAMES, out, KINDS, strict=True)})
+
+    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()), run, "doc_id long, " + SCHEMA)
+
 
-    return by_batch(both, run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double")
+def keep_documents(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that are kept, with all their columns; judged where they are read."""
+    held = docs.sparkSession.sparkContext.broadcast(fitted(docs, trusted_ids, buckets, smoothing))
+
+    @F.pandas_udf("boolean")
+    def kept(texts: pd.Series) -> pd.Series:
+        return pd.Series([judge(bytes(b), held.value, threshold)[6] for b in texts], dtype=bool)
+
+    return docs.where(kept(text_bytes()))
 
 
 def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,3 +178,8 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pipeline's stage: rejected documents go, the others stay as they are."""
+    return keep_documents(docs, trusted(spark, sf_dir))

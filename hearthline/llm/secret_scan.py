@@ -27,6 +27,7 @@ from collections import Counter
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -230,8 +231,6 @@ def scan_documents(docs: DataFrame, forest: Forest | None = None, cut: float = C
 
 def redact(docs: DataFrame, forest: Forest | None = None, cut: float = CUT, mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret in `text` replaced by the mark; null texts stay null, other columns stay."""
-    import pandas as pd
-
     tune(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(forest or default_forest())
 
