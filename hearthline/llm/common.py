@@ -10,7 +10,6 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,19 +71,64 @@ def text_bytes(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary").alias("b")
 
 
-class WordHash(dict):
-    """word -> 64-bit hash, remembered for the words seen last (bounded)."""
+def _table(allowed) -> np.ndarray:
+    return np.array([allowed(c) for c in range(256)], bool)
 
-    LIMIT = 400_000
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+#: Bytes of words: all but ASCII white space; or letters, digits and everything beyond ASCII.
+NO_SPACE = _table(lambda c: not (c == 0x20 or 0x09 <= c <= 0x0D))
+LETTERS = _table(lambda c: 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80)
+_PIECE = 1 << 17
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+class _Powers:
+    """Powers of a fixed odd 64-bit number and of its inverse, as many as asked for."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            n = max(n, _PIECE + 1)
+            base, inverse = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
+            self.up, self.down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, x, np.uint64), dtype=np.uint64)]) for x in (base, inverse))
+        return self.up[:n], self.down[:n]
+
+
+_powers = _Powers()
+
+
+def word_spans(text: bytes, kind: np.ndarray = NO_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a byte string begin and end."""
+    on = np.zeros(len(text) + 2, np.int8)
+    on[1:-1] = kind[np.frombuffer(text, np.uint8)]
+    change = np.diff(on)
+    return np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+
+
+def word_hashes(texts: list[bytes], lower: bool = True, kind: np.ndarray = NO_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one after the other, and the number of each text's.
+
+    lower: A-Z count as a-z. A word's hash is a polynomial of its bytes, taken for all words at once from
+    running sums over pieces of the buffer, and finished with its length.
+    """
+    text = b"\n".join([*texts, b""])
+    text = text.lower() if lower else text
+    starts, ends = word_spans(text, kind)
+    stops = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    n = np.diff(np.searchsorted(starts, stops), prepend=0)
+    codes, out, k = np.frombuffer(text, np.uint8), np.empty(len(starts), np.uint64), 0
+    while k < len(starts):
+        first = int(starts[k])
+        m = max(k + 1, int(np.searchsorted(ends, first + _PIECE, side="right")))
+        last = int(ends[m - 1])
+        up, down = _powers.upto(last - first + 1)
+        sums = np.zeros(last - first + 1, np.uint64)
+        np.cumsum((codes[first:last] + np.uint64(1)) * up[: last - first], out=sums[1:])
+        a, b = starts[k:m] - first, ends[k:m] - first
+        out[k:m] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * ROLL)
+        k = m
+    return out, n
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import WordHash, by_batch, record, rolling, signed, table, text_bytes, tune
+from hearthline.llm.common import LETTERS, by_batch, record, rolling, signed, table, text_bytes, tune, word_hashes
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SLACK = 3
@@ -75,15 +75,13 @@ TEMPLATES = (
     Template("public-domain", "This work is free and unencumbered and released into the public domain"),
 )
 
-_words = WordHash()
-
 
 def template_grams(spark: SparkSession, templates: tuple[Template, ...]) -> DataFrame:
     """(h, k, gram, template, place): all grams of all templates; fixed and small."""
     rows = []
     for t, x in enumerate(templates):
         words, k = x.words, x.gram
-        h = signed(rolling(_words.of(words), k))
+        h = signed(rolling(word_hashes([b" ".join(words)], kind=LETTERS)[0], k))
         rows += [(int(h[i]), k, bytearray(b" ".join(words[i : i + k])), t, i) for i in range(len(h))]
     return spark.createDataFrame(rows, "h long, k int, gram binary, template int, place int")
 
@@ -92,24 +90,27 @@ def _hits(docs: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
     """row_id, doc_id, n_words and the hits (h, k, gram, at) of each row of (row_id, doc_id, b)."""
     wanted: dict[int, np.ndarray] = {}
     for k in sorted({t.gram for t in templates}):
-        wanted[k] = np.unique(np.concatenate([rolling(_words.of(t.words), k) for t in templates if t.gram == k]))
+        wanted[k] = np.unique(np.concatenate([rolling(word_hashes([t.text.encode()], kind=LETTERS)[0], k) for t in templates if t.gram == k]))
     hit = pa.struct([("h", pa.int64()), ("k", pa.int32()), ("gram", pa.binary()), ("at", pa.int64())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = [WORD.findall(b.lower()) for b in batch.column(2).to_pylist()]
-        flat = [w for words in lists for w in words]
-        ends = np.cumsum([len(words) for words in lists])
-        starts, h = ends - [len(words) for words in lists], _words.of(flat)
-        found: list[list[dict]] = [[] for _ in lists]
+        texts = batch.column(2).to_pylist()
+        h, n = word_hashes(texts, kind=LETTERS)
+        ends = np.cumsum(n)
+        starts = ends - n
+        found: list[list[dict]] = [[] for _ in texts]
+        own: dict[int, list[bytes]] = {}  # the words of texts with a hit
         for k, known in wanted.items():
             grams = rolling(h, k)
-            at = np.searchsorted(known, grams)
-            at[at == len(known)] = 0
-            for i in np.flatnonzero(known[at] == grams).tolist():
+            near = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+            for i in np.flatnonzero(known[near] == grams).tolist():
                 d = int(np.searchsorted(ends, i, side="right"))
                 if i + k <= ends[d]:
-                    found[d].append({"h": int(grams[i : i + 1].view(np.int64)[0]), "k": k, "gram": b" ".join(flat[i : i + k]), "at": i - int(starts[d])})
-        return record(row_id=batch.column(0), doc_id=batch.column(1), n_words=pa.array([len(x) for x in lists], pa.int64()), hits=pa.array(found, pa.list_(hit)))
+                    at = i - int(starts[d])
+                    if d not in own:
+                        own[d] = WORD.findall(texts[d].lower())
+                    found[d].append({"h": int(grams[i : i + 1].view(np.int64)[0]), "k": k, "gram": b" ".join(own[d][at : at + k]), "at": at})
+        return record(row_id=batch.column(0), doc_id=batch.column(1), n_words=pa.array(n), hits=pa.array(found, pa.list_(hit)))
 
     return by_batch(docs, run, "row_id long, doc_id long, n_words long, hits array<struct<h:long,k:int,gram:binary,at:long>>")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import WordHash, by_batch, known, mix, record, rolling, table, text_bytes, tune
+from hearthline.llm.common import NO_SPACE, by_batch, known, mix, record, rolling, table, text_bytes, tune, word_hashes
 
 BUCKETS = 1 << 18
 RANGE = 1 << 12
@@ -35,13 +35,15 @@ THRESHOLD = -0.2
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 
-_words = WordHash()
+def grams(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of every unigram, then of every bigram, of a text's word hashes."""
+    return (np.concatenate([mix(h + np.uint64(1)), rolling(h, 2)]) % np.uint64(buckets)).astype(np.int64)
 
 
-def grams(words: list[bytes], buckets: int) -> np.ndarray:
-    """Bucket of every unigram, then of every bigram."""
-    h = _words.of(words)
-    return (np.concatenate([mix(h + np.uint64(1)), rolling(h, 2)]) % np.uint64(buckets)).astype(np.int64)
+def words(texts: list[bytes]) -> list[np.ndarray]:
+    """Each text's word hashes; case counts."""
+    h, n = word_hashes(texts, lower=False)
+    return np.split(h, np.cumsum(n)[:-1]) if texts else []
 
 
 def counts(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -56,11 +58,8 @@ def counts(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(buckets, np.int64)
         for batch in batches:
-            texts = [b.split() for b in batch.column(0).to_pylist()]
-            for g in (grams(words, buckets) for words in texts if words):
-                found += np.bincount(g, minlength=buckets) if len(g) > buckets // 8 else 0
-                if len(g) <= buckets // 8:
-                    np.add.at(found, g, 1)
+            if lists := [grams(h, buckets) for h in words(batch.column(0).to_pylist())]:
+                found += np.bincount(np.concatenate(lists), minlength=buckets)
         if found.any():
             blocks = found.reshape(-1, step)
             yield record(block=pa.array(range(len(blocks)), pa.int32()), c=pa.array(list(blocks), pa.list_(pa.int64())))
@@ -90,41 +89,31 @@ def log_ratios(target: np.ndarray, raw: np.ndarray, smoothing: float = SMOOTHING
     return p - q
 
 
-def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
-    """Words that stand in a window of this width found twice or more in the list."""
-    n = len(words)
+def repeated_words(h: np.ndarray, width: int = WINDOW) -> int:
+    """Words (by hash) that stand in a window of this width found twice or more in the list."""
+    n = len(h)
     if n <= width:
         return 0
-    if width & (width - 1) == 0:  # exact names of windows of 1, 2, 4, .. words
-        seen: dict[bytes, int] = {}
-        name = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, n)
-        if len(seen) == n:
-            return 0
-        size = 1
-        while size < width:
-            both = name[:-size] * (n + 1) + name[size:]
-            size *= 2
-            _, name, count = np.unique(both, return_inverse=True, return_counts=True)
-            if len(count) == len(name):
-                return 0
-        start = count[name] > 1
-    else:
-        windows = [tuple(words[i : i + width]) for i in range(n - width + 1)]
-        times: dict[tuple, int] = {}
-        for x in windows:
-            times[x] = times.get(x, 0) + 1
-        start = np.array([times[x] > 1 for x in windows])
+    kinds, name = np.unique(h, return_inverse=True)
+    size = 1
+    while size < width and len(kinds) < len(name):  # exact names of ever longer windows
+        step = min(size, width - size)
+        kinds, name = np.unique(name[:-step] * (n + 1) + name[step:], return_inverse=True)
+        size += step
+    if len(kinds) == len(name):
+        return 0
+    start = np.bincount(name)[name] > 1
     edge = np.zeros(n + 1, np.int64)
-    at = np.flatnonzero(start)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + width, -1)
+    edge[: len(start)] += start
+    edge[width : width + len(start)] -= start
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def _base(b: bytes, words: list[bytes]) -> tuple[int, int, int, int]:
-    chars = sum(map(len, words)) if b.isascii() else len(b"".join(words).decode("utf-8", "replace"))
+def _base(b: bytes, h: np.ndarray) -> tuple[int, int, int, int]:
+    a = np.frombuffer(b, np.uint8)
+    chars = int((NO_SPACE[a] & ((a & 0xC0) != 0x80)).sum())
     lines = [x for x in b.split(b"\n") if x.strip()] if b"\n" in b else []
-    return chars, sum(b.count(s.encode()) for s in SYMBOLS), len(lines) - len(set(lines)), repeated_words(words)
+    return chars, sum(b.count(s.encode()) for s in SYMBOLS), len(lines) - len(set(lines)), repeated_words(h)
 
 
 def fitted(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> np.ndarray | None:
@@ -140,13 +129,15 @@ KINDS = (*[pa.int64()] * 5, *[pa.bool_()] * 2, pa.float64())
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
 
 
-def judge(b: bytes, ratio: np.ndarray | None, threshold: float) -> tuple:
-    """The columns NAMES of one text."""
-    words = b.split()
-    n, base = len(words), _base(b, words)
-    failed = n < 20 or 100 * base[3] > 30 * n
-    score = round(float(ratio[grams(words, len(ratio))].mean()), 6) + 0.0 if n and ratio is not None else 0.0
-    return n, *base, failed, not failed and score >= threshold, score
+def judge(texts: list[bytes], ratio: np.ndarray | None, threshold: float) -> list[tuple]:
+    """The columns NAMES of each text."""
+    out = []
+    for b, h in zip(texts, words(texts), strict=True):
+        n, base = len(h), _base(b, h)
+        failed = n < 20 or 100 * base[3] > 30 * n
+        score = round(float(ratio[grams(h, len(ratio))].mean()), 6) + 0.0 if n and ratio is not None else 0.0
+        out.append((n, *base, failed, not failed and score >= threshold, score))
+    return out
 
 
 def score_documents(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, threshold: float = THRESHOLD) -> DataFrame:
@@ -154,7 +145,7 @@ def score_documents(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCK
     held = docs.sparkSession.sparkContext.broadcast(fitted(docs, trusted_ids, buckets, smoothing))  # 8 bytes per bucket
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = zip(*[judge(b, held.value, threshold) for b in batch.column(1).to_pylist()], strict=True)
+        out = zip(*judge(batch.column(1).to_pylist(), held.value, threshold), strict=True)
         return record(doc_id=batch.column(0), **{k: pa.array(v, t) for k, v, t in zip(NAMES, out, KINDS, strict=True)})
 
     return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()), run, "doc_id long, " + SCHEMA)
@@ -166,7 +157,7 @@ def keep_documents(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKE
 
     @F.pandas_udf("boolean")
     def kept(texts: pd.Series) -> pd.Series:
-        return pd.Series([judge(bytes(b), held.value, threshold)[6] for b in texts], dtype=bool)
+        return pd.Series([x[6] for x in judge([bytes(b) for b in texts], held.value, threshold)], dtype=bool)
 
     return docs.where(kept(text_bytes()))
 
