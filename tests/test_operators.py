@@ -196,11 +196,11 @@ def test_geo_and_normalize(spark):
     register = spark.createDataFrame([("2", "9", "ELM STREET", "88", "12", "3", "9")], "boroid string, lowhousenumber string, streetname string, bin string, block string, lot string, housenumber string")
     found = geo.lookup(raw, cache, primary, register)
     got = {r["query"]: r for r in found.collect()}
-    assert {k: r.outcome for k, r in got.items()} == {"350 w 42 st Manhattan": "hit", "9 elm st Bronx": "fallback", "unknown place": "empty", "5 low rd Queens": "low"}
+    assert {k: r.outcome for k, r in got.items()} == {"350 w 42 st Manhattan": "hit", "9 elm st Bronx": "fallback", "unknown pl": "empty", "5 low rd Queens": "low"}
     assert got["9 elm st Bronx"].bbl == "2000120003"
     assert geo.statistics(found).first().asDict() == {"hit": 1, "miss": 3, "fail": 0, "low_confidence": 1, "fallback": 1}
     learnt = geo.remember(found, cache)
-    assert {r["query"]: r.confidence for r in learnt.collect()} == {"350 w 42 st Manhattan": 0.9, "9 elm st Bronx": 0.9, "unknown place": -1.0, "5 low rd Queens": -1.0}
+    assert {r["query"]: r.confidence for r in learnt.collect()} == {"350 w 42 st Manhattan": 0.9, "9 elm st Bronx": 0.9, "unknown pl": -1.0, "5 low rd Queens": -1.0}
     assert geo.lookup(raw, learnt, primary, register).where("outcome = 'negative'").count() == 2
     rows = normalize.normalize(raw, found, stamp(0)).collect()
     by = {}
