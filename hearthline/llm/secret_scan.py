@@ -99,7 +99,7 @@ def candidates(text: bytes) -> list[tuple[int, int]]:
                 found.append((start, start + len(v)))
     for m in ASSIGNED.finditer(text):
         if TELLING.search(text[max(0, m.start() - 24) : m.start()].rstrip(b" \t\"'")):
-            v = m[1].rstrip(b".")
+            v = m[1].rstrip(b".!?")
             found.append((m.start(1), m.start(1) + len(v)))
     out: list[tuple[int, int]] = []
     for a, b in sorted(found, key=lambda x: (x[0], -x[1])):

@@ -1,0 +1,317 @@
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from hearthline.llm import byte_bpe, compress_quality, embedding_dedup, jaccard_join, license_scan, maxent_lm, mixing, quality_rules, secret_scan, sharding
+from tests.llm import brute
+from tests.llm.conftest import corpus
+
+
+def key(x):
+    return tuple((v is None, str(v)) for v in x)
+
+
+def test_quality_rules(spark, docs):
+    trusted = docs.where("doc_id between 1 and 20").select("doc_id")
+    out = quality_rules.score_documents(docs, trusted, buckets=1 << 10)
+    got = sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in out.collect()), key=key)
+    assert got == sorted(((i, *brute.base_quality(t)) for i, t, *_ in corpus()), key=key)
+    assert all(not r.kept for r in out.where("base_failed").collect())
+    # the score by its definition
+    ids = {r.doc_id for r in trusted.collect()}
+    grams = {}
+    target, raw = np.zeros(1 << 10), np.zeros(1 << 10)
+    for n, (i, t, *_) in enumerate(corpus()):
+        grams[n] = quality_rules.grams(quality_rules.words([(t or "").encode()])[0], 1 << 10)
+        c = np.bincount(grams[n], minlength=1 << 10)
+        raw += c
+        target += c * (i in ids)
+    ratio = quality_rules.log_ratios(target, raw)
+    want = sorted(round(float(ratio[g].mean()), 5) if len(g) else 0.0 for g in grams.values())
+    assert np.allclose(sorted(r.score for r in out.collect()), want, atol=2e-5)
+    kept = quality_rules.keep_documents(docs, trusted, buckets=1 << 10)
+    assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x)) == sorted((r.doc_id for r in out.where("kept").collect()), key=lambda x: (x is None, x))
+    assert quality_rules.score_documents(docs.limit(0), trusted).count() == 0
+    assert {r.score for r in quality_rules.score_documents(docs, trusted.limit(0)).collect()} == {0.0}
+
+
+def test_repeated_words():
+    r = random.Random(6)
+    for width in (2, 3, 8):
+        for _ in range(60):
+            words = [r.choice("abc") for _ in range(r.randint(0, 40))]
+            h = quality_rules.words([" ".join(words).encode()])[0]
+            times = Counter(tuple(words[i : i + width]) for i in range(len(words) - width + 1))
+            held = {i + k for i in range(len(words) - width + 1) if times[tuple(words[i : i + width])] > 1 for k in range(width)}
+            assert quality_rules.repeated_words(h, width) == len(held)
+
+
+def test_license_scan(spark, docs):
+    texts = ["Licensed CC-BY 4.0, cc by cc by", "GNU General Public License; all rights reserved. All Rights Reserved!", "general public", None, "", "Released under the MIT License.", "Permission is hereby granted, free of charge, to any lucky person obtaining a copy of this software and associated documentation files to deal in the Software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and sell copies of the Software", "é ccéby cc by é"]
+    df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)] + [(2, "cc by", 7), (2, "cc by", 7)], "doc_id long, text string, template int")
+    out = sorted(license_scan.scan_documents(df).collect(), key=lambda r: (r.doc_id, r.n_words))
+    by = {}
+    for r in out:
+        by.setdefault(r.doc_id, []).append((r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels))
+    assert by[0] == [(9, 3, 1, 7, "cc-by")] and by[1] == [(10, 3, 1, 7, "gpl,reserved")]
+    assert by[2] == [(2, 0, None, None, ""), (2, 1, 0, 0, "cc-by"), (2, 1, 0, 0, "cc-by")] and by[3] == by[4] == [(0, 0, None, None, "")]
+    labels = {r.doc_id: (r.labels, r.score) for r in out if r.doc_id in (5, 6, 7)}
+    assert labels[5] == ("mit", 1.0) and labels[6][0] == "mit" and 0.8 < labels[6][1] < 1 and labels[7] == ("cc-by", 1.0)
+    assert license_scan.scan_documents(docs).count() == docs.count() and license_scan.scan_documents(df.limit(0)).count() == 0
+
+
+def test_license_base_columns(spark):
+    r = random.Random(8)
+    words = ["cc", "by", "general", "public", "license", "all", "rights", "reserved", "x"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 60))) for _ in range(40)]
+    got = {x.doc_id: x for x in license_scan.scan_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        w, places = t.split(), []
+        for phrase in ("cc by", "general public license", "all rights reserved"):
+            p = phrase.split()
+            places += [k for k in range(len(w)) if w[k : k + len(p)] == p]
+        assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word) == (len(w), len(places), min(places, default=None), max(places, default=None))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_minimax_cuts(spark, seed, monkeypatch):
+    r = random.Random(seed)
+    sizes = [r.randint(1, 30) for _ in range(60)] + ([900] if seed == 1 else [])
+    atoms = sorted((r.getrandbits(64) - (1 << 63), s) for s in sizes)
+    monkeypatch.setattr(sharding, "BITS", 2)
+    monkeypatch.setattr(sharding, "MORE_BITS", 2)
+    capacity, firsts = sharding.minimax_cuts(spark.createDataFrame(atoms, "h long, bytes long"), 5)
+
+    def fits(c):
+        n, left = 1, c
+        for _, s in atoms:
+            if s > c:
+                return False
+            if s > left:
+                n, left = n + 1, c
+            left -= s
+        return n <= 5
+
+    want = next(c for c in range(1, sum(sizes) + 1) if fits(c))
+    shards = Counter(sum(h >= f for f in firsts) for h, s in atoms for _ in range(s))
+    assert capacity == want and max(shards.values()) <= want and len(shards) <= 5
+
+
+def test_sharding(spark, docs):
+    out = sharding.shard_documents(docs).collect()
+    want = sorted(((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, *_ in corpus()), key=key)
+    assert sorted(((r.doc_id, r.size, r.text_crc32) for r in out), key=key) == want
+    slots, where = {}, {}
+    for r in out:
+        slots.setdefault(r.shard, []).append(r.slot)
+        where.setdefault((r.text_crc32, r.size), set()).add(r.shard)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(x) == 1 for x in where.values()) and all(0 <= s < 40 for s in slots)
+    assert sharding.shard_documents(docs.limit(0)).count() == 0
+
+
+def vectors(seed=4):
+    g = np.random.default_rng(seed)
+    base = g.standard_normal((60, 16))
+    rows = [list(map(float, v)) for v in base]
+    rows += [list(map(float, base[i % 5] + 0.05 * g.standard_normal(16))) for i in range(40)]
+    rows += [rows[0]] * 3 + [list(map(float, base[3] * 7))]
+    return rows + [None, [], [0.0] * 16, [float("nan")] + [1.0] * 15, [float("inf")] * 16, [None] + [1.0] * 15, [1.0, 2.0]]
+
+
+def test_embedding_dedup(spark):
+    rows = [(i, v, 1) for i, v in enumerate(vectors())] + [(None, vectors()[0], 1), (7, vectors()[7], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rep int")
+    ok = [(i, np.array(v)) for i, v, _ in rows if i is not None and v and len(v) == 16 and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    links, pairs = Counter(), []
+    for a, (i, v) in enumerate(ok):
+        for j, w in ok[:a]:
+            if v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.9:
+                pairs.append((i, j))
+                links[i] += 1
+                links[j] += 1
+    comp = brute.components({i for i, *_ in rows if i is not None}, pairs)
+    for block in (1024, 8):
+        got = embedding_dedup.dedup_vectors(df, recall=0.999999, block=block).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            if r.vec_id is None:
+                assert (r.n_links, r.kept) == (0, False)
+            elif r.vec_id != 7:
+                assert (r.n_links, r.component_id, r.kept) == (links[r.vec_id], comp[r.vec_id], comp[r.vec_id] == r.vec_id), r
+    assert embedding_dedup.dedup_vectors(df.limit(0)).count() == 0
+
+
+def test_secret_scan(spark, docs):
+    forest = secret_scan.train()
+    held = secret_scan.labelled_findings(1500, seed=77)  # another seed than that of the training
+    x = np.array([secret_scan.features(*f[:3]) for f in held])
+    y = np.array([f[3] for f in held])
+    p = forest.probability(x) >= 0.5
+    assert (p == y).mean() > 0.95
+    token = "0123456789abcdef0123456789abcdef01234567"
+    texts = [f'set token = "{token}" here', "plain words only", None, "", "see /usr/local/share/doc/module/readme.html and https://www.example.com/path/page", f"é é API_KEY: {token}!", "4785380592391139 999-12-3456 a.b@mail3.example.com"]
+    df = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], "doc_id long, text string, b string")
+    got = {r.doc_id: r for r in secret_scan.scan_documents(df).collect()}
+    assert [got[i].n_secrets for i in range(7)] == [1, 0, 0, 0, 0, 1, 0]
+    for i in (0, 5):
+        (s,) = got[i].secrets
+        assert texts[i][s.start : s.end] == token
+    clean = {r.doc_id: r for r in secret_scan.redact(df).collect()}
+    assert clean[0].text == 'set token = "[SECRET]" here' and clean[2].text is None and clean[0].b == texts[0] and clean[1].text == texts[1]
+    assert secret_scan.scan_documents(docs).count() == docs.count()
+    stage = secret_scan.stage(spark, docs, "")
+    assert stage.columns == docs.columns and stage.count() == docs.count() and secret_scan.scan_documents(df.limit(0)).count() == 0
+
+
+def test_maxent_lm(spark, docs):
+    rows = corpus()
+    train = [t for i, t, *_ in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    tokens = lambda t: [*brute.lower(t or "").encode().split(), None]
+    c = Counter(w for t in train for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    learn = docs.where(~maxent_lm.held_out())
+    base = lambda t: sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t))
+    want = sorted(((i, i is not None and zlib.crc32(str(i).encode()) % 7 == 2, len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n) for i, t, *_ in rows), key=key)
+    scores = []
+    for frequent in (2_000_000, 50, 0):
+        out = maxent_lm.score_documents(docs, learn, frequent=frequent).collect()
+        assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in out), key=key) == want
+        assert np.allclose(sorted(r.base_score for r in out), sorted(base(t) for _, t, *_ in rows))
+        scores.append(sorted(r.score for r in out))
+    assert np.allclose(scores[0], scores[1]) and np.allclose(scores[0], scores[2]) and max(scores[0]) < 0
+    assert maxent_lm.score_documents(docs.limit(0), learn).count() == 0
+    assert maxent_lm.score_documents(docs, learn.limit(0)).count() == len(rows)
+
+
+def test_maxent_lm_learns(spark):
+    r = random.Random(2)
+    a, b = ([f"{x}{i}" for i in range(40)] for x in "ab")
+    texts = [" ".join(r.choice(v) for _ in range(60)) for i in range(600) for v in [a if i % 2 else b]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    out = maxent_lm.score_documents(docs, docs.where(~maxent_lm.held_out())).where("held_out").agg(F.sum("base_score").alias("b"), F.sum("score").alias("s"), F.sum("n_tokens").alias("n")).first()
+    assert out.s / out.n > out.b / out.n + 0.05  # it sees that words of one kind follow each other
+
+
+def test_maxent_lm_is_a_distribution():
+    g = np.random.default_rng(1)
+    words = [f"w{i}".encode() for i in range(300)]
+    h, n = maxent_lm.tokens([b" ".join(words)])
+    c, s = maxent_lm.groups(h)
+    group = c.astype(int) * maxent_lm.SUBS + s
+    counts = np.bincount(group, weights=g.integers(1, 9, len(h)), minlength=256)
+    model = maxent_lm.Model(counts.astype(np.int64), np.bincount(group, minlength=256))
+    model.learn(*maxent_lm.tokens([b" ".join(words)] * 3), model.state())
+    # for one history: the probabilities of all groups sum to one
+    f = maxent_lm.features(h[:3], np.array([3]))[:, 2:]
+    total = 0.0
+    for k in range(16):
+        _, _, za, ea, zb, eb, ta, tb = model._softmax(f, np.array([k]))
+        total += float(ea[0, k] / ta[0] * (eb[0] / tb[0]).sum())
+    assert abs(total - 1) < 1e-5
+
+
+def test_byte_bpe_on_messy_rows(docs):
+    assert byte_bpe.digest_documents(docs).count() == docs.count()
+
+
+def test_compress_quality(spark, docs):
+    r = random.Random(1)
+    good = ["".join(r.choice(["the ", "and ", "of ", "house ", "river ", "green ", "stone ", "walk "]) for _ in range(60)) for _ in range(300)]
+    bad = ["".join(r.choice(["### ", "$$$ ", "%%% ", "buy ", "now ", "!!! ", "*** ", "click "]) for _ in range(60)) for _ in range(300)]
+    rows = [(i, t, "x") for i, t in enumerate(x for p in zip(good, bad, strict=True) for x in p)] + [(900, None, "x"), (901, "", "x"), (0, good[0], "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(600)] + [(900, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    out = compress_quality.classify(df, labels).collect()
+    assert len(out) == len(rows) and all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.3) for x in out)
+    assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 5 == 0) for x in out)
+    test = [x for x in out if x.held_out and x.doc_id < 600]
+    assert sum(x.predicted == 1 - x.doc_id % 2 for x in test) / len(test) > 0.97
+    # labels of held-out rows change nothing
+    flipped = labels.withColumn("quality", F.when(compress_quality.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert sorted((x.doc_id, x.score) for x in compress_quality.classify(df, flipped).collect()) == sorted((x.doc_id, x.score) for x in out)
+    one = compress_quality.classify(docs, labels.where("quality = 1"))
+    assert {x.score for x in one.collect()} == {1.0} and compress_quality.classify(docs, labels.limit(0)).count() == docs.count() and compress_quality.classify(df.limit(0), labels).count() == 0
+
+
+@pytest.mark.parametrize("unit,limit", [(1_500_000, 400_000), (300, 400_000), (1_500_000, 0)])
+def test_jaccard_join(spark, docs, unit, limit):
+    rows = [(i, t) for i, t, *_ in corpus()]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join_documents(docs, unit=unit, limit=limit).collect()), key=key)
+    assert got == sorted(brute.jaccard_components(rows), key=key)
+    assert jaccard_join.join_documents(docs.limit(0)).count() == 0
+
+
+def test_jaccard_join_near_the_threshold(spark, monkeypatch):
+    r = random.Random(11)
+    monkeypatch.setattr(jaccard_join, "SHORT", 3)
+    monkeypatch.setattr(jaccard_join, "LISTS", 7)
+    rows = []
+    for g in range(12):
+        words = [f"g{g}x{i}" for i in range(r.randint(5, 90))]
+        for _ in range(r.randint(1, 9)):
+            w = list(words)
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(len(w))] = f"n{r.randint(0, 10**9)}"
+            rows.append((len(rows), " ".join(w[r.randint(0, 3) :])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(brute.jaccard_components(rows))
+    assert len({c for _, _, c in want}) < len(rows)
+    for unit in (1_500_000, 120):
+        assert sorted(tuple(x) for x in jaccard_join.join_documents(df, unit=unit).collect()) == want
+
+
+def test_jaccard_stage(spark, docs):
+    out = jaccard_join.stage(spark, docs, "")
+    comp = brute.jaccard_components([(i, t) for i, t, *_ in corpus()])
+    want = sorted({i for i, _, c in comp if i is not None and i == c}) + [None]
+    assert sorted((r.doc_id for r in out.collect()), key=lambda x: (x is None, x)) == want and out.columns == docs.columns
+
+
+def shares(rows):
+    """Targets by resharing the excess until none is above."""
+    size = Counter()
+    for s, n in rows:
+        size[s] += n
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    fixed, total = {}, 1.5 * sum(size.values())
+    while True:
+        free = [s for s in names if s not in fixed]
+        left, w = total - sum(fixed.values()), sum(weight[s] for s in free)
+        over = [s for s in free if left * weight[s] / w > 2 * size[s]] if free else []
+        if not over:
+            return {s: fixed[s] if s in fixed else left * weight[s] / w for s in names}, size
+        fixed |= {s: 2.0 * size[s] for s in over}
+
+
+def test_mixing(spark, docs):
+    rows = [(i, s, len((t or "").encode().split())) for i, t, _, s, *_ in corpus()]
+    target, size = shares([(s, n) for _, s, n in rows])
+    out = mixing.mix(docs).collect()
+    assert sorted(((r.doc_id, r.size) for r in out), key=key) == sorted(((i, n) for i, _, n in rows), key=key)
+    taken = Counter()
+    for r in out:
+        assert r.source_size == size[r.source] and math.isclose(r.target, target[r.source], rel_tol=1e-9, abs_tol=1e-9) and 0 <= r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+    big = [s for s in size if size[s] > 2000]
+    assert all(abs(taken[s] - target[s]) < 0.05 * target[s] + 64 for s in big)
+    assert sorted((tuple(r) for r in mixing.mix(docs.repartition(7)).collect()), key=key) == sorted((tuple(r) for r in out), key=key)
+    assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mix(docs.where("text is null or text = ''")).where("taken > 0").count() == 0
+    stage = mixing.stage(spark, docs, "")
+    assert stage.columns == docs.columns and stage.count() > 0
+
+
+def test_targets(spark):
+    r = random.Random(3)
+    for _ in range(5):
+        rows = [(f"s{i}", r.choice([0, 1, 5, 100, 1000])) for i in range(r.randint(1, 9))] + [(None, 50)]
+        want, _ = shares(rows)
+        got = mixing.targets(spark.createDataFrame(rows, "source string, source_size long")).collect()
+        assert all(math.isclose(x.target, want[x.source], rel_tol=1e-9, abs_tol=1e-9) for x in got)
+
+
