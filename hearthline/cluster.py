@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -21,3 +21,11 @@ def ship(spark: SparkSession) -> None:
             z.write(path, path.relative_to(package.parent))
     context.addPyFile(str(archive))
     context._hearthline_shipped = True
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the checkpoint folder that all executors share and go on from there; one is made up only where none is set."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hearthline-"))
+    return df.checkpoint(eager=True)

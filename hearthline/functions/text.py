@@ -7,7 +7,8 @@ Patterns use (?U) where words and digits are meant in the Unicode sense.
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache, reduce
+from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -118,17 +119,26 @@ def _folds() -> tuple[str, str, str, tuple[tuple[str, str], ...]]:
     return "".join(source), "".join(target), marks, tuple(several)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it; keeps expressions small."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def strip_accents(c: Column | str) -> Column:
     """Compatibility decomposition without combining marks, for Latin, punctuation and full-width characters.
 
     Plain ASCII skips all of it. Characters of other scripts stay as they are.
     """
     source, target, marks, several = _folds()
-    s = _text(c)
-    folded = F.translate(s, source + marks, target)
-    held = "".join(a for a, _ in several)
-    spread = reduce(lambda x, ab: F.replace(x, F.lit(ab[0]), F.lit(ab[1])), [ab for ab in several if ord(ab[0]) < 0x250 or ord(ab[0]) >= 0xFB00 or ab[0] in "…‼№℡™"], folded)
-    return F.when(~s.rlike(r"[^\x00-\x7F]"), s).when(s.rlike(f"[{held}]"), spread).otherwise(folded)
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in several])
+
+    def fold(s: Column) -> Column:
+        folded = F.translate(s, source + marks, target)
+        spread = F.aggregate(pairs, folded, lambda acc, p: F.replace(acc, p["a"], p["b"]))
+        held = "".join(a for a, _ in several)
+        return F.when(~s.rlike(r"[^\x00-\x7F]"), s).when(s.rlike(f"[{held}]"), spread).otherwise(folded)
+
+    return bound(_text(c), fold)
 
 
 def normalize_street(c: Column | str) -> Column:
@@ -186,8 +196,8 @@ def unit_from_title(title: Column | str, address: Column | str) -> Column:
 
 def infer_borough(c: Column | str) -> Column:
     """A borough named in the text, else that of a neighbourhood named in it, in fixed order."""
-    low = F.lower(strip_accents(c))
-    return F.coalesce(*[F.when(low.contains(b.lower()), b) for b in BOROUGHS], *[F.when(low.contains(n), b) for n, b in NEIGHBORHOODS.items()])
+    named = [(b.lower(), b) for b in BOROUGHS] + list(NEIGHBORHOODS.items())
+    return bound(F.lower(strip_accents(c)), lambda low: F.coalesce(*[F.when(low.contains(n), b) for n, b in named]))
 
 
 def borough_from_zip(c: Column | str) -> Column:
@@ -265,12 +275,11 @@ def post_fields(title: Column | str, body: Column | str) -> Column:
     """price (the least plausible one), beds, address and neighbourhood of a post."""
     text = F.concat(F.coalesce(_text(title), F.lit("")), F.lit("\n"), F.coalesce(_text(body), F.lit("")))
     prices = F.transform(F.regexp_extract_all(text, F.lit(POST_PRICE), F.lit(1)), lambda p: F.replace(p, F.lit(","), F.lit("")).try_cast("int"))
-    low = F.lower(text)
     return F.struct(
         F.array_min(F.filter(prices, lambda p: p.between(*POST_RENT_BAND))).alias("price"),
         F.nullif(F.regexp_extract(text, POST_BEDS, 1), F.lit("")).alias("beds"),
         F.nullif(F.trim(F.regexp_extract(text, POST_ADDRESS, 1)), F.lit("")).alias("address"),
-        F.coalesce(*[F.when(low.contains(p), p) for p in POST_PLACES]).alias("neighborhood"),
+        bound(F.lower(text), lambda low: F.coalesce(*[F.when(low.contains(p), p) for p in POST_PLACES])).alias("neighborhood"),
     )
 
 
