@@ -33,7 +33,7 @@ GOLDEN = 0.6180339887498949
 LEAST_BLOCK, MOST_BLOCK, BLOCKS = 32, 1 << 16, 1 << 16
 CELLS = 1024
 CHUNK = 4096
-BIN_ROWS = 2000
+BIN_ROWS = 256
 SMALL = 100_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 
