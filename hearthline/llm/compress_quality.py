@@ -1,17 +1,19 @@
 """Quality classifier by compression with zstandard dictionaries.
 
 One dictionary is built from good labelled texts, one from bad ones. A text that
-resembles the good ones compresses better with the good dictionary: the
-difference of the two sizes, divided by their sum, becomes a score by a logistic
-curve fitted to the same differences of labelled rows that built no dictionary.
+resembles the good ones compresses better with the good dictionary. The
+difference of the two sizes, normalised by their sum and by the text's own size,
+goes with how far the text shrinks at all and how long it is (both say how much
+a difference means) through a logistic curve, fitted to labelled rows that built
+no dictionary and weighted to the classes' true shares.
 
 Labels are learnt from a bounded sample: of each class the first SAMPLE rows by
 hash of their id, up to SAMPLE_BYTES of text in all (whole texts); half of them,
 by another hash, build the dictionaries and the others fit the curve. Every text
 is scored whole. Only the text enters the score.
 
-Null texts count as empty; an empty text has difference 0 and gets the curve's
-value there. Repeated rows get the same score. If a class has no rows, every
+Null texts count as empty; an empty text gets the curve's value
+for no difference. Repeated rows get the same score. If a class has no rows, every
 score is the good rows' share (0.5 without any).
 """
 
@@ -39,10 +41,11 @@ class Compressors:
         self.pair = [zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (good, bad)]
         self.floor = [len(c.compress(b"")) for c in self.pair]
 
-    def difference(self, text: bytes) -> float:
-        """-1 to 1; above 0 if the good dictionary fits better."""
+    def measures(self, text: bytes) -> tuple[float, float, float, float]:
+        """The difference by the sizes' sum (above 0 if the good dictionary fits better) and by the text's size, the sum by the text's size, and the size's logarithm."""
         g, b = (len(c.compress(text)) - f for c, f in zip(self.pair, self.floor, strict=True))
-        return (b - g) / (b + g) if b + g > 0 else 0.0
+        n, total = max(1, len(text)), max(1, g + b)
+        return (b - g) / total, (b - g) / n, (g + b) / n, math.log(n)
 
 
 def dictionary(texts: list[bytes], size: int = DICTIONARY) -> bytes:
@@ -54,18 +57,24 @@ def dictionary(texts: list[bytes], size: int = DICTIONARY) -> bytes:
         return b"\n".join(texts)[-size:] or b"\n" * 8
 
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-3) -> tuple[float, float, float]:
-    """Slope, intercept and scale of P(y=1) by Newton's method."""
-    scale = float(x.std()) or 1.0
-    z = np.column_stack([x / scale, np.ones(len(x))])
-    w = np.zeros(2)
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge * np.eye(2), z.T @ (y - p) - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-10:
-            break
-    return float(w[0]), float(w[1]), scale
+class Curve:
+    """P(y=1) as a logistic function of standardised columns, by weighted Newton steps."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60, ridge: float = 1e-3) -> None:
+        self.mean, self.scale = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
+        z, self.w = self._columns(x), np.zeros(x.shape[1] + 1)
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
+            step = np.linalg.solve(z.T @ (z * (weight * p * (1 - p))[:, None]) + ridge * np.eye(len(self.w)), z.T @ (weight * (y - p)) - ridge * self.w)
+            self.w += step
+            if np.abs(step).max() < 1e-10:
+                break
+
+    def _columns(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))])
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self._columns(x) @ self.w, -30, 30)))
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, size: int = DICTIONARY) -> dict:
@@ -92,25 +101,27 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BY
             build[y == label] = np.arange((y == label).sum()) % 2 == 0
     good, bad = (dictionary([p[0] for p, u in zip(parts, build & (y == label), strict=True) if u], size) for label in (1, 0))
     pair = Compressors(good, bad)
-    x = np.array([pair.difference(p[0]) for p in parts])
     use = ~build if len(set(y[~build].tolist())) == 2 else np.ones(len(y), bool)
-    return {"good": good, "bad": bad, "curve": logistic(x[use], y[use].astype(float))}
+    x, y = np.array([pair.measures(p[0]) for p, u in zip(parts, use, strict=True) if u]), y[use].astype(float)
+    totals = {r.quality: r["count"] for r in labelled.groupBy("quality").count().collect()}
+    share = totals[1] / (totals[0] + totals[1])
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    return {"good": good, "bad": bad, "curve": Curve(x, y, weight)}
 
 
 def score_documents(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score and the normalised size difference of each row of docs (doc_id, b)."""
     tune(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries and three numbers
+    held = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries and a few numbers
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m, texts = held.value, batch.column(1).to_pylist()
         if "prior" in m:
-            x = s = np.full(len(texts), m["prior"])
+            x, s = np.zeros(len(texts)), np.full(len(texts), m["prior"])
         else:
             pair = Compressors(m["good"], m["bad"])
-            slope, start, scale = m["curve"]
-            x = np.array([pair.difference(t) for t in texts])
-            s = 1 / (1 + np.exp(-np.clip(slope * x / scale + start, -30, 30)))
+            measures = np.array([pair.measures(t) for t in texts])
+            x, s = measures[:, 0], m["curve"](measures)
         return record(doc_id=batch.column(0), difference=pa.array(x), score=pa.array(s))
 
     return by_batch(docs.select("doc_id", "b"), run, "doc_id long, difference double, score double")
