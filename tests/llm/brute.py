@@ -29,9 +29,9 @@ def shingle_set(text, k=4):
     return frozenset(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
 
 
-def jaccard_components(rows, percent=85):
+def jaccard_components(rows, percent=85, k=4):
     """rows of (doc_id, text): per row (doc_id, size, component)."""
-    sets = [(i, shingle_set(t)) for i, t in rows]
+    sets = [(i, shingle_set(t, k)) for i, t in rows]
     pairs = []
     for a, (i, s) in enumerate(sets):
         for j, t in sets[:a]:

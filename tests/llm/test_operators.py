@@ -267,7 +267,7 @@ def test_jaccard_join_near_the_threshold(spark, monkeypatch):
 
 def test_jaccard_stage(spark, docs):
     out = jaccard_join.stage(spark, docs, "")
-    comp = brute.jaccard_components([(i, t) for i, t, *_ in corpus()])
+    comp = brute.jaccard_components([(i, t) for i, t, *_ in corpus()], 80, 5)
     want = sorted({i for i, _, c in comp if i is not None and i == c}) + [None]
     assert sorted((r.doc_id for r in out.collect()), key=lambda x: (x is None, x)) == want and out.columns == docs.columns
 
