@@ -1,7 +1,8 @@
 """Secret scans: pattern candidates, and a random forest that removes the false ones.
 
 Candidates are long runs of key characters that hold a digit or mix cases, and
-values assigned with `=` or `:` after a telling name. Features of a candidate:
+values assigned with `=` or `:` after a telling name. A run that holds such an
+assignment is cut there, so that the value is judged alone. Features of a candidate:
 its length, its character classes and the transitions between them, dictionary
 coverage, path-like marks, and the neighbouring words. A random forest trained
 on labelled findings gives the probability that it is a secret.
@@ -12,8 +13,9 @@ placeholders, numbers, identifiers and long words). At most FINDINGS of them are
 used, so the forest is of bounded size; it is trained once and sent with the
 task. Every text is searched whole, alone, with no shuffle.
 
-Null texts count as empty: no candidates. Overlapping candidates merge into the
-longer one; ties keep the first. Repeated rows give repeated results. Offsets
+Null texts count as empty: no candidates. A value of any length is one candidate,
+up to a further `&name=`; one inside another belongs to it, unless only a telling
+name stands before. Repeated rows give repeated results. Offsets
 count code points of the text.
 """
 
@@ -38,7 +40,10 @@ FINDINGS = 6000
 TREES, DEPTH, LEAF = 30, 9, 5
 CUT = 0.5
 RUN = re.compile(rb"[A-Za-z0-9+/_=.-]{16,}")
-ASSIGNED = re.compile(rb"[:=][ \t]*[\"']?([^\s\"'`<>{}()\[\],;]{6,200})")
+ASSIGNED = re.compile(rb"[:=][ \t]*[\"']?")
+VALUE = re.compile(rb"[^\s\"'`<>{}()\[\],;]+")
+PARAMETER = re.compile(rb"&[A-Za-z_][\w.%-]{0,63}=")
+NAME = re.compile(rb"(?i)[:=\"' \t]*(?:(?:[a-z0-9]+[_.-]){0,8}(?:token|secret|passw(?:or)?d|pwd|api-?key|auth|bearer|credentials?|key))?[:=\"' \t]*")
 TELLING = re.compile(rb"(?i)(token|secret|passw(?:or)?d|pwd|api[_-]?key|apikey|auth|bearer|credential|private[_-]?key|access[_-]?key|key)\W{0,4}$")
 NAMED = re.compile(rb"(?i)(token|secret|passw|pwd|api|auth|bearer|credential|private|access|key)")
 MOCK = re.compile(rb"(?i)(example|sample|dummy|placeholder|your|test|changeme|xxxx|fake|todo|insert|sha|md5|commit|checksum|digest|uuid|isbn|version)")
@@ -88,29 +93,53 @@ def features(value: bytes, before: bytes, after: bytes) -> list[float]:
     ]
 
 
-def candidates(text: bytes) -> list[tuple[int, int]]:
-    """Byte spans, in order, without overlaps."""
-    found = []
-    for m in RUN.finditer(text):
-        v = m[0].strip(EDGE)
-        if len(v) >= 16 and (not v.isalpha() or not (v.islower() or v.isupper() or v[1:].islower())):
-            start = m.start() + m[0].index(v[:1])
-            if any(48 <= c <= 57 for c in v) or not v.islower():
-                found.append((start, start + len(v)))
+def assigned(text: bytes) -> list[tuple[int, int, int]]:
+    """Spans of values after a telling name, in order and without overlaps, each with the place of its `=` or `:`."""
+    out: list[tuple[int, int, int]] = []
+    last = 0  # where the run of value characters last met ends
     for m in ASSIGNED.finditer(text):
-        if TELLING.search(text[max(0, m.start() - 24) : m.start()].rstrip(b" \t\"'")):
-            v = m[1].rstrip(b".!?")
-            found.append((m.start(1), m.start(1) + len(v)))
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(found, key=lambda x: (x[0], -x[1])):
-        if out and a < out[-1][1]:
-            if b - a > out[-1][1] - out[-1][0]:
-                out[-1] = (a, b)
-        else:
-            out.append((a, b))
+        if not TELLING.search(text[max(0, m.start() - 24) : m.start()].rstrip(b" \t\"'")):
+            continue
+        start = m.end()
+        if out and start < out[-1][1]:  # inside a value: a name of its own is cut off, all else belongs to that value
+            if m.start() - out[-1][0] <= 100 and out[-1][1] - start >= 6 and NAME.fullmatch(text[out[-1][0] : m.start()]):
+                out[-1] = (start, out[-1][1], m.start())
+            continue
+        if start >= last:
+            run = VALUE.match(text, start)
+            last = run.end() if run else start
+        if last - start < 6:
+            continue
+        end = last
+        if (more := PARAMETER.search(text, start, last)) and more.start() - start >= 6:
+            end = more.start()
+        if v := text[start:end].rstrip(b".!?"):
+            out.append((start, start + len(v), m.start()))
     return out
 
 
+def candidates(text: bytes) -> list[tuple[int, int]]:
+    """Byte spans, in order, without overlaps; a run is cut where an assigned value and its name meet."""
+    values = assigned(text)
+    found = [(a, b) for a, b, _ in values]
+    at = 0
+    for m in RUN.finditer(text):
+        while at < len(values) and values[at][1] <= m.start():
+            at += 1
+        pieces, begin, k = [], m.start(), at
+        while k < len(values) and values[k][2] < m.end():
+            pieces.append((begin, values[k][2]))
+            begin, k = max(begin, values[k][1]), k + 1
+        for begin, end in [*pieces, (begin, m.end())]:
+            piece = text[begin:end]
+            v = piece.strip(EDGE)
+            if len(v) >= 16 and (not v.isalpha() or not (v.islower() or v.isupper() or v[1:].islower())):
+                start = begin + piece.index(v[:1])
+                if any(48 <= c <= 57 for c in v) or not v.islower():
+                    found.append((start, start + len(v)))
+    return sorted(found)
+
+
 def context(text: bytes, span: tuple[int, int]) -> tuple[bytes, bytes, bytes]:
     a, b = span
     return text[a:b], text[max(0, a - 40) : a], text[b : b + 16]
