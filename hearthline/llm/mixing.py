@@ -3,15 +3,19 @@
 The slots 0, 1, 2, .. of the mix get the points frac(n * golden ratio), and each
 point falls into a source's part of the cumulative targets. The slots of a
 source are ranked; each source's documents stand in shuffled order as one line of
-words, cut into blocks of equal length, and the slot of rank r takes block r
-modulo the number of blocks. So any stretch of slots holds the sources close to
-their shares, and a source is taken whole before any of it repeats.
+words, cut into blocks of the source's own length, and the slot of rank r takes
+block r modulo the number of blocks. So any stretch of slots holds the sources
+close to their shares, and a source is taken whole before any of it repeats. A
+source has as many slots as its target fills: the last one is taken in part,
+points beyond them are passed over, and slots that the points leave out follow at
+the end. So each source, however small, is taken to its target rounded to words
+(one at least); in whole documents (`copies`) less than one document more or less.
 
 Only DataFrame functions are used. Running sums over a source's documents and
 ranks of its slots are built from sums per bin (bounded rows) and windows inside
 a bin, so a source with a third of all rows is no task of its own. The number of
-slots is about the words of the mix over BLOCK words, where the block grows with
-the input between fixed bounds.
+slots is about the words of the mix over a block's, which grows with the input
+between fixed bounds, and LEAST_SLOTS for each source that fills fewer.
 
 Null texts have size 0 and are taken 0 times; a null source is a source, the
 last. An empty table, or one without words, has targets 0. Repeated rows are rows
@@ -31,6 +35,7 @@ SHARE = 1.5
 MOST = 2
 GOLDEN = 0.6180339887498949
 LEAST_BLOCK, MOST_BLOCK, BLOCKS = 32, 1 << 16, 1 << 16
+LEAST_SLOTS = 16
 CELLS = 1024
 CHUNK = 4096
 BIN_ROWS = 256
@@ -61,26 +66,40 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return out.select("source", "rank", "source_size", F.coalesce(F.least("cap", level * F.col("weight")), F.lit(0.0)).alias("target"))
 
 
-def schedule(sources: DataFrame, slots: int, block: int, most: float = MOST) -> DataFrame:
-    """(rank, block, times): how often the slots take each block of each source."""
-    total = F.sum("target").over(Window.partitionBy())
-    upto = F.sum("target").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    parts = sources.where("target > 0").select("rank", "source_size", ((upto - F.col("target")) / total).alias("low"), (upto / total).alias("high"))
+def slotted(sources: DataFrame, block: int) -> DataFrame:
+    """sources (of targets()) with the length of its blocks, their number, its slots, and the words of the last slot if it is taken in part."""
+    out = sources.withColumn("words", F.when(F.col("target") > 0, F.greatest(F.lit(1), F.round("target").cast("long"))).otherwise(0))
+    out = out.withColumn("length", F.least(F.lit(block), F.greatest(F.lit(1), F.ceil(F.col("words") / LEAST_SLOTS))).cast("long"))
+    out = out.withColumn("blocks", F.ceil(F.col("source_size") / F.col("length"))).withColumn("over", F.coalesce(F.expr("try_mod(words, source_size)"), F.lit(0)))
+    out = out.withColumn("slots", F.coalesce(F.expr("cast(try_divide(words - over, source_size) as bigint)"), F.lit(0)) * F.col("blocks") + F.ceil(F.col("over") / F.col("length")))
+    return out.withColumn("tail", F.col("over") % F.col("length")).drop("words", "over")
+
+
+def schedule(sources: DataFrame, n_sources: int, slots: int) -> DataFrame:
+    """(rank, block, times, tail): how often the slots take each block of each source, and how many of its first words once more."""
+    total = F.sum("slots").over(Window.partitionBy())
+    upto = F.sum("slots").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    used = sources.where("slots > 0").select("rank", "blocks", F.col("slots").alias("need"), "tail")
+    parts = sources.where("slots > 0").select("rank", ((upto - F.col("slots")) / total).alias("low"), (upto / total).alias("high"))
     last = F.max("rank").over(Window.partitionBy())
     parts = parts.withColumn("high", F.when(F.col("rank") == last, F.lit(2.0)).otherwise(F.col("high")))
-    top = F.least(F.lit(CELLS - 1), F.floor(F.col("high") * CELLS))
-    parts = parts.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * CELLS), top)))  # at most sources + CELLS rows
+    cells = max(CELLS, n_sources)
+    top = F.least(F.lit(cells - 1), F.floor(F.col("high") * cells))
+    parts = parts.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * cells), top)))  # at most sources + cells rows
     n = F.col("id")
     point = (n + 0.5) * GOLDEN - F.floor((n + 0.5) * GOLDEN)
-    points = sources.sparkSession.range(slots).select("id", point.alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
-    taken = points.join(F.broadcast(parts) if slots else parts, "cell").where("u >= low and u < high").select("id", "rank", "source_size", F.floor(n / CHUNK).alias("chunk"))
+    points = sources.sparkSession.range(slots).select("id", point.alias("u")).withColumn("cell", F.floor(F.col("u") * cells))
+    taken = points.join(_if_small(parts, n_sources), "cell").where("u >= low and u < high").select("id", "rank", F.floor(n / CHUNK).alias("chunk"))
     sums = taken.groupBy("rank", "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy("rank").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("rank", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    sums = cut(sums.select("rank", "chunk", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
     place = F.col("before") + F.row_number().over(Window.partitionBy("rank", "chunk").orderBy("id")) - 1
-    blocks = F.ceil(F.col("source_size") / block)
-    ranked = taken.join(sums, ["rank", "chunk"]).withColumn("place", place).withColumn("blocks", blocks).where(F.col("place") < F.col("blocks") * int(most))
-    return ranked.groupBy("rank", F.pmod("place", "blocks").alias("block")).agg(F.count("*").alias("times"))
+    placed = taken.join(sums, ["rank", "chunk"]).select("rank", place.alias("place"))
+    met = used.join(sums.groupBy("rank").agg(F.sum("n").alias("met")), "rank", "left").withColumn("met", F.coalesce("met", F.lit(0)))
+    missing = met.where("met < need").select("rank", F.explode(F.sequence(F.col("met"), F.col("need") - 1)).alias("place"))
+    ranked = placed.unionByName(missing).join(_if_small(used, n_sources), "rank").where("place < need")
+    part = (F.col("place") == F.col("need") - 1) & (F.col("tail") > 0)
+    return ranked.groupBy("rank", F.pmod("place", "blocks").alias("block")).agg(F.count_if(~part).alias("times"), F.max(F.when(part, F.col("tail")).otherwise(0)).alias("tail"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -93,10 +112,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("h")))
     sizes = cut(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")))
     n_sources, words, n_rows = sizes.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
-    sources = cut(targets(sizes.drop("rows"), weights, share, most))
-    block = max(LEAST_BLOCK, min(MOST_BLOCK, words // BLOCKS))
-    taken = schedule(sources, round(words * share / block), block, most)
+    sources = cut(slotted(targets(sizes.drop("rows"), weights, share, most), max(LEAST_BLOCK, min(MOST_BLOCK, words // BLOCKS))))
+    taken = schedule(sources, n_sources, sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0])
     bins = max(1, min(1 << 16, n_rows // BIN_ROWS))
+    sources = sources.select("source", "rank", "source_size", "target", "length")
     rows = rows.join(_if_small(sources, n_sources), rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     rows = rows.withColumn("key", F.xxhash64("doc_id", "h", F.lit(17))).withColumn("bin", F.pmod("key", F.lit(bins)))
     sums = rows.groupBy("rank", "bin").agg(F.sum("size").alias("n"))
@@ -104,12 +123,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     sums = sums.select("rank", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     order = Window.partitionBy("rank", "bin").orderBy("key", "doc_id")
     placed = rows.join(sums, ["rank", "bin"]).withColumn("row", F.row_number().over(order)).withColumn("start", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
+    length, end = F.col("length"), F.col("start") + F.col("size")
+    first, last = F.floor(F.col("start") / length), F.floor((end - 1) / length)
     cutup = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
-    part = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
-    held = cutup.join(taken, ["rank", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    held = cutup.join(taken, ["rank", "block"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("times", "tail")})
+    low, high = F.greatest("start", F.col("block") * length), F.least(end, (F.col("block") + 1) * length)
+    part = (high - low) * F.col("times") + F.greatest(F.lit(0), F.least(high, F.col("block") * length + F.col("tail")) - low)
+    once_more = (F.col("start") - F.col("block") * length < F.col("tail")).cast("int")
     keys = ["doc_id", "source", "h", "size", "source_size", "target", "rank", "bin", "row", "start"]
-    out = held.groupBy(*keys).agg(F.coalesce(F.sum(part * F.col("times")), F.lit(0)).cast("long").alias("taken"), F.coalesce(F.max(F.when(F.col("block") == F.floor(F.col("start") / block), F.col("times"))), F.lit(0)).cast("int").alias("copies"))
+    out = held.groupBy(*keys).agg(F.coalesce(F.sum(part), F.lit(0)).cast("long").alias("taken"), F.coalesce(F.max(F.when(F.col("block") == first, F.col("times") + once_more)), F.lit(0)).cast("int").alias("copies"))
     return out.select("doc_id", "source", "h", "size", "source_size", "target", "taken", "copies")
 
 

@@ -326,6 +326,26 @@ def test_mixing(spark, docs):
     assert stage.columns == docs.columns and stage.count() > 0
 
 
+@pytest.mark.parametrize("small", [100_000, 10])
+def test_mixing_small_sources(spark, monkeypatch, small):
+    """Sources far below the common block: each is taken to its target, by broadcast or by shuffle."""
+    r = random.Random(9)
+    monkeypatch.setattr(mixing, "SMALL", small)
+    monkeypatch.setattr(mixing, "LEAST_BLOCK", 500)
+    rows = [(f"s{i}", r.choice([0, 1, 2, 7, 30, 31, 33, 200])) for i in range(300) for _ in range(r.randint(1, 3))] + [("big", 900)] * 20
+    target, size = shares(rows)
+    docs = spark.createDataFrame([(i, s, " ".join(["w"] * n)) for i, (s, n) in enumerate(rows)], "doc_id long, source string, text string")
+    out = mixing.mix(docs).collect()
+    taken, copied, longest = Counter(), Counter(), Counter()
+    for x in out:
+        assert 0 <= x.taken <= 2 * x.size and 0 <= x.copies <= 2
+        taken[x.source] += x.taken
+        copied[x.source] += x.copies * x.size
+        longest[x.source] = max(longest[x.source], x.size)
+    assert len(out) == len(rows) and all(abs(taken[s] - target[s]) <= 1 for s in size)
+    assert all(abs(copied[s] - target[s]) <= longest[s] + 1 for s in size) and all(copied[s] > 0 for s in size if size[s])
+
+
 def test_targets(spark):
     r = random.Random(3)
     for _ in range(5):
