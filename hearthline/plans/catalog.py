@@ -57,7 +57,7 @@ VIEWS = {
         from {orders}""",
     "messages": """
         select conv_id, turn, case when turn % 3 = 0 then 'Looking for a place' when turn % 3 = 1 then concat('No fee ', cast(conv_id % 4 + 1 as string), 'BR for rent $', cast(500 + conv_id * 37 % 40000 as string)) else 'Sublet' end as title,
-               concat(substr(text, 1, 40), case when conv_id % 2 = 0 then ' in Astoria or Chelsea, $1,900' else ' $99' end) as body
+               concat(text, case when conv_id % 2 = 0 then ' in Astoria or Chelsea, $1,900' else ' $99' end) as body
         from {conversations}""",
     "searches": """
         select 'cheap' as name, 3000 as max_price, cast(1 as double) as min_beds, cast(null as double) as max_beds, array('Queens', 'Bronx') as boroughs, cast(null as boolean) as require_no_fee, cast(null as int) as min_sqft, 'medium' as min_confidence

@@ -238,3 +238,12 @@ def test_counters(spark):
     assert (got["b"].ok, got["b"].error, got["b"].sweep) == (False, "only 1 rows returned", False) and not got["c"].ok
 
 
+
+
+def test_social_reads_whole_messages(spark, tmp_path):
+    from hearthline.plans import catalog
+
+    long = "hello there " * 100
+    spark.createDataFrame([(1, 2, f"{long}2 br in Harlem for $800 now"), (1, 5, long)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(tuple(r) for r in catalog.social(spark, str(tmp_path)).collect())
+    assert got == [(1, 2, True, 800, "2 br", "harlem"), (1, 5, True, None, None, None)]
