@@ -8,9 +8,10 @@ a difference means) through a logistic curve, fitted to labelled rows that built
 no dictionary and weighted to the classes' true shares.
 
 Labels are learnt from a bounded sample: of each class the first SAMPLE rows by
-hash of their id, up to SAMPLE_BYTES of text in all (whole texts); half of them,
-by another hash, build the dictionaries and the others fit the curve. Every text
-is scored whole. Only the text enters the score.
+hash of their id, up to SAMPLE_BYTES of text in all (whole texts; one that doesn't
+fit is passed over, and of a class with none that fits the shortest stands with
+its beginning); half of them, by another hash, build the dictionaries and the
+others fit the curve. Every text is scored whole. Only the text enters the score.
 
 Null texts count as empty; an empty text gets the curve's value
 for no difference. Repeated rows get the same score. If a class has no rows, every
@@ -20,11 +21,12 @@ score is the good rows' share (0.5 without any).
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearthline.llm.common import by_batch, known, record, table, text_bytes, tune
@@ -77,6 +79,11 @@ class Curve:
         return 1 / (1 + np.exp(-np.clip(self._columns(x) @ self.w, -30, 30)))
 
 
+def kept_keys(spark: SparkSession, kept: list[tuple[int, int, int]]) -> DataFrame:
+    """The kept rows' keys (o, doc_id, n), and how many rows of each are kept; at most SAMPLE."""
+    return spark.createDataFrame([(*k, c) for k, c in Counter(kept).items()], "o long, doc_id long, n int, times int")
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, size: int = DICTIONARY) -> dict:
     """The model from rows of (doc_id, b, quality); what reaches the driver is bounded by sample and sample_bytes."""
     order = F.xxhash64("doc_id", F.lit(11))
@@ -84,14 +91,18 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BY
     for label in (1, 0):
         rows = labelled.where(F.col("quality") == label).select("doc_id", "b", F.lit(label).alias("quality"), order.alias("o"), F.length("b").alias("n"))
         room, kept = sample_bytes // 2, []
-        first = rows.select("o", "doc_id", "n").orderBy("o", "doc_id", "n").limit(sample).collect()
-        for r in first:
-            if r.n > room:
-                break
-            room -= r.n
-            kept.append(r.o)
+        keys = ["o", "doc_id", "n"]
+        for r in rows.where(F.col("n") <= room).select(*keys).orderBy(*keys).limit(sample).collect():
+            if r.n <= room:
+                room -= r.n
+                kept.append(tuple(r))
         if kept:
-            parts += [(bytes(r.b), label, r.o) for r in rows.where(F.col("o") <= kept[-1]).orderBy("o", "doc_id", "n").limit(len(kept)).select("b", "o").collect()]
+            times = kept_keys(labelled.sparkSession, kept)
+            nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("b")))
+            got = rows.where(F.col("o") <= kept[-1][0]).join(F.broadcast(times), keys).withColumn("nth", nth).where("nth <= times").select(*keys, "b").collect()
+        else:
+            got = rows.orderBy("n", "o", "doc_id").select(*keys, F.substring("b", 1, room).alias("b")).limit(1).collect()
+        parts += [(bytes(r.b), label, r.o) for r in sorted(got, key=lambda r: (r.o, r.doc_id, r.n, bytes(r.b)))]
     y = np.array([p[1] for p in parts])
     if len(set(y.tolist())) < 2:
         return {"prior": float(y.mean()) if len(y) else 0.5}

@@ -258,6 +258,19 @@ def test_compress_quality(spark, docs):
     assert {x.score for x in one.collect()} == {1.0} and compress_quality.classify(docs, labels.limit(0)).count() == docs.count() and compress_quality.classify(df.limit(0), labels).count() == 0
 
 
+def test_compress_quality_with_long_texts(spark):
+    """A labelled text that doesn't fit the sample takes no other one's place."""
+    rows = [(i, ("the green river " if i % 2 else "buy now !!! ") * (5 + i % 7), i % 2) for i in range(200)] + [(3, "the green house " * 9, 1), (3, "the green house " * 9, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int").withColumn("b", F.col("text").cast("binary"))
+    first = {r.quality: r.d for r in df.groupBy("quality").agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(11))).alias("d")).collect()}
+    long = df.withColumn("b", F.when(F.col("doc_id").isin(*first.values()), F.repeat("text", 5000).cast("binary")).otherwise(F.col("b")))
+    model = compress_quality.fit(long, sample_bytes=200_000)
+    assert "curve" in model and model["good"] != model["bad"]
+    others = compress_quality.fit(long.where(~F.col("doc_id").isin(*first.values())), sample_bytes=200_000)
+    assert model["good"] == others["good"] and model["bad"] == others["bad"]
+    assert "curve" in compress_quality.fit(df, sample_bytes=100)  # no text of one class fits
+
+
 @pytest.mark.parametrize("unit,limit", [(1_500_000, 400_000), (300, 400_000), (1_500_000, 0)])
 def test_jaccard_join(spark, docs, unit, limit):
     rows = [(i, t) for i, t, *_ in corpus()]
