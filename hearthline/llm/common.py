@@ -44,26 +44,31 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder all executors share and go on from there.
+def folder(spark: SparkSession) -> str:
+    """The folder for intermediate results, the session's spark.checkpoint.dir, which all executors share.
 
-    The folder is the session's spark.checkpoint.dir; one is made up only where
-    that is unset, as in local tests.
+    Where that is unset a local master gets a temporary folder of its own, as in tests; a cluster gets an error.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hearthline-"))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="hearthline-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the checkpoint folder and go on from there; for small results."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def store(df: DataFrame) -> DataFrame:
     """Write df as Parquet below the checkpoint folder and read it again; for wide or large results."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hearthline-"))
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def text_bytes(column: str = "text"):
@@ -170,34 +175,36 @@ def record(**columns) -> pa.RecordBatch:
 FILTER_BITS = 24
 
 
-def known(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """The rows of docs whose doc_id is in ids (a semi join).
+def known(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS, on: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The rows of docs whose key (long columns) is in ids (a semi join).
 
     Most rows that have no partner are ruled out before the shuffle by a filter of
     2^bits bits, held as at most 2^(bits-6) broadcast rows of 64; it has no false
     negatives, and what passes it is joined exactly.
     """
-    some, _ = _sifted(docs, ids, bits)
-    return some.join(_ids(ids).distinct().hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
+    some, _ = _sifted(docs, ids, on, bits)
+    return some.join(_ids(ids, on).distinct().hint("shuffle_hash"), list(on), "left_semi").select(docs.columns)
 
 
-def without(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """The rows of docs whose doc_id is not in ids; what the filter of known() rules out doesn't move."""
-    some, rest = _sifted(docs, ids, bits)
-    return rest.unionByName(some.join(_ids(ids).distinct().hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns))
+def without(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS, on: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The rows of docs whose key is not in ids; what the filter of known() rules out doesn't move."""
+    some, rest = _sifted(docs, ids, on, bits)
+    return rest.unionByName(some.join(_ids(ids, on).distinct().hint("shuffle_hash"), list(on), "left_anti").select(docs.columns))
 
 
-def _ids(ids: DataFrame) -> DataFrame:
-    return ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+def _ids(ids: DataFrame, on: tuple[str, ...]) -> DataFrame:
+    return ids.select(*[F.col(c).cast("long").alias(c) for c in on]).dropna()
 
 
-def _sifted(docs: DataFrame, ids: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+def _sifted(docs: DataFrame, ids: DataFrame, on: tuple[str, ...], bits: int) -> tuple[DataFrame, DataFrame]:
     """Rows of docs that the filter of ids lets pass, and the others."""
-    slot = f"pmod(xxhash64(cast(doc_id as bigint)), {1 << bits})"
+    slot = f"pmod(xxhash64({', '.join(f'cast({c} as bigint)' for c in on)}), {1 << bits})"
     bit = f"cast({slot} & 63 as int)"
-    words = _ids(ids).select(F.expr(f"cast(shiftright({slot}, 6) as int)").alias("_w"), F.expr(f"shiftleft(1L, {bit})").alias("_m")).groupBy("_w").agg(F.bit_or("_m").alias("_m"))
+    words = _ids(ids, on).select(F.expr(f"cast(shiftright({slot}, 6) as int)").alias("_sift_w"), F.expr(f"shiftleft(1L, {bit})").alias("_sift_m")).groupBy("_sift_w").agg(F.bit_or("_sift_m").alias("_sift_m"))
     words = cut(words)  # at most 2^(bits-6) rows
-    held = docs.withColumn("_w", F.expr(f"cast(shiftright({slot}, 6) as int)"))
-    passes = F.coalesce(F.expr(f"shiftright(_m, {bit}) & 1") == 1, F.lit(False)) & F.col("doc_id").isNotNull()
-    held = held.join(F.broadcast(words), "_w", "left").withColumn("_some", passes)
-    return held.where("_some").select(docs.columns), held.where("not _some").select(docs.columns)
+    held = docs.withColumn("_sift_w", F.expr(f"cast(shiftright({slot}, 6) as int)"))
+    passes = F.coalesce(F.expr(f"shiftright(_sift_m, {bit}) & 1") == 1, F.lit(False))
+    for c in on:
+        passes = passes & F.col(c).isNotNull()
+    held = held.join(F.broadcast(words), "_sift_w", "left").withColumn("_sift_some", passes)
+    return held.where("_sift_some").select(docs.columns), held.where("not _sift_some").select(docs.columns)

@@ -30,17 +30,23 @@ def shingle_set(text, k=4):
 
 
 def jaccard_components(rows, percent=85, k=4):
-    """rows of (doc_id, text): per row (doc_id, size, component)."""
+    """rows of (doc_id, text): per row (doc_id, size, component); a row is placed by its own text."""
     sets = [(i, shingle_set(t, k)) for i, t in rows]
-    pairs = []
-    for a, (i, s) in enumerate(sets):
-        for j, t in sets[:a]:
-            if s and t and i is not None and j is not None:
-                o = len(s & t)
-                if 100 * o >= percent * (len(s) + len(t) - o):
-                    pairs.append((i, j))
-    c = components({i for i, _ in sets if i is not None}, pairs)
-    return [(i, len(s), c.get(i)) for i, s in sets]
+    least = {}
+    for i, s in sets:
+        if s and i is not None:
+            least[s] = min(i, least.get(s, i))
+    nodes, pairs = list(least), []
+    for a, s in enumerate(nodes):
+        for b in range(a):
+            o = len(s & nodes[b])
+            if 100 * o >= percent * (len(s) + len(nodes[b]) - o):
+                pairs.append((a, b))
+    c, first = components(range(len(nodes)), pairs), {}
+    for a, s in enumerate(nodes):
+        first[c[a]] = min(least[s], first.get(c[a], least[s]))
+    at = {s: first[c[a]] for a, s in enumerate(nodes)}
+    return [(i, len(s), at[s] if s and i is not None else i) for i, s in sets]
 
 
 def base_quality(text):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hearthline.llm import byte_bpe, compress_quality, embedding_dedup, jaccard_join, license_scan, maxent_lm, mixing, quality_rules, secret_scan, sharding
 from tests.llm import brute
-from tests.llm.conftest import corpus
+from tests.llm.conftest import corpus, prose
 
 
 def key(x):
@@ -298,11 +298,65 @@ def test_jaccard_join_near_the_threshold(spark, monkeypatch):
         assert sorted(tuple(x) for x in jaccard_join.join_documents(df, unit=unit).collect()) == want
 
 
+@pytest.mark.parametrize("unit", [1_500_000, 1000])
+def test_jaccard_join_of_large_groups(spark, unit):
+    """A group of near copies over many chunks, with sets on its edge, and a few that link to those only."""
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for k in range(70):
+        w = list(base)
+        w[r.randrange(60)] = f"k{k}"
+        texts.append(" ".join(w))
+    for k in range(12):  # a path that leads away from the group
+        texts.append(" ".join(base[: 60 - 3 * k] + [f"p{i}" for i in range(3 * k)]))
+    texts += [" ".join([*base[:50], *(f"o{k}y{i}" for i in range(9))]) for k in range(15)]
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    want = brute.jaccard_components(rows)
+    assert 1 < len({c for *_, c in want}) < 30
+    got = jaccard_join.join_documents(spark.createDataFrame(rows, "doc_id long, text string"), unit=unit)
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want)
+
+
+def test_jaccard_join_places_rows_by_text(spark):
+    """Repeated ids of unlike texts, exact and near copies: components and what the stage keeps."""
+    r = random.Random(13)
+    a, b, c, d = (prose(r, 60, 10**6) for _ in range(4))
+    near = lambda t: t + " more"
+    rows = [(1, a), (5, a), (5, b), (9, c), (9, d), (9, d), (12, near(b)), (12, near(d)), (14, None), (14, None), (None, a), (3, "")] + [(77, prose(r, 40, 10**6)) for _ in range(150)] + [(78, a)] * 40
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, t int, n int, rep int")
+    got = sorted((tuple(x) for x in jaccard_join.join_documents(df).collect()), key=key)
+    assert got == sorted(brute.jaccard_components(rows), key=key)
+    by = {(i, t): c for (i, t), (_, _, c) in zip(rows, brute.jaccard_components(rows), strict=True)}
+    assert (by[5, a], by[5, b], by[12, near(b)], by[12, near(d)]) == (1, 5, 5, 9)
+    kept = [(x.doc_id, x.text) for x in jaccard_join.stage(spark, df, "").collect()]
+    want = [(1, a), (5, b), (9, c), (9, d), (14, None), (14, None), (None, a), (3, "")] + [(i, t) for i, t in rows if i == 77]
+    assert sorted(kept, key=key) == sorted(want, key=key)
+
+
+def test_jaccard_join_moves_each_text_once(spark, monkeypatch):
+    """What goes into units is linear: one row a set, whatever the number of rows that share its id."""
+    r = random.Random(14)
+    base = prose(r, 80, 10**6).split()
+    texts = [" ".join([*base, f"n{k}"]) for k in range(80)]
+    moved = []
+    real = jaccard_join.unit_links
+    monkeypatch.setattr(jaccard_join, "unit_links", lambda rows, *a: (moved.append(rows.count()), real(rows, *a))[1])
+    for n in (20, 80):
+        moved.clear()
+        df = spark.createDataFrame([(7, t) for t in texts[:n]] * 2, "doc_id long, text string")
+        assert {x.component_id for x in jaccard_join.join_documents(df, unit=1000).collect()} == {7}
+        assert sum(moved) <= 2 * n + 2
+
+
 def test_jaccard_stage(spark, docs):
     out = jaccard_join.stage(spark, docs, "")
-    comp = brute.jaccard_components([(i, t) for i, t, *_ in corpus()], 80, 5)
-    want = sorted({i for i, _, c in comp if i is not None and i == c}) + [None]
-    assert sorted((r.doc_id for r in out.collect()), key=lambda x: (x is None, x)) == want and out.columns == docs.columns
+    rows = [(i, t) for i, t, *_ in corpus()]
+    comp = brute.jaccard_components(rows, 80, 5)
+    want = [i for i, n, _ in comp if i is None or n == 0] + list({(i, t) for (i, t), (_, n, c) in zip(rows, comp, strict=True) if i is not None and n and i == c})
+    want = [x if isinstance(x, int) or x is None else x[0] for x in want]
+    assert sorted((r.doc_id for r in out.collect()), key=lambda x: (x is None, x or 0)) == sorted(want, key=lambda x: (x is None, x or 0)) and out.columns == docs.columns
 
 
 def shares(rows):
