@@ -5,7 +5,8 @@ resembles the good ones compresses better with the good dictionary. The
 difference of the two sizes, normalised by their sum and by the text's own size,
 goes with how far the text shrinks at all and how long it is (both say how much
 a difference means) through a logistic curve, fitted to labelled rows that built
-no dictionary and weighted to the classes' true shares.
+no dictionary and weighted to the classes' true shares. A second curve sees the
+difference by the sizes' sum alone; its value is `difference_score`, beside `score`.
 
 Labels are learnt from a bounded sample: of each class the first SAMPLE rows by
 hash of their id, up to SAMPLE_BYTES of text in all (whole texts; one that doesn't
@@ -13,9 +14,13 @@ fit is passed over, and of a class with none that fits the shortest stands with
 its beginning); half of them, by another hash, build the dictionaries and the
 others fit the curve. Every text is scored whole. Only the text enters the score.
 
-Null texts count as empty; an empty text gets the curve's value
-for no difference. Repeated rows get the same score. If a class has no rows, every
-score is the good rows' share (0.5 without any).
+Null texts count as empty; an empty text gets the curve's value for no
+difference. Repeated rows, and rows of a null doc_id, are scored like any other;
+labels of a null doc_id, or other than 0 and 1, are passed over, and of several
+labels of one doc_id the worst counts. Ties of the sample's order are settled by
+id, length and text. If a class has no rows, every score is the good rows' share
+(0.5 without any). An empty table gives no rows. Other columns are left aside by
+name. Labelled rows are joined once and stored; each text is read twice in all.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import by_batch, known, record, table, text_bytes, tune
+from hearthline.llm.common import by_batch, known, record, store, table, text_bytes, tune
 
 SAMPLE = 4000
 SAMPLE_BYTES = 24 << 20
@@ -117,25 +122,26 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BY
     totals = {r.quality: r["count"] for r in labelled.groupBy("quality").count().collect()}
     share = totals[1] / (totals[0] + totals[1])
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    return {"good": good, "bad": bad, "curve": Curve(x, y, weight)}
+    return {"good": good, "bad": bad, "curve": Curve(x, y, weight), "plain": Curve(x[:, :1], y, weight)}
 
 
 def score_documents(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, score and the normalised size difference of each row of docs (doc_id, b)."""
+    """doc_id, the normalised size difference, score and difference_score of each row of docs (doc_id, b)."""
     tune(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries and a few numbers
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m, texts = held.value, batch.column(1).to_pylist()
         if "prior" in m:
-            x, s = np.zeros(len(texts)), np.full(len(texts), m["prior"])
+            x = np.zeros(len(texts))
+            s = plain = np.full(len(texts), m["prior"])
         else:
             pair = Compressors(m["good"], m["bad"])
             measures = np.array([pair.measures(t) for t in texts])
-            x, s = measures[:, 0], m["curve"](measures)
-        return record(doc_id=batch.column(0), difference=pa.array(x), score=pa.array(s))
+            x, s, plain = measures[:, 0], m["curve"](measures), m["plain"](measures[:, :1])
+        return record(doc_id=batch.column(0), difference=pa.array(x), score=pa.array(s), difference_score=pa.array(plain))
 
-    return by_batch(docs.select("doc_id", "b"), run, "doc_id long, difference double, score double")
+    return by_batch(docs.select("doc_id", "b"), run, "doc_id long, difference double, score double, difference_score double")
 
 
 def held_out(column: str = "doc_id"):
@@ -146,10 +152,10 @@ def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs; labels has doc_id and quality."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes())
     labels = labels.where(~held_out() & F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    labelled = known(docs, labels).join(labels.hint("shuffle_hash"), "doc_id")
+    labelled = store(known(docs, labels).join(labels.hint("shuffle_hash"), "doc_id"))
     model = fit(labelled)
     scored = score_documents(docs, model)
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), "difference")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), "difference", "difference_score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -271,6 +271,27 @@ def test_compress_quality_with_long_texts(spark):
     assert "curve" in compress_quality.fit(df, sample_bytes=100)  # no text of one class fits
 
 
+def test_compress_quality_by_definition(spark):
+    """Scores from dictionaries, sizes and curves computed here, row by row; labelled rows are read twice at most."""
+    import zstandard
+
+    r = random.Random(8)
+    rows = [(i, "".join(r.choice(["the ", "river ", "stone ", "walk "] if i % 3 else ["$$$ ", "buy ", "now ", "walk "]) for _ in range(r.randint(5, 90))), int(i % 3 > 0)) for i in range(120)]
+    docs = spark.createDataFrame(rows + [(None, "the river", 1), (500, "", 1)], "doc_id long, text string, score int").drop("score")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    out = {x.doc_id: x for x in compress_quality.classify(docs, labels).collect()}
+    assert len(out) == 122
+    model = compress_quality.fit(docs.join(labels.where(~compress_quality.held_out()), "doc_id").withColumn("b", F.col("text").cast("binary")))
+    sizes = [[len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(model[d]), write_content_size=False, write_dict_id=False).compress(t.encode())) for d in ("good", "bad")] for t in ["", *(t for _, t, _ in rows)]]
+    for (i, t, _), (g, b) in zip(rows, sizes[1:], strict=True):
+        g, b = g - sizes[0][0], b - sizes[0][1]
+        x = [(b - g) / max(1, g + b), (b - g) / max(1, len(t)), (g + b) / max(1, len(t)), math.log(max(1, len(t)))]
+        logit = lambda c, v: c.w[-1] + sum(w * (q - m) / s for w, q, m, s in zip(c.w, v, c.mean, c.scale, strict=False))
+        assert math.isclose(out[i].difference, x[0], abs_tol=1e-12)
+        assert math.isclose(out[i].score, 1 / (1 + math.exp(-logit(model["curve"], x))), rel_tol=1e-6, abs_tol=1e-9)
+        assert math.isclose(out[i].difference_score, 1 / (1 + math.exp(-logit(model["plain"], x[:1]))), rel_tol=1e-6, abs_tol=1e-9)
+
+
 @pytest.mark.parametrize("unit,limit", [(1_500_000, 400_000), (300, 400_000), (1_500_000, 0)])
 def test_jaccard_join(spark, docs, unit, limit):
     rows = [(i, t) for i, t, *_ in corpus()]
