@@ -224,15 +224,101 @@ def test_maxent_lm_is_a_distribution():
     c, s = maxent_lm.groups(h)
     group = c.astype(int) * maxent_lm.SUBS + s
     counts = np.bincount(group, weights=g.integers(1, 9, len(h)), minlength=256)
-    model = maxent_lm.Model(counts.astype(np.int64), np.bincount(group, minlength=256))
-    model.learn(*maxent_lm.tokens([b" ".join(words)] * 3), model.state())
+    model = maxent_lm.Model(counts.astype(np.int64), np.bincount(group, minlength=256), 64)
+    for k in maxent_lm.ORDER:
+        gradient = maxent_lm.Gradient(model, k)
+        gradient.add(*maxent_lm.tokens([b" ".join(words)] * 3))
+        model = model.stepped(k, np.stack([gradient.observed, gradient.expected], 1))
     # for one history: the probabilities of all groups sum to one
     f = maxent_lm.features(h[:3], np.array([3]))[:, 2:]
     total = 0.0
     for k in range(16):
-        _, _, za, ea, zb, eb, ta, tb = model._softmax(f, np.array([k]))
-        total += float(ea[0, k] / ta[0] * (eb[0] / tb[0]).sum())
-    assert abs(total - 1) < 1e-5
+        a, b = model.shares(f, np.array([k]))
+        total += float(a[0, k] * b[0].sum())
+    assert abs(total - 1) < 1e-5 and any(np.abs(a).max() > 0.1 for a, _ in model.learnt.values())
+
+
+def test_maxent_lm_by_definition(spark, monkeypatch):
+    """Scores of a tiny model, from counts and steps taken token by token here."""
+    monkeypatch.setattr(maxent_lm, "LEAST_ROWS", 1 << 11)
+    r = random.Random(15)
+    texts = [" ".join(f"w{min(int(r.expovariate(0.3)), 30)}" if r.random() < 0.6 else "a b" for _ in range(r.randint(1, 40))) for _ in range(40)]
+    texts = [t if len(t) < 2 else f"{t} {t}" for t in texts]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.score for x in maxent_lm.score_documents(docs, docs.where(~maxent_lm.held_out())).collect()}
+    kind = lambda w: divmod(int(maxent_lm.mix(np.array([w], np.uint64) ^ maxent_lm.START)[0] >> np.uint64(56)), 16)
+    seqs = {i: [int(x) for x in maxent_lm.tokens([t.encode()])[0]] for i, t in rows}
+    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = Counter(w for i in train for w in seqs[i])
+    group_n, group_w = Counter(), Counter()
+    for w, c in count.items():
+        group_n[kind(w)] += c
+        group_w[kind(w)] += 1
+    mass = {g: group_n[g] + 0.5 for g in [(a, b) for a in range(16) for b in range(16)]}
+    whole = sum(mass.values())
+    a0 = [sum(mass[a, b] for b in range(16)) / whole for a in range(16)]
+    b0 = [[mass[a, b] / (a0[a] * whole) for b in range(16)] for a in range(16)]
+    start = int(maxent_lm.START)
+
+    def history(seq, t, k):
+        one, two = seq[t - 1] if t else start, seq[t - 2] if t > 1 else start
+        return int(maxent_lm.features(np.array([two, one, seq[t]], np.uint64), np.array([3]))[k, 2]) if t > 1 else int(maxent_lm.features(np.array(([] if not t else [one]) + [seq[t]], np.uint64), np.array([t + 1]))[k, t])
+
+    def rows_of(f, c):
+        return f % 2048, int(maxent_lm.mix(np.array([f ^ ((c + 1) * int(maxent_lm.ROLL) % (1 << 64))], np.uint64))[0]) % 2048
+
+    weights = {}
+
+    def shares(seq, t, c):
+        za, zb = [math.log(x) for x in a0], [math.log(x) for x in b0[c]]
+        for k in {k for k, *_ in weights}:
+            ra, rb = rows_of(history(seq, t, k), c)
+            za = [z + w for z, w in zip(za, weights.get((k, 0, ra), [0] * 16), strict=True)]
+            zb = [z + w for z, w in zip(zb, weights.get((k, 1, rb), [0] * 16), strict=True)]
+        norm = lambda z: [math.exp(x) / sum(map(math.exp, z)) for x in z]
+        return norm(za), norm(zb)
+
+    for k in (0, 2, 1):
+        seen, due = {}, {}
+        for i in train:
+            for t, w in enumerate(seqs[i]):
+                c, s = kind(w)
+                for level, row, p, y in zip((0, 1), rows_of(history(seqs[i], t, k), c), shares(seqs[i], t, c), (c, s), strict=True):
+                    seen.setdefault((level, row), [0] * 16)[y] += 1
+                    due[level, row] = [x + q for x, q in zip(due.get((level, row), [0.0] * 16), p, strict=True)]
+        new = {}
+        for level in (0, 1):
+            for size in range(12):
+                like = [x for x in seen if x[0] == level and int(math.log2(sum(seen[x])) // 2) == size]
+                if like:
+                    fit = lambda a: sum(o * math.log(max((o - 1 + a * e / sum(seen[x])) / (sum(seen[x]) - 1 + a) / (e / sum(seen[x])), 1e-12)) for x in like for o, e in zip(seen[x], due[x], strict=True) if o)  # noqa: B023, E731
+                    a = max(maxent_lm.GRID, key=fit)
+                    for x in like:
+                        n = sum(seen[x])
+                        new[k, *x] = [math.log((o / (e / n) + a) / (n + a)) for o, e in zip(seen[x], due[x], strict=True)]
+        weights |= new
+    for i, _ in rows[:12]:
+        want = 0.0
+        for t, w in enumerate(seqs[i]):
+            c, s = kind(w)
+            a, b = shares(seqs[i], t, c)
+            want += math.log10(a[c]) + math.log10(b[s]) + math.log10((count[w] + 1) / (group_n[c, s] + group_w[c, s] + 1))
+        assert math.isclose(got[i], want, rel_tol=2e-3, abs_tol=2e-2), (i, got[i], want)
+
+
+def test_maxent_lm_does_not_depend_on_the_layout(spark):
+    """The gain over the base with 64 partitions is that with one."""
+    r = random.Random(16)
+    vocabulary = [[f"{x}{i}" for i in range(15)] for x in "abcd"]
+    texts = [" ".join(r.choice(vocabulary[(t + i) % 4]) for t in range(60)) for i in range(500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gains = []
+    for parts in (1, 64):
+        dealt = docs.repartition(parts)
+        out = maxent_lm.score_documents(dealt, dealt.where(~maxent_lm.held_out())).where("held_out").agg(F.sum("base_score").alias("b"), F.sum("score").alias("s"), F.sum("n_tokens").alias("n")).first()
+        gains.append((out.s - out.b) / out.n)
+    assert gains[0] > 0.05 and abs(gains[1] / gains[0] - 1) < 0.01
 
 
 def test_byte_bpe_on_messy_rows(docs):
