@@ -9,15 +9,16 @@ logarithm of the number of vectors, so buckets stay small on the whole.
 Within a bucket all cosines are computed in double precision, by blocks: a bucket
 of more than BLOCK vectors is cut into parts, and each pair of parts is a unit of
 its own, so that no task holds a large group and no pair is ever a row. A pair
-that meets in several tables counts in the first only (each unit knows all
-hashes). A unit gives one row per linked vector: the weights of its partners and
+that meets in several tables counts in the first only (each row carries all its
+hashes, two bytes each, so that placing and counting can't differ). A unit gives one row per linked vector: the weights of its partners and
 the least id its links reach there. The links' components are found in
 distributed rounds.
 
 Vectors that are null, zero, or hold null or non-finite components link with
 nothing: n_links 0 and the own id as component; so do rows of a null vec_id
 (kept false). Vectors of different lengths never link. Repeated rows are copies:
-each counts the others. An empty table gives no rows. Other columns are left aside.
+each counts the others; rows of one vec_id with different vectors are placed by
+their own vector. An empty table gives no rows. Other columns are left aside.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def buckets(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
-    """vectors (rep, w, v) with `buckets`, one per table."""
+    """vectors (rep, w, v) with `buckets`, one per table, and the same as bytes (`own`)."""
     kind = vectors.schema["v"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,9 +74,9 @@ def buckets(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
             for size in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == size))
                 h = hashes(_matrix(part.column(2)), bits, tables)
-                yield record(rep=part.column(0), w=part.column(1), v=part.column(2), buckets=pa.array(list(h), pa.list_(pa.int64())))
+                yield record(rep=part.column(0), w=part.column(1), v=part.column(2), buckets=pa.array(list(h), pa.list_(pa.int64())), own=pa.array([x.tobytes() for x in h.astype(np.uint16)], pa.binary()))
 
-    return vectors.select("rep", "w", "v").mapInArrow(run, f"rep long, w long, v {kind}, buckets array<long>")
+    return vectors.select("rep", "w", "v").mapInArrow(run, f"rep long, w long, v {kind}, buckets array<long>, own binary")
 
 
 def block_links(reps: np.ndarray, w: np.ndarray, x: np.ndarray, chunk: np.ndarray, h: np.ndarray, t: int, cross: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -101,16 +102,16 @@ def block_links(reps: np.ndarray, w: np.ndarray, x: np.ndarray, chunk: np.ndarra
     return counts, label
 
 
-def links(units: DataFrame, bits: int, tables: int, threshold: float) -> DataFrame:
-    """(rep, n, least) from rows of (t, bucket, size, i, j, chunk, rep, w, v), sorted by unit in each partition."""
+def links(units: DataFrame, threshold: float) -> DataFrame:
+    """(rep, n, least) from rows of (t, bucket, size, i, j, chunk, rep, w, v, own), sorted by unit in each partition."""
 
     def solve(t: int, cross: bool, parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if len(parts) > 1 else parts[0]
         if whole.num_rows < 2:
             return None
         reps, w, chunk = (whole.column(k).to_numpy() for k in (6, 7, 5))
-        x = _matrix(whole.column(8))
-        counts, label = block_links(reps, w, x, chunk, hashes(x, bits, tables), t, cross, threshold)
+        h = np.stack([np.frombuffer(b, np.uint16) for b in whole.column(9).to_pylist()])
+        counts, label = block_links(reps, w, _matrix(whole.column(8)), chunk, h, t, cross, threshold)
         on = np.flatnonzero((counts > 0) | (label != reps))
         return record(rep=pa.array(reps[on]), n=pa.array(counts[on]), least=pa.array(label[on])) if len(on) else None
 
@@ -128,7 +129,7 @@ def links(units: DataFrame, bits: int, tables: int, threshold: float) -> DataFra
         if parts and (out := solve(unit[0], unit[3] != unit[4], parts)) is not None:
             yield out
 
-    return units.select("t", "bucket", "size", "i", "j", "chunk", "rep", "w", "v").mapInArrow(run, "rep long, n long, least long")
+    return units.select("t", "bucket", "size", "i", "j", "chunk", "rep", "w", "v", "own").mapInArrow(run, "rep long, n long, least long")
 
 
 def dedup_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
@@ -140,14 +141,14 @@ def dedup_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: floa
     reps = cut(rows.where("sound").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w")))
     bits, tables = plan(reps.count(), threshold, recall)
     hashed = cut(buckets(reps, bits, tables))
-    keyed = hashed.select("rep", "w", "v", F.size("v").alias("size"), F.posexplode("buckets").alias("t", "bucket"))
+    keyed = hashed.select("rep", "w", "v", "own", F.size("v").alias("size"), F.posexplode("buckets").alias("t", "bucket"))
     large = keyed.groupBy("t", "size", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > block)
     large = large.select("t", "size", "bucket", F.ceil(F.col("n") / block).cast("int").alias("parts"))
     placed = keyed.join(large, ["t", "size", "bucket"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     placed = placed.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
     unit = ["t", "bucket", "size", "i", "j"]
-    found = cut(links(placed.repartition(*unit).sortWithinPartitions(*unit), bits, tables, threshold).groupBy("rep", "least").agg(F.sum("n").alias("n")))
+    found = cut(links(placed.repartition(*unit).sortWithinPartitions(*unit), threshold).groupBy("rep", "least").agg(F.sum("n").alias("n")))
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     linked = components(found.select(F.col("rep").alias("u"), F.col("least").alias("v"))).withColumnRenamed("id", "rep")
     classes = reps.join(counts, "rep", "left").join(linked, "rep", "left").select("v", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
