@@ -25,10 +25,10 @@ place. Columns of other names are left aside.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import cut, table
+from hearthline.llm.common import cut, store, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -48,22 +48,34 @@ def _if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL else df
 
 
+def before(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """df with columns named by sums, each the sum of an expression over the rows before in that order.
+
+    Ranges of the order are sums of their own first, so that no window holds all rows.
+    """
+    ranged = store(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy("_part").agg(*[F.sum(F.expr(x)).alias(f"_{k}") for k, x in sums.items()])  # as many as partitions
+    upto = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_part", *[F.coalesce(F.sum(f"_{k}").over(upto), F.lit(0)).alias(f"_{k}") for k in sums])
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(parts), "_part")
+    return out.withColumns({k: F.col(f"_{k}") + F.coalesce(F.sum(F.expr(x)).over(inside), F.lit(0)) for k, x in sums.items()}).drop("_part", *[f"_{k}" for k in sums])
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """source, rank (from 0), source_size and target for rows of (source, source_size).
 
     target = min(most * size, level * weight), with the level at which the targets
     sum to share of all sizes: what resharing the excess by weight ends in.
     """
-    by_name, by_room = Window.orderBy(F.asc_nulls_last("source")), Window.orderBy("room", "rank")
-    whole = Window.partitionBy()
     w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
-    out = sizes.withColumn("rank", F.row_number().over(by_name) - 1).withColumn("weight", w.cast("double"))
+    out = before(sizes, [F.asc_nulls_last("source")], {"rank": "1"}).withColumn("weight", w.cast("double"))
     out = out.withColumn("cap", F.col("source_size") * float(most)).withColumn("room", F.col("cap") / F.col("weight"))
-    full = F.coalesce(F.sum("cap").over(by_room.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    open_ = F.sum("weight").over(by_room.rowsBetween(0, Window.unboundedFollowing))
-    out = out.withColumn("level", (F.sum("source_size").over(whole) * float(share) - full) / open_)
-    level = F.max(F.when(F.col("level") <= F.col("room"), F.col("level"))).over(whole)
-    return out.select("source", "rank", "source_size", F.coalesce(F.least("cap", level * F.col("weight")), F.lit(0.0)).alias("target"))
+    out = before(out, [F.asc("room"), F.asc("rank")], {"full": "cap", "closed": "weight"})
+    total, heavy = out.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    out = out.withColumn("level", (F.lit(total * float(share)) - F.col("full")) / (F.lit(heavy) - F.col("closed")))
+    level = out.agg(F.max(F.when(F.col("level") <= F.col("room"), F.col("level")))).first()[0]
+    return out.select("source", F.col("rank").cast("long").alias("rank"), "source_size", F.coalesce(F.least("cap", F.lit(level).cast("double") * F.col("weight")), F.lit(0.0)).alias("target"))
 
 
 def slotted(sources: DataFrame, block: int) -> DataFrame:
@@ -77,12 +89,10 @@ def slotted(sources: DataFrame, block: int) -> DataFrame:
 
 def schedule(sources: DataFrame, n_sources: int, slots: int) -> DataFrame:
     """(rank, block, times, tail): how often the slots take each block of each source, and how many of its first words once more."""
-    total = F.sum("slots").over(Window.partitionBy())
-    upto = F.sum("slots").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     used = sources.where("slots > 0").select("rank", "blocks", F.col("slots").alias("need"), "tail")
-    parts = sources.where("slots > 0").select("rank", ((upto - F.col("slots")) / total).alias("low"), (upto / total).alias("high"))
-    last = F.max("rank").over(Window.partitionBy())
-    parts = parts.withColumn("high", F.when(F.col("rank") == last, F.lit(2.0)).otherwise(F.col("high")))
+    parts = before(used.select("rank", "need"), [F.asc("rank")], {"first": "need"})
+    last = parts.agg(F.max("rank")).first()[0]
+    parts = parts.select("rank", (F.col("first") / F.lit(slots)).alias("low"), F.when(F.col("rank") == F.lit(last), F.lit(2.0)).otherwise((F.col("first") + F.col("need")) / F.lit(slots)).alias("high"))
     cells = max(CELLS, n_sources)
     top = F.least(F.lit(cells - 1), F.floor(F.col("high") * cells))
     parts = parts.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * cells), top)))  # at most sources + cells rows
@@ -91,8 +101,8 @@ def schedule(sources: DataFrame, n_sources: int, slots: int) -> DataFrame:
     points = sources.sparkSession.range(slots).select("id", point.alias("u")).withColumn("cell", F.floor(F.col("u") * cells))
     taken = points.join(_if_small(parts, n_sources), "cell").where("u >= low and u < high").select("id", "rank", F.floor(n / CHUNK).alias("chunk"))
     sums = taken.groupBy("rank", "chunk").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("rank").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = cut(sums.select("rank", "chunk", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
+    upto = Window.partitionBy("rank").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut(sums.select("rank", "chunk", "n", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before")))
     place = F.col("before") + F.row_number().over(Window.partitionBy("rank", "chunk").orderBy("id")) - 1
     placed = taken.join(sums, ["rank", "chunk"]).select("rank", place.alias("place"))
     met = used.join(sums.groupBy("rank").agg(F.sum("n").alias("met")), "rank", "left").withColumn("met", F.coalesce("met", F.lit(0)))
@@ -119,8 +129,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     rows = rows.join(_if_small(sources, n_sources), rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     rows = rows.withColumn("key", F.xxhash64("doc_id", "h", F.lit(17))).withColumn("bin", F.pmod("key", F.lit(bins)))
     sums = rows.groupBy("rank", "bin").agg(F.sum("size").alias("n"))
-    before = Window.partitionBy("rank").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("rank", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    upto = Window.partitionBy("rank").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("rank", "bin", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
     order = Window.partitionBy("rank", "bin").orderBy("key", "doc_id")
     placed = rows.join(sums, ["rank", "bin"]).withColumn("row", F.row_number().over(order)).withColumn("start", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     length, end = F.col("length"), F.col("start") + F.col("size")

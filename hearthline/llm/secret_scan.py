@@ -15,8 +15,11 @@ task. Every text is searched whole, alone, with no shuffle.
 
 Null texts count as empty: no candidates. A value of any length is one candidate,
 up to a further `&name=`; one inside another belongs to it, unless only a telling
-name stands before. Repeated rows give repeated results. Offsets
-count code points of the text.
+name stands before. What is left empty once marks are stripped is no candidate.
+Texts of any length are searched whole. Repeated rows, and rows of a null doc_id,
+give repeated results; an empty table gives no rows. Spans have no ties: they don't
+overlap. `scan_documents` leaves other columns aside by name, `redact` keeps them.
+Offsets count code points of the text.
 """
 
 from __future__ import annotations
@@ -154,6 +157,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[bytes, byt
     word = lambda: r.choice(words) if r.random() < 0.4 else "".join(r.choice(syllables) for _ in range(r.randint(1, 5)))
     prose = lambda: " ".join(word() for _ in range(r.randint(2, 6))) + " "
     name = lambda: r.choice(["token", "secret", "password", "api_key", "apikey", "API-KEY", "access_key", "auth_token", "SECRET_KEY", "client_secret", "key", "bearer"])
+    uuid = lambda: "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12))
     given = lambda q: r.choice([" = ", "=", ": ", ":"]) + q
     out = []
     for i in range(n):
@@ -162,18 +166,18 @@ def labelled_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[bytes, byt
             value = r.choice([
                 lambda: pick(hexa, r.choice([32, 40, 40, 40, 64, 24])), lambda: pick(mixed, r.randint(20, 64)), lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16),
                 lambda: "ghp_" + pick(mixed, 36), lambda: "sk_live_" + pick(mixed, 24), lambda: pick(mixed + "+/", r.randint(30, 60)) + r.choice(["", "=", "=="]),
-                lambda: "xoxb-" + pick(string.digits, 11) + "-" + pick(mixed, 24), lambda: pick(mixed + "!@#$%^&*", r.randint(10, 24)), lambda: "eyJ" + pick(mixed, 30) + "." + pick(mixed, 40) + "." + pick(mixed, 30),
+                lambda: "xoxb-" + pick(string.digits, 11) + "-" + pick(mixed, 24), lambda: pick(mixed + "!@#$%^&*", r.randint(10, 24)), lambda: "eyJ" + pick(mixed, 30) + "." + pick(mixed, 40) + "." + pick(mixed, 30), uuid,
             ])()
-            before = prose() + (name() + given(q) if r.random() < 0.85 or len(value) < 20 else r.choice(["", "use " + q]))
+            before = prose() + (name() + given(q) if r.random() < 0.85 or len(value) < 20 or value.count("-") == 4 else r.choice(["", "use " + q]))
             out.append((value.encode(), before.encode()[-40:], (q + r.choice([" ", "\n", ",", "."]) + prose()).encode()[:16], 1))
         else:
             value = r.choice([
                 lambda: "/".join(word() for _ in range(r.randint(3, 6))) + r.choice([".txt", ".html", ".py", "", str(r.randint(1, 99))]), lambda: "_".join(word() for _ in range(r.randint(3, 5))) + str(r.randint(0, 99)), lambda: "".join(word().capitalize() for _ in range(r.randint(3, 6))),
                 lambda: "".join(word() for _ in range(r.randint(4, 8))), lambda: "".join(word() for _ in range(r.randint(4, 8))).upper(), lambda: pick(string.digits, r.randint(16, 20)), lambda: r.choice(["x", "0", "1", "-", "a1"]) * r.randint(16, 24), lambda: "your_" + word() + "_key_here", lambda: "example-" + word() + "-" + word(),
-                lambda: f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}T{r.randint(0, 23):02}.{r.randint(0, 59):02}", lambda: "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)), lambda: word() + str(r.randint(0, 9)) + "." + word() + r.choice([".example.com", ".mail3.example.com"]), lambda: r.choice(["changeme", "password", "12345678", "test1234", "placeholder"]), lambda: "|".join(word() for _ in range(3)),
+                lambda: f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}T{r.randint(0, 23):02}.{r.randint(0, 59):02}", uuid, lambda: word() + str(r.randint(0, 9)) + "." + word() + r.choice([".example.com", ".mail3.example.com"]), lambda: r.choice(["changeme", "password", "12345678", "test1234", "placeholder"]), lambda: "|".join(word() for _ in range(3)),
                 lambda: pick(hexa, r.choice([40, 64])),
             ])()
-            lead = r.choice(["", "", "", name() + given(q)]) if not re.fullmatch("[0-9a-f]{40,64}", value) else r.choice(["sha256:", "commit ", "checksum = ", "md5 "])
+            lead = r.choice(["sha256:", "commit ", "checksum = ", "md5 "] if re.fullmatch("[0-9a-f]{40,64}", value) else ["", "id ", "request "] if re.fullmatch("[0-9a-f-]{36}", value) else ["", "", "", name() + given(q)])
             out.append((value.encode(), (prose() + lead).encode()[-40:], (q + " " + prose()).encode()[:16], 0))
     return out
 

@@ -218,6 +218,87 @@ def test_secret_scan_unquoted_values():
         assert all(a < b for a, b in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
 
 
+def test_secret_scan_of_any_punctuation():
+    """Values of marks only, after telling names: no crash, no empty span, none lost to another."""
+    forest, r = secret_scan.default_forest(), random.Random(21)
+    for _ in range(400):
+        text = b"".join(r.choice([b"password", b"api_key", b"token", b" = ", b"=", b": ", b"\"", b"'", b" ", b"\n", b"x1Y2z3W4", *(bytes([c]) for c in b"!?.,;|&%#-_/+=()[]{}<>")]) for _ in range(r.randint(0, 25)))
+        (found,) = secret_scan.judged([text], forest)
+        assert all(0 <= a < b <= len(text) and 0 <= p <= 1 for a, b, p in found) and all(x[1] <= y[0] for x, y in zip(found, found[1:], strict=False)), text
+    assert secret_scan.judged([b"password = !!!!!! ok", b"key: ......", b""], forest) == [[], [], []]
+
+
+def test_secret_scan_of_long_values(spark):
+    r = random.Random(22)
+    value = "".join(r.choice("abcDEF0123456789!@#") for _ in range(10_000))
+    df = spark.createDataFrame([(1, f"api_key = '{value}' end"), (2, f"see token={value[:480]} end"), (3, "password = !!!!!! ok")], "doc_id long, text string")
+    got = {x.doc_id: x.text for x in secret_scan.redact(df).collect()}
+    assert got == {1: "api_key = '[SECRET]' end", 2: "see token=[SECRET] end", 3: "password = !!!!!! ok"}
+
+
+def test_secret_scan_kinds(capsys):
+    """Recall and precision by kind, with kinds that the labelled findings don't hold."""
+    r = random.Random(99)
+    mixed = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    pick = lambda s, k: "".join(r.choice(s) for _ in range(k))
+    uuid = lambda: "-".join(pick("0123456789abcdef", k) for k in (8, 4, 4, 4, 12))
+    secrets = {
+        "fine-grained token": lambda: ("GITHUB_TOKEN=", "github_pat_" + pick(mixed, 22) + "_" + pick(mixed, 59)), "restricted key": lambda: ("key: ", "rk_test_" + pick(mixed, 24)), "service key": lambda: ('"api_key": "', "AIza" + pick(mixed + "_-", 35)),
+        "registry token": lambda: ("//registry/:_authToken=", "npm_" + pick(mixed, 36)), "bare token": lambda: ("use ", "glpat-" + pick(mixed + "-", 20)), "access key": lambda: ("aws_secret_access_key = ", pick(mixed + "+/", 40)),
+        "in an address": lambda: ("postgres://bob:", pick(mixed, 16)), "bare hex": lambda: ("the value is ", pick("0123456789abcdef", 32)), "password": lambda: ("passwd: ", pick(mixed + "!@#%^*-_", 18)), "named uuid": lambda: ("secret=", uuid()),
+    }
+    clean = {
+        "address": lambda: "https://www." + pick("etaoinshrdl", 9) + ".org/" + "/".join(pick("etaoinshrdl", 7) for _ in range(3)) + ".html", "digest": lambda: "sha256: " + pick("0123456789abcdef", 64), "snake": lambda: "_".join(pick("etaoinshrdl", 6) for _ in range(4)),
+        "camel": lambda: "".join(pick("etaoinshrdl", 6).capitalize() for _ in range(4)), "uuid": lambda: "id " + uuid(), "number": lambda: "order 2026-" + pick("0123456789", 16),
+    }
+    forest, shares = secret_scan.default_forest(), {}
+    for kind, make in secrets.items():
+        hits = 0
+        for _ in range(100):
+            before, value = make()
+            text = f"Some words before {before}{value} and then more words".encode()
+            at = text.index(value.encode())
+            hits += any(a <= at and at + len(value) <= b for a, b, p in secret_scan.judged([text], forest)[0] if p >= secret_scan.CUT)
+        shares[kind] = hits / 100
+    for kind, make in clean.items():
+        shares[f"clean {kind}"] = sum(not any(p >= secret_scan.CUT for *_, p in secret_scan.judged([f"Some words before {make()} and then more words".encode()], forest)[0]) for _ in range(100)) / 100
+    with capsys.disabled():
+        print(shares, end="")
+    assert min(shares.values()) >= 0.9 and sum(shares.values()) / len(shares) > 0.97
+
+
+def test_secret_scan_by_plain_versions():
+    """Runs and features against loops over the characters."""
+    r = random.Random(23)
+    on = set(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-")
+    for _ in range(300):
+        text = b"".join(r.choice([b"abc", b"XyZ9", b"0123456789", b"/", b"-", b"_", b".", b" ", b"!", b"\n", b"qwertyuiop", b"A"]) for _ in range(r.randint(0, 30)))
+        want, at = [], 0
+        while at < len(text):
+            end = at
+            while end < len(text) and text[end] in on:
+                end += 1
+            a, b = at, end
+            while a < b and text[a] in b"=.-_/+":
+                a += 1
+            while b > a and text[b - 1] in b"=.-_/+":
+                b -= 1
+            v = text[a:b].decode()
+            plain = v.isalpha() and (v == v.lower() or v == v.upper() or v[1:] == v[1:].lower())
+            if end - at >= 16 and len(v) >= 16 and not plain and (any(c.isdigit() for c in v) or v != v.lower()):
+                want.append((a, b))
+            at = end + 1
+        assert secret_scan.candidates(text) == want, text
+        for a, b in want:
+            value, before, after = secret_scan.context(text, (a, b))
+            x, v = secret_scan.features(value, before, after), value.decode()
+            kinds = ["l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "o" for c in v]
+            p = [v.count(c) / len(v) for c in set(v)]
+            assert x[0] == len(v) and np.allclose(x[1:4], [kinds.count(k) / len(v) for k in "duo"])
+            assert np.isclose(x[4], sum(s != t for s, t in zip(kinds, kinds[1:], strict=False)) / (len(v) - 1)) and np.isclose(x[7], -sum(q * math.log2(q) for q in p))
+            assert np.isclose(x[8], len(set(v)) / len(v)) and x[11] == v.count("/") + v.count(".") and x[12] == v.count("-") + v.count("_") and x[9] == all(c in "0123456789abcdefABCDEF" for c in v)
+
+
 def test_maxent_lm(spark, docs):
     rows = corpus()
     train = [t for i, t, *_ in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
@@ -550,6 +631,49 @@ def test_mixing_small_sources(spark, monkeypatch, small):
     assert all(abs(copied[s] - target[s]) <= longest[s] + 1 for s in size) and all(copied[s] > 0 for s in size if size[s])
 
 
+def test_mixing_by_plain_schedule(spark):
+    """Which words are taken, against the schedule walked slot by slot."""
+    r = random.Random(19)
+    rows = [(i, r.choice("abc"), r.randint(1, 400)) for i in range(60)]
+    docs = spark.createDataFrame([(i, s, " ".join(["w"] * n)) for i, s, n in rows], "doc_id long, source string, text string")
+    target, size = shares([(s, n) for _, s, n in rows])
+    got = mixing.mix(docs).withColumn("key", F.xxhash64("doc_id", "h", F.lit(17))).collect()
+    total_words = sum(size.values())
+    block = max(mixing.LEAST_BLOCK, min(mixing.MOST_BLOCK, total_words // mixing.BLOCKS))
+    plan = {}
+    for s in sorted(size):
+        words = max(1, round(target[s]))
+        length = min(block, max(1, -(-words // mixing.LEAST_SLOTS)))
+        blocks, over = -(-size[s] // length), words % size[s]
+        plan[s] = (length, blocks, words // size[s] * blocks + -(-over // length), over % length)
+    slots = sum(x[2] for x in plan.values())
+    met, edge, low = Counter(), [], 0
+    for s in sorted(plan):
+        edge.append((low / slots, (low + plan[s][2]) / slots, s))
+        low += plan[s][2]
+    for n in range(slots):
+        u = (n + 0.5) * mixing.GOLDEN % 1.0
+        met[next((s for a, b, s in edge if a <= u < b), edge[-1][2])] += 1
+    for s, (length, blocks, need, tail) in plan.items():
+        times = [0] * (blocks * length)
+        for place in range(need):
+            first = place % blocks * length
+            for x in range(first, first + (tail if tail and place == need - 1 else length)):
+                times[x] += 1
+        bins = max(1, min(1 << 16, len(rows) // mixing.BIN_ROWS))
+        own, at = sorted((x for x in got if x.source == s), key=lambda x: (x.key % bins, x.key, x.doc_id)), 0
+        for x in own:
+            assert x.taken == sum(times[at : at + x.size]), x
+            at += x.size
+    assert sum(met.values()) == slots
+
+
+def test_mixing_plans(spark, docs):
+    """No window without a partition, and no join that isn't on keys, on rows or sources."""
+    plan = mixing.mix(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cartesian" not in plan and "Join Cross" not in plan and "windowspecdefinition(bin" not in plan
+
+
 def test_targets(spark):
     r = random.Random(3)
     for _ in range(5):
