@@ -5,9 +5,10 @@ k-grams of a text are hashed, k being the template's own gram length, and joined
 to the template positions of the same gram. A hit votes for the diagonal
 (place in the text minus place in the template). Diagonals of one template that
 lie within SLACK of each other and near in the text are merged, so that inserted
-or dropped words don't break a match, and a merged span counts if the distinct
-template words its hits cover are at least the template's share, with the hit
-words themselves compared, not their hashes.
+or dropped words don't break a match. A merged span is verified in order: its hits
+are walked along the text, those that go back in the template are passed over, and
+the template words that the others cover must be at least the template's share.
+The hit words themselves are compared, not their hashes.
 
 The texts don't move. A task drops the k-grams that no template holds (the
 template table is small and fixed) and emits one row per text with its hits;
@@ -15,9 +16,10 @@ the join with the templates, the votes and the spans are Spark's. A text's hits
 are all in one group, whose size its own length bounds.
 
 Null texts count as empty: 0 words, no places, empty labels, score 0. Repeated
-rows are told apart by their place in the scan and each gives a row. Ties of
-spans can't change the result, which holds counts, extremes and sets. Further
-columns are left aside by name.
+rows, and rows of a null doc_id, are told apart by their place in the scan and
+each gives a row; an empty table gives none. Ties of spans can't change the
+result, which holds counts, extremes and sets. Texts of any length are read whole.
+Other columns, whatever their names, are left aside.
 """
 
 from __future__ import annotations
@@ -73,6 +75,42 @@ TEMPLATES = (
     Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     Template("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     Template("public-domain", "This work is free and unencumbered and released into the public domain"),
+    # whole texts
+    Template(
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    Template(
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+        "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    Template(
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    Template(
+        "zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ),
+    Template(
+        "public-domain",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. "
+        "We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+    ),
 )
 
 
@@ -133,7 +171,7 @@ def spans(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, slack: i
         .join(F.broadcast(grams), ["h", "k", "gram"], "left")
         .repartition("row_id")
         .groupBy("row_id", "doc_id", "n_words", "template", "label", "base", "n", "share", "k", (F.col("at") - F.col("place")).alias("diagonal"))
-        .agg(F.min("at").alias("first"), F.max("at").alias("last"), F.collect_set("place").alias("places"))
+        .agg(F.min("at").alias("first"), F.max("at").alias("last"), F.collect_set(F.struct("at", "place")).alias("hits"))
     )
     w = Window.partitionBy("row_id", "template").orderBy("diagonal")
     exact = F.col("n") == F.col("k")  # of one gram: every hit is a span of its own
@@ -141,9 +179,11 @@ def spans(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, slack: i
     merged = (
         votes.withColumn("span", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(w))
         .groupBy("row_id", "doc_id", "n_words", "template", "label", "base", "n", "share", "k", "span")
-        .agg(F.min("first").alias("first_word"), F.max("last").alias("last"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+        .agg(F.min("first").alias("first_word"), F.max("last").alias("last"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
     )
-    covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("k") - 1)))))
+    zero = F.struct(F.lit(-1).alias("place"), F.lit(0).alias("end"), F.lit(0).alias("covered"))
+    on = lambda was, x: F.struct(x["place"].alias("place"), (x["place"] + F.col("k")).alias("end"), (was["covered"] + x["place"] + F.col("k") - F.greatest(was["end"], x["place"])).alias("covered"))
+    covered = F.aggregate("hits", zero, lambda was, x: F.when(x["place"] > was["place"], on(was, x)).otherwise(was), lambda was: was["covered"])
     coverage = F.when(F.col("n").isNotNull(), covered / F.col("n"))
     return merged.select("row_id", "doc_id", "n_words", "label", "base", "first_word", (F.col("last") + F.col("k") - 1).alias("last_word"), coverage.alias("coverage"), F.coalesce(coverage >= F.col("share"), F.lit(False)).alias("verified"))
 

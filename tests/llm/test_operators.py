@@ -78,6 +78,65 @@ def test_license_base_columns(spark):
         assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word) == (len(w), len(places), min(places, default=None), max(places, default=None))
 
 
+def plain_license_scan(text, templates, slack=3):
+    """n_spans, base labels, labels and score by loops over the words."""
+    words, base, labels, score, n = license_scan.WORD.findall((text or "").encode().lower()), set(), set(), 0.0, 0
+    for t in templates:
+        k, own = t.gram, t.words
+        hits = [(p, a) for a in range(len(words) - k + 1) for p in range(len(own) - k + 1) if words[a : a + k] == own[p : p + k]]
+        lines = {}
+        for p, a in hits:
+            lines.setdefault(a - p, []).append((a, p))
+        groups, last = [], None
+        for d in sorted(lines):
+            first, end = min(lines[d])[0], max(lines[d])[0]
+            if last is None or len(own) == k or d - last[0] > slack or first - last[1] > len(own) + slack:
+                groups.append([])
+            groups[-1] += lines[d]
+            last = (d, end)
+        if len(own) == k:
+            groups = [[x] for g in groups for x in g]
+        for g in groups:
+            at, covered = -1, set()
+            for _, p in sorted(g):
+                if p > at:
+                    at = p
+                    covered |= set(range(p, p + k))
+            if len(covered) >= t.share * len(own):
+                n, score = n + 1, max(score, len(covered) / len(own))
+                labels.add(t.label)
+                if t.base:
+                    base.add(t.label)
+    return n, ",".join(sorted(base)), ",".join(sorted(labels)), score
+
+
+def test_license_scan_by_plain_version(spark):
+    r = random.Random(18)
+    templates = [t for t in license_scan.TEMPLATES]
+    texts = [None, "", "cc by"]
+    for _ in range(60):
+        parts = []
+        for t in r.sample(templates, r.randint(1, 3)):
+            w = t.text.split()
+            for _ in range(r.choice([0, 0, 1, 2, 5])):
+                w[r.randrange(len(w))] = r.choice(["lucky", "", "x y", "the"])
+            if r.random() < 0.2:
+                r.shuffle(w)
+            if r.random() < 0.2:
+                w = w[len(w) // 2 :] + w[: len(w) // 2]
+            parts += w + [f"n{r.randint(0, 9)}"] * r.randint(0, 6)
+        texts.append(" ".join(parts))
+    got = {x.doc_id: (x.n_spans, x.base_labels, x.labels, x.score) for x in license_scan.scan_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        want = plain_license_scan(t, templates)
+        assert got[i][:3] == want[:3] and math.isclose(got[i][3], want[3]), (i, got[i], want, t)
+    # whole texts, and the same with its halves out of order
+    whole = next(t for t in templates if t.label == "zlib").text
+    w = whole.split()
+    out = {x.doc_id: (x.labels, x.score) for x in license_scan.scan_documents(spark.createDataFrame([(1, whole), (2, " ".join(w[60:] + w[:60])), (3, " ".join(sorted(w)))], "doc_id long, text string")).collect()}
+    assert out[1] == ("zlib", 1.0) and out[2][1] < 1.0 and out[3] == ("", 0.0)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_minimax_cuts(spark, seed, monkeypatch):
     r = random.Random(seed)
