@@ -11,7 +11,10 @@ the tokens beyond. Pieces never merge with each other, so above the pieces the
 product is concatenation, and decoding is concatenation all the way up.
 
 Null texts count as empty; empty texts give no token (sha256 of nothing, twice).
-Repeated rows give repeated results; other columns are left aside by name.
+Repeated rows, and rows of a null doc_id, give repeated results; an empty table
+gives no rows. Ties of rank can't be: of equal pairs the leftmost merges first, as
+the vocabulary's rule is. Texts of any length are encoded whole; one piece without
+a break takes n log n. Other columns, whatever their names, are left aside.
 """
 
 from __future__ import annotations

@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from hearthline.llm import mixing
+
 
 def lower(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
@@ -60,3 +62,25 @@ def base_quality(text):
     lines = [x for x in t.split("\n") if x.encode().split()]
     n = len(w)
     return n, sum(len(x.decode()) for x in w), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(repeated), n < 20 or 100 * len(repeated) > 30 * n
+
+
+def mix_order(n_rows):
+    """Sort key of a source's rows (with `key` and `doc_id`) in their shuffled order."""
+    bins = max(1, min(1 << 16, n_rows // mixing.BIN_ROWS))
+    return lambda x: (x.key % bins, x.key, x.doc_id)
+
+
+def word_times(source, size, target):
+    """How often each word of a source's line is taken: its slots walked one by one."""
+    block = max(mixing.LEAST_BLOCK, min(mixing.MOST_BLOCK, sum(size.values()) // mixing.BLOCKS))
+    words = max(1, round(target[source])) if target[source] > 0 else 0
+    length = min(block, max(1, -(-words // mixing.LEAST_SLOTS)))
+    blocks = -(-size[source] // length)
+    times, left, place = [0] * (blocks * length), words, 0
+    while left > 0:
+        first = place % blocks * length
+        whole = min(length, size[source] - first)
+        for x in range(first, first + min(whole, left)):
+            times[x] += 1
+        left, place = left - min(whole, left), place + 1
+    return times

@@ -697,34 +697,13 @@ def test_mixing_by_plain_schedule(spark):
     docs = spark.createDataFrame([(i, s, " ".join(["w"] * n)) for i, s, n in rows], "doc_id long, source string, text string")
     target, size = shares([(s, n) for _, s, n in rows])
     got = mixing.mix(docs).withColumn("key", F.xxhash64("doc_id", "h", F.lit(17))).collect()
-    total_words = sum(size.values())
-    block = max(mixing.LEAST_BLOCK, min(mixing.MOST_BLOCK, total_words // mixing.BLOCKS))
-    plan = {}
-    for s in sorted(size):
-        words = max(1, round(target[s]))
-        length = min(block, max(1, -(-words // mixing.LEAST_SLOTS)))
-        blocks, over = -(-size[s] // length), words % size[s]
-        plan[s] = (length, blocks, words // size[s] * blocks + -(-over // length), over % length)
-    slots = sum(x[2] for x in plan.values())
-    met, edge, low = Counter(), [], 0
-    for s in sorted(plan):
-        edge.append((low / slots, (low + plan[s][2]) / slots, s))
-        low += plan[s][2]
-    for n in range(slots):
-        u = (n + 0.5) * mixing.GOLDEN % 1.0
-        met[next((s for a, b, s in edge if a <= u < b), edge[-1][2])] += 1
-    for s, (length, blocks, need, tail) in plan.items():
-        times = [0] * (blocks * length)
-        for place in range(need):
-            first = place % blocks * length
-            for x in range(first, first + (tail if tail and place == need - 1 else length)):
-                times[x] += 1
-        bins = max(1, min(1 << 16, len(rows) // mixing.BIN_ROWS))
-        own, at = sorted((x for x in got if x.source == s), key=lambda x: (x.key % bins, x.key, x.doc_id)), 0
-        for x in own:
-            assert x.taken == sum(times[at : at + x.size]), x
+    for s in size:
+        own = [x for x in got if x.source == s]
+        times = brute.word_times(s, size, target)
+        at = 0
+        for x in sorted(own, key=brute.mix_order(len(rows))):
+            assert x.taken == sum(times[at : at + x.size]) and x.copies == times[at], x
             at += x.size
-    assert sum(met.values()) == slots
 
 
 def test_mixing_plans(spark, docs):
