@@ -398,7 +398,7 @@ def test_maxent_lm_is_a_distribution():
     for k in maxent_lm.ORDER:
         gradient = maxent_lm.Gradient(model, k)
         gradient.add(*maxent_lm.tokens([b" ".join(words)] * 3))
-        model = model.stepped(k, np.stack([gradient.observed, gradient.expected], 1))
+        model = model.stepped(k, np.stack(gradient.sums(), 1))
     # for one history: the probabilities of all groups sum to one
     f = maxent_lm.features(h[:3], np.array([3]))[:, 2:]
     total = 0.0
