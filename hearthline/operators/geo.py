@@ -22,7 +22,14 @@ def lookup(addresses: DataFrame, cache: DataFrame, primary: DataFrame, register:
     # one question per key, whatever number of listings ask it
     keys = keyed.where("query != ''").groupBy("query").agg(F.min_by(F.struct("address", "_b"), F.struct("address", "_b")).alias("_a")).select("query", "_a.address", "_a._b")
     fields = ["bbl", "bin", "label", "borough", "lat", "lon", "confidence", "provider"]
-    struct = lambda df, alias: df.dropDuplicates(["query"]).select("query", F.struct(*[f if f in df.columns else F.lit(None).cast("string").alias(f) for f in fields]).alias(alias), *([F.col("failed")] if "failed" in df.columns else []))
+
+    def struct(df: DataFrame, alias: str) -> DataFrame:
+        """One answer per key: the most confident, then the least of all fields."""
+        held = F.struct(*[F.col(f) if f in df.columns else F.lit(None).cast("string").alias(f) for f in fields])
+        failed = [F.col("failed")] if "failed" in df.columns else []
+        order = F.struct(-F.coalesce("confidence", F.lit(0.0)), held, *failed)
+        return df.groupBy("query").agg(F.min_by(held, order).alias(alias), *[F.min_by(c, order).alias("failed") for c in failed])
+
     out = keys.join(struct(cache, "_c"), "query", "left").join(struct(primary, "_p"), "query", "left")
     if register is not None:
         house, street = F.regexp_extract("address", r"(?U)^\s*(\d[\w-]*)\s+", 1), T.street_part("address")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthline.cluster import cut
 from hearthline.functions import times
 from hearthline.operators import match as M
 
@@ -47,25 +50,21 @@ def comparable(basis: Column | str = "basis") -> Column:
     return F.coalesce(~b.startswith("censored:") & (F.size(sides) == 2) & (F.try_element_at(sides, F.lit(1)) == F.try_element_at(sides, F.lit(2))), F.lit(False))
 
 
-def quantile(sorted_: Column, n: Column, share: float) -> Column:
-    """The value at an index of a sorted array: low shares count from the value before, high ones from the value after."""
-    at = F.floor(n * F.lit(share).cast("double"))
-    return F.element_at(sorted_, (F.greatest(F.lit(1), at) if share < 0.5 else F.least(n, at + 1)).cast("int"))
-
-
 def indexed_quantiles(rows: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
-    """The same quantiles without collecting the values: counts of equal values, running sums, then the value that holds each index."""
-    from pyspark.sql import Window
+    """One row: the values at indexes of the sorted values, and of the median's two (`m1`, `m2`), without collecting them.
 
-    total = rows.where(F.col(value).isNotNull()).agg(F.count("*").alias("n"))
+    Low shares count from the value before, high ones from the value after. Equal
+    values are counted, ranges of the values summed and kept, then each range holds
+    the indexes that fall into it.
+    """
     counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    # ranges of the sorted values get their sums first, so that no window spans all values
-    ranged = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id())
-    before = ranged.groupBy("part").agg(F.sum("c").alias("s")).select("part", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ranged = cut(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()))  # kept, so that both uses see the same ranges
+    n = ranged.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    sums = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over as many rows as partitions
+    before = ranged.groupBy("part").agg(F.sum("c").alias("s")).select("part", F.coalesce(F.sum("s").over(sums), F.lit(0)).alias("before"))
     upto = ranged.join(F.broadcast(before), "part").withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("part").orderBy("v")))
-    n = F.col("n")
-    index = {k: (F.greatest(F.lit(1), F.floor(n * F.lit(s).cast("double"))) if s < 0.5 else F.least(n, F.floor(n * F.lit(s).cast("double")) + 1)) for k, s in shares.items()}
-    return upto.join(F.broadcast(total)).agg(*[F.min(F.when(F.col("upto") >= i, F.col("v"))).alias(k) for k, i in index.items()])
+    index = {k: max(1, math.floor(n * s)) if s < 0.5 else min(n, math.floor(n * s) + 1) for k, s in shares.items()} | {"m1": (n + 1) // 2, "m2": n // 2 + 1}
+    return upto.agg(*[F.min(F.when(F.col("upto") >= i, F.col("v"))).alias(k) for k, i in index.items()])
 
 
 def distribution(ledger: DataFrame) -> DataFrame:
@@ -79,13 +78,13 @@ def distribution(ledger: DataFrame) -> DataFrame:
     share = lambda on: F.avg(F.when(use, on.cast("double")))
     shape = ledger.agg(
         F.count_if(use).alias("measured"), F.count_if(F.col("aggregator_seen").isNull()).alias("pending"), F.count_if(has & ~comparable()).alias("excluded_mixed_basis"),
-        F.percentile(lead, 0.5).alias("m"), F.avg(lead).alias("a"), share(F.col("lead_hours") > 0).alias("s0"), share(F.col("lead_hours") >= 24).alias("s24"), share(F.col("lead_hours") >= 72).alias("s72"),
+        F.avg(lead).alias("a"), share(F.col("lead_hours") > 0).alias("s0"), share(F.col("lead_hours") >= 24).alias("s24"), share(F.col("lead_hours") >= 72).alias("s72"),
     )
     tails = indexed_quantiles(ledger.where(use), "lead_hours", {"q10": 0.10, "q90": 0.90})
     r = lambda c, d: F.bround(F.col(c), d)
     note = F.when((F.col("measured") == 0) & (F.col("excluded_mixed_basis") > 0), F.format_string("%d pairs found, none of them usable yet", "excluded_mixed_basis")).when(F.col("measured") == 0, "no aggregator timestamps recorded yet")
     caveat = F.when((F.col("measured") > 0) & (F.col("measured") < SMALL_SAMPLE), "small sample")
-    return shape.join(F.broadcast(tails)).select("measured", "pending", "excluded_mixed_basis", r("m", 1).alias("median_hours"), r("a", 1).alias("mean_hours"), r("q10", 1).alias("p10_hours"), r("q90", 1).alias("p90_hours"), r("s0", 3).alias("share_ahead"), r("s24", 3).alias("share_ahead_24h"), r("s72", 3).alias("share_ahead_72h"), caveat.alias("caveat"), note.alias("note"))
+    return shape.join(F.broadcast(tails)).select("measured", "pending", "excluded_mixed_basis", F.bround((F.col("m1") + F.col("m2")) / 2, 1).alias("median_hours"), r("a", 1).alias("mean_hours"), r("q10", 1).alias("p10_hours"), r("q90", 1).alias("p90_hours"), r("s0", 3).alias("share_ahead"), r("s24", 3).alias("share_ahead_24h"), r("s72", 3).alias("share_ahead_72h"), caveat.alias("caveat"), note.alias("note"))
 
 
 def by_basis(ledger: DataFrame) -> DataFrame:

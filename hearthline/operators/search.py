@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.functions import text as T
 
+SEARCHES = 10_000
 RANKS = {"low": 0, "medium": 1, "high": 2}
 
 
@@ -28,6 +30,11 @@ def new_since(state: DataFrame, since: Column) -> DataFrame:
     return state.where(F.col("gone_at").isNull() & (F.col("first_seen") > since))
 
 
+def look_back(now: Column, hours: float) -> Column:
+    """The start of a window of so many hours before now."""
+    return F.timestamp_micros(F.unix_micros(now) - F.lit(round(hours * 3_600_000_000)))
+
+
 def summary(state: DataFrame, events: DataFrame) -> DataFrame:
     shape = state.agg(
         F.count("*").alias("listings_total"), F.count_if(F.col("gone_at").isNull()).alias("listings_active"), F.count("bbl").alias("with_bbl"), F.count_if(F.col("unit_key") != "").alias("with_unit"),
@@ -44,12 +51,16 @@ def _rank(c: Column) -> Column:
 def judge(listings: DataFrame, criteria: DataFrame) -> DataFrame:
     """Every listing against every saved search: `reject` (the first reason, else null) and `reasons`.
 
-    criteria has the columns of schemas.CRITERIA and is as long as its searches, so
-    it is the side to send around; unset bounds are null. zip_codes is carried and
-    not evaluated.
+    criteria has the columns of schemas.CRITERIA; it is a stated set of queries, sent
+    around in blocks of at most SEARCHES by hash of the name. Unset bounds are null.
+    zip_codes is carried and not evaluated.
     """
-    c = criteria.select(F.struct(*criteria.columns).alias("c"))
-    rows = listings.join(F.broadcast(c))
+    n = criteria.count()
+    if n > SEARCHES:
+        blocks = -(-n * 2 // SEARCHES)
+        parts = [judge(listings, criteria.where(F.pmod(F.xxhash64(*criteria.columns), F.lit(blocks)) == b)) for b in range(blocks)]
+        return reduce(DataFrame.unionByName, parts)
+    rows = listings.join(F.broadcast(criteria.select(F.struct(*criteria.columns).alias("c"))))
     floor = F.coalesce(F.col("c.min_confidence"), F.lit("medium"))
     asked = lambda name: F.col(f"c.{name}").isNotNull()
     places = F.coalesce(F.size("c.boroughs"), F.lit(0)) > 0

@@ -94,7 +94,7 @@ def stamps(spark: SparkSession, d: str) -> DataFrame:
     q = _view(spark, d, "quotes")
     posted = times.posted_to_timestamp("posted", F.lit("2026-08-31 12:00:00").cast("timestamp"))
     hours = times.hours_between(posted, F.lit("2026-08-31 12:00:00").cast("timestamp"))
-    return q.select("o_orderkey", hours.alias("hours_ago"), times.to_utc("stamp").isNotNull().alias("stamp_ok"))
+    return q.select("o_orderkey", hours.alias("hours_ago"), F.date_format(times.to_utc("stamp"), "yyyy-MM-dd HH:mm:ss").alias("stamp"))
 
 
 def fingerprints(spark: SparkSession, d: str) -> DataFrame:
@@ -203,7 +203,7 @@ def _pairs_ledger(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lead_distribution(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.distribution(_pairs_ledger(spark, d)).select("measured", "pending", "excluded_mixed_basis", "median_hours", "p10_hours", "p90_hours", "caveat", "note")
+    return ledger.distribution(_pairs_ledger(spark, d))
 
 
 def lead_by_basis(spark: SparkSession, d: str) -> DataFrame:
@@ -273,21 +273,6 @@ def json_records(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("source_url").alias("region"), "address", "unit_raw", T.parse_price("price_raw", "price_num").alias("price"))
 
 
-def field_maps(spark: SparkSession, d: str) -> DataFrame:
-    n = spark.read.parquet(f"{d}/nation.parquet")
-    body = F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("unitNumber"), F.struct(F.col("n_name").alias("line1")).alias("address"), (F.col("n_nationkey") * 100).alias("marketRent")))).alias("units")))
-    payloads = n.groupBy("n_regionkey").agg(body.alias("body")).select(F.col("n_regionkey").cast("string").alias("url"), F.lit("GET").alias("method"), "body")
-    return jsonx.field_maps(payloads).select("url", "n_records", F.to_json("fields").alias("fields"), "score")
-
-
-def prefix_maps(spark: SparkSession, d: str) -> DataFrame:
-    n = spark.read.parquet(f"{d}/nation.parquet")
-    pairs = F.map_from_entries(F.collect_list(F.struct(F.concat(F.when(F.col("n_nationkey") % 2 == 0, "even_").otherwise("odd_"), F.col("n_nationkey").cast("string")), F.col("n_name"))))
-    m = n.groupBy("n_regionkey").agg(pairs.alias("m"))
-    even = F.transform_keys(F.map_filter("m", lambda k, v: k.startswith("even_")), lambda k, v: F.replace(k, F.lit("even_"), F.lit("")))
-    return m.select("n_regionkey", F.explode(even).alias("key", "value"))
-
-
 def survey_rank(spark: SparkSession, d: str) -> DataFrame:
     s = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 4 == 0, "JSONLD").when(F.col("s_suppkey") % 4 == 1, "PMS").when(F.col("s_suppkey") % 4 == 2, "HTML").otherwise("DEAD").alias("verdict"))
     return registry.ranked_survey(s, {"JSONLD": 0, "PMS": 1, "SPA": 2, "HTML": 3, "BLOCKED": 4, "DEAD": 5})
@@ -313,7 +298,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         lead_report, lead_distribution, lead_by_basis, lead_by_aggregator, match_candidates, greedy_match, match_counters, text_fields, numbers, stamps, fingerprints, titles, geo_lookup, normalized,
         active_listings, new_since, summary, criteria, second_run, cdc_events, cdc_verdicts, mark_gone, page_anchors, page_links, page_verdicts, verdict_totals, page_counts, page_details, page_markup,
-        social, json_dig, json_records, field_maps, prefix_maps, survey_rank, queue_slice,
+        social, json_dig, json_records, survey_rank, queue_slice,
     )
 }
 
@@ -326,4 +311,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
-    return {k: shipped(f) for k, f in QUERIES.items()}
+    from hearthline.plans import landed
+
+    return {k: shipped(f) for k, f in (QUERIES | landed.QUERIES).items()}

@@ -1,13 +1,13 @@
 """SQL equal to the queries of catalog.py, for another engine (RE2 patterns, no look-around).
 
-page_links, page_markup, field_maps, titles, normalized and the greedy matching
-have none: they need relative addresses, a walk of nested JSON in its own order,
-look-ahead, or a sequential choice. They are tested on small inputs instead.
+page_links has none: it needs relative addresses; it is tested on small inputs.
+The greedy matching walks each building's sorted pairs by recursion.
 """
 
 from __future__ import annotations
 
 from hearthline.functions import text as T
+from hearthline.plans import landed
 from hearthline.plans.catalog import AGG, UP, _duck
 from hearthline.sources import htmlx
 
@@ -49,6 +49,27 @@ SAME = "(not starts_with(basis, 'censored:') and split_part(basis, '->', 1) = sp
 USE = f"(lead_hours is not null and {SAME})"
 RANK = lambda c: f"case {c} when 'high' then 2 when 'medium' then 1 else 0 end"
 
+DISTRIBUTION = f"""select count(*) filter ({USE}) as measured, count(*) filter (lead_hours is null) as pending, count(*) filter (lead_hours is not null and not coalesce({SAME}, false)) as excluded_mixed_basis,
+    round_even(median(lead_hours) filter ({USE}), 1) as median_hours, round_even(avg(lead_hours) filter ({USE}), 1) as mean_hours,
+    round_even(list_sort(list(lead_hours) filter ({USE}))[greatest(1, cast(floor(count(*) filter ({USE}) * cast(0.1 as double)) as bigint))], 1) as p10_hours,
+    round_even(list_sort(list(lead_hours) filter ({USE}))[least(count(*) filter ({USE}), cast(floor(count(*) filter ({USE}) * cast(0.9 as double)) as bigint) + 1)], 1) as p90_hours,
+    round_even(avg(cast(lead_hours > 0 as int)) filter ({USE}), 3) as share_ahead, round_even(avg(cast(lead_hours >= 24 as int)) filter ({USE}), 3) as share_ahead_24h, round_even(avg(cast(lead_hours >= 72 as int)) filter ({USE}), 3) as share_ahead_72h,
+    case when count(*) filter ({USE}) between 1 and 29 then 'small sample' end as caveat,
+    case when count(*) filter ({USE}) = 0 and count(*) filter (lead_hours is not null) > 0 then concat(count(*) filter (lead_hours is not null), ' pairs found, none of them usable yet') when count(*) filter ({USE}) = 0 then 'no aggregator timestamps recorded yet' end as note from t"""
+#: The one-to-one choice: each building's pairs in order, a pair taken if neither side is yet.
+MATCHES = f"""with recursive x as (select *, coalesce(nullif(bin, ''), nullif(bbl, '')) as building from {L} where price is not null),
+    c as (select u.building, u.fingerprint as u_fp, a.fingerprint as a_fp, u.source as u_source, case when u.price = a.price then 'building+beds+price' else 'building+beds+near-price' end as matched_by,
+            case when u.price = a.price then 0.0 else abs(u.price - a.price) / cast(greatest(u.price, a.price) as double) end as penalty, coalesce(u.listed_at, u.first_seen) as u_time, coalesce(a.listed_at, a.first_seen) as a_time,
+            u.listed_at is not null as u_listed, a.listed_at is not null as a_listed, u.first_seen as u_seen
+        from x u join x a on u.building = a.building and u.source in ({_list(UP)}) and a.source in ({_list(AGG)}) and coalesce(abs(u.beds - a.beds) <= 0.01, true) and abs(u.price - a.price) / cast(greatest(u.price, a.price) as double) <= 0.04),
+    o as (select *, row_number() over (partition by building order by penalty, u_fp, a_fp) as k from c),
+    g(building, k, ups, aggs, hit) as (select distinct building, cast(0 as bigint), cast([] as varchar[]), cast([] as varchar[]), false from o
+        union all select g.building, o.k, case when not list_contains(ups, u_fp) and not list_contains(aggs, a_fp) then list_append(ups, u_fp) else ups end, case when not list_contains(ups, u_fp) and not list_contains(aggs, a_fp) then list_append(aggs, a_fp) else aggs end,
+            not list_contains(ups, u_fp) and not list_contains(aggs, a_fp) from g join o on o.building = g.building and o.k = g.k + 1),
+    m as (select o.*, date_diff('hour', u_time, a_time) as lead,
+            case when not u_listed and (u_source = 'up2' or (u_source = 'up0' and u_seen < timestamp '1995-06-01 00:00:00')) then 'censored:present-at-first-crawl' else concat(case when u_listed then 'listed_at' else 'first_seen' end, '->', case when a_listed then 'listed_at' else 'first_seen' end) end as basis
+        from g join o using (building, k) where hit)"""
+
 ORACLES: dict[str, str] = {
     "text_fields": f"""select c_custkey, {_street('street')} as street, {UNIT} as unit, regexp_extract(street, '^\\s*(\\d{{1,4}}(?:-\\d{{1,3}})?)\\b', 1) as house,
         {BOROUGH('place')} as borough, {ZIP} as zip_borough, {REGISTER} as register_street from {A}""",
@@ -56,10 +77,15 @@ ORACLES: dict[str, str] = {
             case when len(cast(o_custkey % 30000 as varchar)) >= 3 then o_custkey % 30000 end as a from (select q.*, o_custkey from {Q} q join orders using (o_orderkey)))
         select o_orderkey, cast(case when not regexp_matches(digits, '\\..*\\.') and cast(digits as double) between 500 and 100000 then round_even(cast(digits as double), 0) end as int) as price,
             cast(case when b between 0 and 12 then b end as double) as beds, cast(case when a between 80 and 20000 then a end as int) as sqft from t""",
-    "stamps": f"""select o_orderkey, cast(case o_orderkey % 4 when 0 then 0 when 1 then 24 when 2 then o_custkey % 40 else (o_custkey % 9) * 168 end as double) as hours_ago, o_orderkey % 3 <> 2 as stamp_ok from orders""",
+    "stamps": f"""select o_orderkey, cast(case o_orderkey % 4 when 0 then 0 when 1 then 24 when 2 then o_custkey % 40 else (o_custkey % 9) * 168 end as double) as hours_ago, case o_orderkey % 3 when 0 then strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') when 1 then strftime(o_orderdate, '%Y-%m-%d 06:30:00') end as stamp from orders""",
     "fingerprints": f"""with t as (select *, coalesce(nullif(bin, ''), nullif(bbl, '')) as b, nullif(unit_key, '') as u, case when sqft > 1000 then concat('ref:', source, ':', fingerprint) end as r, coalesce(cast(beds as varchar), '') as bs from {L})
         select fingerprint, substr(sha1(case when b is not null and u is not null then concat(b, '|', u) when b is not null and r is not null then concat(b, '|', r) when b is not null then concat(b, '||', bs)
             else concat('nobbl|', {_street('address')}, '|', coalesce(u, r, ''), '|', bs) end), 1, 20) as identity from t""",
+    "titles": f"""select c_custkey, {UNIT.replace('upper(unit)', "upper(regexp_replace(unit, '^[A-Za-z]+[. ]*', ''))")} as unit from {A}""",
+    "normalized": f"""with r as (select *, {KEY} as query, {UNIT} as u, c_custkey % 9000 + 400 as rent from {A}),
+        n as (select *, len(query) % 3 <> 0 as hit from r)
+        select case when hit then 'high' else 'low' end as confidence, case when hit then 'Queens' else place end as borough, count(*) as n,
+            count(distinct case when hit then concat(md5(query), '|', u) else concat('nobbl|', {_street('street')}, '|', u, '|1.0') end) as units, cast(sum(case when rent >= 500 then rent end) as bigint) as rents from n group by 1, 2""",
     "geo_lookup": f"""with k as (select {KEY} as query, min(c_custkey) as k from {A} group by 1),
         o as (select case when k % 2 = 0 then (case when k % 5 = 0 then 'negative' else 'hit' end) when k % 3 = 0 then 'empty' when k % 5 <= 1 then 'low' else 'resolved' end as outcome from k where query <> '')
         select outcome, count(*) as n, count(case when outcome in ('hit', 'resolved') then 1 end) as with_bbl from o group by 1""",
@@ -93,10 +119,11 @@ ORACLES: dict[str, str] = {
         select u.building, u.fingerprint as u_fp, a.fingerprint as a_fp, case when u.price = a.price then 'building+beds+price' else 'building+beds+near-price' end as matched_by,
             round(case when u.price = a.price then 0.0 else abs(u.price - a.price) / cast(greatest(u.price, a.price) as double) end, 9) as penalty
         from x u join x a on u.building = a.building and u.source in ({_list(UP)}) and a.source in ({_list(AGG)}) and coalesce(abs(u.beds - a.beds) <= 0.01, true) and abs(u.price - a.price) / cast(greatest(u.price, a.price) as double) <= 0.04""",
-    "lead_distribution": f"""with t as {LEAD}, m as (select count(*) as n, median(lead_hours) as md, list_sort(list(lead_hours)) as s from t where {USE})
-        select n as measured, (select count(*) from t where lead_hours is null) as pending, (select count(*) from t where lead_hours is not null and not {SAME}) as excluded_mixed_basis, round_even(md, 1) as median_hours,
-            round_even(s[greatest(1, cast(floor(n * cast(0.1 as double)) as bigint))], 1) as p10_hours, round_even(s[least(n, cast(floor(n * cast(0.9 as double)) as bigint) + 1)], 1) as p90_hours,
-            case when n > 0 and n < 30 then 'small sample' end as caveat, cast(null as varchar) as note from m""",
+    "lead_distribution": f"with t as {LEAD} {DISTRIBUTION}",
+    "greedy_match": f"{MATCHES} select building, u_fp as upstream_fp, a_fp as aggregator_fp, matched_by, basis from m",
+    "match_counters": f"{MATCHES} select count(*) as pairs_found, count(*) filter (abs(lead) <= 60 * 24) as recorded, 0 as already_measured, 0 as unusable, count(*) filter (abs(lead) > 60 * 24) as implausible, count(*) filter (matched_by = 'building+beds+price') as exact_price from m",
+    "lead_report": f"""{MATCHES}, t as (select case when abs(m.lead) <= 60 * 24 then m.lead end as lead_hours, m.basis from (select distinct fingerprint from {L} where source in ({_list(UP)})) b left join m on m.u_fp = b.fingerprint) {DISTRIBUTION}""",
+    "page_markup": "select concat('https://x.example/', p_partkey) as source_url, concat(p_partkey, ' Elm St') as address, p_retailprice as price, p_name as title from part",
     "lead_by_basis": f"with t as {LEAD} select basis, count(*) as n from t where {USE} group by 1",
     "lead_by_aggregator": f"with t as {LEAD} select aggregator, count(*) as n from t where lead_hours is not null group by 1",
     "page_anchors": f"select page_id, cast(unnest(generate_series(0, len(h) - 1)) as int) as pos, unnest(h) as href from (select page_id, regexp_extract_all(html, '{htmlx.ANCHOR}', 1) as h from pages)",
@@ -110,7 +137,7 @@ ORACLES: dict[str, str] = {
             nullif(regexp_extract(x, '(?i)\\b(studio|\\d+\\s*(?:bed\\s?rooms?|beds?|br|bd))\\b', 1), '') as beds, {_cases('lower(x)', [(p, p) for p in T.POST_PLACES])} as neighborhood from t""",
     "json_dig": "select event_id, cast(json_extract_string(props, '$.k') as int) as k, cast(null as varchar) as missing from events",
     "json_records": "select cast(n_regionkey as varchar) as region, n_name as address, cast(n_nationkey as varchar) as unit_raw, cast(n_nationkey * 100 + 1000 as int) as price from nation where n_regionkey in (select n_regionkey from nation group by 1 having count(*) >= 3)",
-    "prefix_maps": "select n_regionkey, cast(n_nationkey as varchar) as key, n_name as value from nation where n_nationkey % 2 = 0",
     "survey_rank": "select s_name as name, case s_suppkey % 4 when 0 then 'JSONLD' when 1 then 'PMS' when 2 then 'HTML' else 'DEAD' end as verdict, cast(row_number() over (order by case s_suppkey % 4 when 0 then 0 when 1 then 1 when 2 then 3 else 5 end, lower(s_name), s_name) as int) as place from supplier",
     "queue_slice": "select s_suppkey as seq, s_name, 'Acme PMS' as vendor from supplier where s_nationkey % 2 = 0 order by s_suppkey limit 20 offset 5",
 }
+ORACLES |= landed.EXPECTED

@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 
 from hearthline.functions import text as T
 from hearthline.functions import times
-from hearthline.sources.jsonx import object_nodes
+from hearthline.sources.jsonx import nodes_of_all, object_nodes
 
 # Patterns of markup, vendors' hosts, and words of links.
 JSON_LD = r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
@@ -47,6 +47,7 @@ PORTFOLIO_PATH = r"(?i)/(buildings?|propert(y|ies)|residences?|communit(y|ies)|a
 SKIP_PATH = r"(?i)/(about|team|contact|careers|news|press|blog|privacy|terms|search|amenities|neighborhood|gallery|resident|owner|invest|sustainab)"
 SKIP_LINK = r"(?i)/(about|team|contact|careers?|news|press|blog|privacy|terms|legal|accessibility|amenit|neighborhood|gallery|resident|owner|invest|sustainab|search$|faq|login|apply)"
 SHELL_KB, ENOUGH = 40, 3
+FALLBACK = ("/apartments", "/availability", "/rentals")
 AREAS, BED_SEARCHES = ("downtown-manhattan", "midtown-manhattan", "upper-manhattan", "uptown-manhattan", "brooklyn", "queens"), ("studio", "1br", "2br", "3more")
 
 
@@ -65,14 +66,16 @@ def resolve_url(base: pd.Series, href: pd.Series) -> pd.Series:
 
 @F.pandas_udf(StringType())
 def robots_verdict(body: pd.Series, agent: pd.Series, url: pd.Series) -> pd.Series:
-    """allow or DISALLOW by a robots file; none without one."""
+    """allow or DISALLOW by a robots file; none without one. A file is parsed once a batch."""
+    parsed: dict[str, RobotFileParser] = {}
 
     def one(b: str | None, a: str, u: str) -> str:
         if b is None:
             return "none"
-        rules = RobotFileParser()
-        rules.parse(b.splitlines())
-        return "allow" if rules.can_fetch(a, u) else "DISALLOW"
+        if b not in parsed:
+            parsed[b] = RobotFileParser()
+            parsed[b].parse(b.splitlines())
+        return "allow" if parsed[b].can_fetch(a, u) else "DISALLOW"
 
     return pd.Series([one(*x) for x in zip(body, agent, url, strict=True)], dtype=object)
 
@@ -213,16 +216,14 @@ def vendor(html: Column | str, base_host: Column) -> Column:
     return F.struct(F.coalesce(whose(first), named, F.lit("")).alias("vendor"), F.coalesce(first, F.lit("")).alias("link"))
 
 
-def node_counts(pages: DataFrame) -> DataFrame:
-    """Per url: listing nodes in the JSON-LD, and the longest list that it declares."""
-    v = F.col("v")
-    n = F.greatest(F.coalesce(F.try_variant_get(v, "$.numberOfItems", "int"), F.lit(0)), F.coalesce(F.try_variant_get(v, "$.mainEntity.numberOfItems", "int"), F.lit(0)))
-    return markup_nodes(pages).groupBy("url").agg(F.count_if(F.arrays_overlap("types", F.array(*map(F.lit, COUNTED_TYPES)))).alias("nodes"), F.max(n).alias("declared"))
-
-
 def _shape(pages: DataFrame) -> DataFrame:
-    """pages with nodes, declared, vendor and kb."""
-    rows = pages.join(node_counts(pages), "url", "left").withColumns({"nodes": F.coalesce("nodes", F.lit(0)), "declared": F.coalesce("declared", F.lit(0))})
+    """pages with nodes (listing nodes in the JSON-LD), declared (the longest list that it declares), vendor and kb; in one pass, no page moves."""
+    rows = pages.withColumn("_texts", nodes_of_all(F.regexp_extract_all("html", F.lit(JSON_LD), F.lit(1))))
+    rows = rows.withColumn("_v", F.transform("_texts", lambda t: F.try_parse_json(t)))
+    listed = F.filter("_v", lambda v: F.coalesce(F.arrays_overlap(_types(v), F.array(*map(F.lit, COUNTED_TYPES))), F.lit(False)))
+    count = lambda v, p: F.coalesce(F.try_variant_get(v, p, "int"), F.lit(0))
+    declared = F.array_max(F.transform("_v", lambda v: F.greatest(count(v, "$.numberOfItems"), count(v, "$.mainEntity.numberOfItems"))))
+    rows = rows.withColumns({"nodes": F.coalesce(F.when(F.col("_v").isNotNull(), F.size(listed)), F.lit(0)), "declared": F.coalesce(declared, F.lit(0))}).drop("_texts", "_v")
     own = F.regexp_replace(host("url"), r"^www\.", "")
     return rows.withColumns({"vendor": vendor("html", own), "kb": F.floor(F.length("html") / 1024)})
 
@@ -300,6 +301,37 @@ def portfolio_links(pages: DataFrame, k: int = 6) -> DataFrame:
     return _top(rows.withColumn("score", score).where("score != 0"), k)
 
 
+def building_pages(links: DataFrame, pages: DataFrame) -> DataFrame:
+    """The ranked links of portfolio pages (url, link, label, place) joined to the landed pages of their buildings.
+
+    portfolio, label, place, url, html; a link without a page keeps a null html. Of
+    several landings of one address the least html counts.
+    """
+    landed = pages.groupBy(bare("url").alias("link")).agg(F.min("html").alias("html"))
+    return links.select(F.col("url").alias("portfolio"), "link", "label", "place").join(landed, "link", "left").select("portfolio", "label", "place", F.col("link").alias("url"), "html")
+
+
+def entry_points(homes: DataFrame, links: DataFrame) -> DataFrame:
+    """Pages to look at for each homepage: its ranked links, or FALLBACK paths of its site where it has none; url, link, place."""
+    root = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+    bare_homes = homes.select("url").distinct().join(links.select("url").distinct(), "url", "left_anti")
+    paths = F.posexplode(F.array(*map(F.lit, FALLBACK))).alias("k", "path")
+    fallback = bare_homes.select("url", root.alias("root"), paths).select("url", F.concat("root", "path").alias("link"), (F.col("k") + 1).alias("place"))
+    return links.select("url", "link", "place").unionByName(fallback)
+
+
+def survey_totals(rows: DataFrame) -> DataFrame:
+    """One row of a survey's verdicts and robots: n, reachable, zero_code (JSONLD), cheap (JSONLD or PMS) and disallowed."""
+    has = lambda *names: F.count_if(F.col("verdict").isin(*names))
+    return rows.agg(F.count("*").alias("n"), has("JSONLD", "PMS", "SPA", "HTML").alias("reachable"), has("JSONLD").alias("zero_code"), has("JSONLD", "PMS").alias("cheap"), F.count_if(F.col("robots") == "DISALLOW").alias("disallowed"))
+
+
+def drill_totals(rows: DataFrame) -> DataFrame:
+    """One row of building_verdicts: n, crawlable (read without a browser) and crawlable_share."""
+    crawlable = F.count_if(F.col("verdict").isin("JSONLD", "INLINE", "VENDOR"))
+    return rows.agg(F.count("*").alias("n"), crawlable.alias("crawlable"), F.try_divide(crawlable, F.count("*")).alias("crawlable_share"))
+
+
 def reachable(fetches: DataFrame) -> DataFrame:
     """One verdict per domain from landed fetches (domain, attempt, status, error): OK, BLOCKED or DEAD.
 

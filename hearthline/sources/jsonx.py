@@ -108,20 +108,31 @@ def records(s: pd.Series, root: pd.Series) -> pd.Series:
     return pd.Series([found(t, p) for t, p in zip(s, root, strict=True)], dtype=object)
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("empty", T.BooleanType())])))
-def flat_keys(s: pd.Series) -> pd.Series:
-    """Dotted keys of a record's plain values, at most two objects deep, in its order."""
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def nodes_of_all(blocks: pd.Series) -> pd.Series:
+    """Each object of several JSON texts as JSON text."""
+    return blocks.map(lambda many: [n for t in (many if many is not None else []) for n in _texts(objects(loads(t)))])
 
-    def walk(record: dict, prefix: str, depth: int) -> list[dict]:
-        out = []
-        for k, v in record.items():
-            if isinstance(v, dict) and depth < 2:
-                out += walk(v, f"{prefix}{k}.", depth + 1)
-            elif not isinstance(v, (dict, list)):
-                out.append({"path": prefix + k, "kind": type(v).__name__, "empty": v is None or v == "" or v == 0})
-        return out
 
-    return s.map(lambda t: walk(v, "", 0) if isinstance(v := loads(t), dict) else [])
+LEVELS = 3
+
+
+def plain_keys(record: dict) -> list[dict]:
+    """The values of a record that are neither objects nor lists, with dotted paths of at most LEVELS keys, in its order."""
+    found, waiting = [], [((), record)]
+    while waiting:
+        keys, value = waiting.pop()
+        if not isinstance(value, (dict, list)):
+            found.append({"path": ".".join(keys), "kind": type(value).__name__, "empty": value in (None, "", 0)})
+        elif isinstance(value, dict) and len(keys) < LEVELS:
+            waiting += [((*keys, k), v) for k, v in reversed(value.items())]
+    return found
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("empty", T.BooleanType())])))
+def flat_keys(s: pd.Series) -> pd.Series:
+    """plain_keys of the record in a JSON text; none of anything else."""
+    return s.map(lambda t: plain_keys(v) if isinstance(v := loads(t), dict) else [])
 
 
 def path_of(dotted: str) -> str:
@@ -135,38 +146,38 @@ def dig(value: Column | str, dotted: str, kind: str = "string") -> Column:
     return F.try_variant_get(v, path_of(dotted), kind) if dotted else F.lit(None).cast(kind)
 
 
+def field_of(keys: Column, patterns: tuple[str, ...]) -> Column:
+    """The path of the first key that the first matching pattern matches, in its last part or as a whole."""
+    fits = lambda p: lambda k: F.element_at(F.split(k["path"], r"\."), -1).rlike(f"(?i){p}") | k["path"].rlike(f"(?i){p}")
+    return F.coalesce(*[F.try_element_at(F.filter(keys, fits(p)), F.lit(1))["path"] for p in patterns])
+
+
 def field_maps(payloads: DataFrame) -> DataFrame:
-    """Guessed fields of each payload: url, method, origin, n_records, fields (map), score, sample.
+    """Guessed fields of each payload: url, method, origin, n_records, fields (map), score, sample, and seq if it has one.
 
-    payloads has url, method, body and optionally origin. The first pattern that a
-    key (or its last part) matches wins, and of its keys the first; booleans don't count.
+    payloads has url, method, body and optionally origin and seq. The first pattern
+    that a key (or its last part) matches wins, and of its keys the first; booleans
+    don't count. Each payload is judged in its own row.
     """
     rows = payloads.withColumn("recs", records("body", F.lit(None).cast("string"))).where(F.size("recs") >= LEAST_RECORDS)
-    rows = rows.withColumn("pid", F.monotonically_increasing_id())
-    keys = rows.select("pid", F.posexplode(flat_keys(F.col("recs")[0])).alias("k", "key")).where("key.kind != 'bool'")
-    leaf = F.element_at(F.split("key.path", r"\."), -1)
-    hits = []
-    for field, patterns in SIGNALS.items():
-        at = F.coalesce(*[F.when(leaf.rlike(f"(?i){p}") | F.col("key.path").rlike(f"(?i){p}"), i) for i, p in enumerate(patterns)])
-        hits.append(F.struct(F.lit(field).alias("field"), at.alias("at")))
-    best = keys.select("pid", "k", F.col("key.path").alias("path"), F.explode(F.array(*hits)).alias("h")).where("h.at is not null")
-    best = best.groupBy("pid", "h.field").agg(F.min_by("path", F.struct("h.at", "k")).alias("path"))
-    maps = best.groupBy("pid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "path")))).alias("fields"))
+    rows = rows.withColumn("keys", flat_keys(F.col("recs")[0])).withColumn("keys", F.filter("keys", lambda k: k["kind"] != "bool"))
+    found = [F.struct(F.lit(field).alias("field"), field_of(F.col("keys"), SIGNALS[field]).alias("path")) for field in sorted(SIGNALS)]
+    rows = rows.withColumn("fields", F.map_from_entries(F.filter(F.array(*found), lambda x: x["path"].isNotNull()))).where(F.size("fields") > 0)
     score = sum((F.when(F.map_contains_key("fields", f), w).otherwise(0) for f, w in WEIGHTS.items()), F.floor(F.least(F.size("recs"), F.lit(40)) / 10))
     origin = F.col("origin") if "origin" in payloads.columns else F.lit("")
-    return rows.join(maps, "pid").select("url", "method", origin.alias("origin"), F.size("recs").alias("n_records"), "fields", score.cast("int").alias("score"), F.col("recs")[0].alias("sample"), "pid")
+    more = ["seq"] if "seq" in payloads.columns else []
+    return rows.select("url", "method", origin.alias("origin"), F.size("recs").alias("n_records"), "fields", score.cast("int").alias("score"), F.col("recs")[0].alias("sample"), *more)
 
 
 def endpoints(captures: DataFrame) -> DataFrame:
     """Endpoints that look like listings, best first: of each address (without its query) the first capture.
 
-    captures has url, method, content_type, body, origin and seq (their order).
+    captures has url, method, content_type, body, origin and seq (their order; ties by url, method and sample).
     """
     kept = captures.where(F.col("content_type").contains("json") & (F.length("body") >= LEAST_BODY) & ~F.try_parse_url("url", F.lit("HOST")).rlike(SKIP_HOSTS))
-    found = field_maps(kept).drop("pid").join(kept.groupBy("url", "method").agg(F.min("seq").alias("seq")), ["url", "method"])
-    found = found.where(F.map_contains_key("fields", "address") | F.map_contains_key("fields", "unit_raw"))
-    first = Window.partitionBy(F.substring_index("url", "?", 1)).orderBy("seq")
-    return found.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k").orderBy(F.desc("score"), F.desc("n_records"), "seq")
+    found = field_maps(kept).where(F.map_contains_key("fields", "address") | F.map_contains_key("fields", "unit_raw"))
+    first = Window.partitionBy(F.substring_index("url", "?", 1)).orderBy("seq", "url", "method", "sample")
+    return found.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k").orderBy(F.desc("score"), F.desc("n_records"), "seq", "url", "method")
 
 
 def source_spec(candidates: DataFrame, source_id: Column, operator: Column | None = None, borough_hint: Column | None = None) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthline import schemas
+from hearthline.cluster import numbered
 from hearthline.sources import htmlx, jsonx
 
 #: Adapters by type: each makes raw records of landed pages or payloads.
@@ -31,13 +32,24 @@ def expectations(spark: SparkSession, specs: list[dict]) -> DataFrame:
     return spark.createDataFrame([(s["id"], int(s.get("min_expected", 1))) for s in specs], "source string, min_expected int")
 
 
-def read_sources(spark: SparkSession, path: str) -> list[dict]:
-    """The entries of a JSON registry: the whole document, or its `sources`."""
+def entries(text: str) -> list[dict]:
+    """The entries of a registry's text, JSON or YAML: the whole document, or its `sources`."""
     import json
 
-    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())  # one configuration file
-    found = json.loads(text)
-    return found["sources"] if isinstance(found, dict) and "sources" in found else found
+    try:
+        found = json.loads(text)
+    except ValueError:
+        try:
+            import yaml
+        except ModuleNotFoundError as e:
+            raise ValueError("a registry that isn't JSON needs a YAML parser, which isn't installed") from e
+        found = yaml.safe_load(text)
+    return (found.get("sources") or []) if isinstance(found, dict) else found or []
+
+
+def read_sources(spark: SparkSession, path: str) -> list[dict]:
+    """The entries of one registry file."""
+    return entries("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))  # one configuration file
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -70,7 +82,7 @@ def read_criteria(spark: SparkSession, path: str) -> DataFrame:
 def ranked_survey(rows: DataFrame, ranks: dict[str, int]) -> DataFrame:
     """Survey rows with their place by verdict rank and name."""
     rank = F.coalesce(*[F.when(F.col("verdict") == v, r) for v, r in ranks.items()], F.lit(99))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(rank, F.lower("name"), "name")))
+    return numbered(rows, [rank, F.lower("name"), F.col("name")], "place")
 
 
 def write_csv(rows: DataFrame, path: str, columns: list[str]) -> None:

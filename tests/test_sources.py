@@ -83,7 +83,7 @@ def test_markup(spark):
     assert set(rows) == {"12B", "x"}
     assert (rows["12B"].address, rows["12B"].price_raw, rows["12B"].sqft_raw, rows["12B"].borough_hint) == ("1 A St", "4200", "700", "Chelsea")
     assert (rows["x"].address, rows["x"].price_raw, rows["x"].borough_hint) == ("42-20 24th Street", "3100", "Long Island City")
-    (c,) = htmlx.node_counts(df).collect()
+    (c,) = htmlx._shape(df).collect()
     assert (c.nodes, c.declared) == (2, 9)
     assert [r.verdict for r in htmlx.verdicts(df).collect()] == ["SPA"]
 
@@ -133,3 +133,42 @@ def test_registry(spark, tmp_path):
     page = spark.createDataFrame([("https://x.example/1", "<h1>1 A St, #2</h1>")], "url string, html string")
     assert registry.build(specs[0], page).collect()[0].source == "a"
     assert len(htmlx.searches("b")) == 24
+
+
+def test_field_maps_after_a_shuffle(spark):
+    """Payloads of unlike keys, dealt anew: each keeps its own map."""
+    shapes = [
+        ("address", {"address": "1 A St", "rent": 2000, "unit": "1"}, {"address": "address", "price": "rent", "unit_raw": "unit"}), ("street", {"street": "1 A St", "price": 2000}, {"address": "street", "price": "price"}), ("deep", {"a": {"b": {"line1": "x", "c": {"rent": 1}}}}, {"address": "a.b.line1"}),
+        ("flag", {"rent": True, "marketRent": 3000}, {"price": "marketRent"}), ("none", {"x": 1}, None),
+    ]
+    rows = [(f"u{k}", "GET", json.dumps([shapes[k % 5][1]] * 3), k) for k in range(1000)]
+    got = {r.url: r.fields for r in jsonx.field_maps(spark.createDataFrame(rows, "url string, method string, body string, seq long").repartition(13)).collect()}
+    assert got == {f"u{k}": shapes[k % 5][2] for k in range(1000) if shapes[k % 5][2]}
+
+
+def test_plain_keys():
+    assert [k["path"] for k in jsonx.plain_keys({"a": 1, "b": {"c": None, "d": {"e": "x", "f": {"g": 1}}, "h": [1]}, "i": ""})] == ["a", "b.c", "b.d.e", "i"]
+    assert [k["empty"] for k in jsonx.plain_keys({"a": 0, "b": False, "c": "", "d": None, "e": "x", "f": 2})] == [True, True, True, True, False, False]
+
+
+def test_endpoints_of_one_address(spark):
+    """Of captures of one address and method the first stays, whatever the order they are dealt in."""
+    body = lambda n: json.dumps({"rows": [{"address": f"{n} A St", "rent": 2000 + n, "pad": "x" * 80}] * 3})
+    rows = [("https://a.example/x?q=1", "GET", "application/json", body(k), "o", k) for k in range(20)]
+    for parts in (1, 7):
+        (e,) = jsonx.endpoints(spark.createDataFrame(rows, "url string, method string, content_type string, body string, origin string, seq long").repartition(parts)).collect()
+        assert e.seq == 0 and json.loads(e.sample)["address"] == "0 A St"
+
+
+def test_registry_texts():
+    assert registry.entries('[{"id": "a"}]') == [{"id": "a"}] and registry.entries('{"sources": []}') == []
+    pytest.importorskip("yaml")
+    assert registry.entries("sources:\n  - id: a\n    type: jsonld\n  - id: b\n    enabled: false\n") == [{"id": "a", "type": "jsonld"}, {"id": "b", "enabled": False}]
+
+
+def test_pages_do_not_move(spark):
+    """Verdicts come from one pass over the pages: no join, no exchange."""
+    df = spark.createDataFrame([("https://x.example/", "<p>x</p>")], "url string, html string")
+    for out in (htmlx.verdicts(df), htmlx.building_verdicts(df)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
