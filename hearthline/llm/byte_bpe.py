@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from hearthline.llm.common import by_batch, record, table, tune
 
 LEAF = 24
-CACHE = 250_000
+CACHE = 80_000
 #: Fixed value: the pre-token pattern of the vocabulary, and what it amounts to on ASCII without separators 28 to 31.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ASCII_PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"

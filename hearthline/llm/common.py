@@ -18,6 +18,10 @@ ROLL = np.uint64(0x9E3779B97F4A7C15)
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+#: Bytes of a row group while it is written, one a task.
+ROW_GROUP = 32 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -67,7 +71,7 @@ def cut(df: DataFrame) -> DataFrame:
 def store(df: DataFrame) -> DataFrame:
     """Write df as Parquet below the checkpoint folder and read it again; for wide or large results."""
     path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
