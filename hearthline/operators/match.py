@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthline.functions import text as T
 from hearthline.functions import times
 
-TOLERANCE, BEDS_APART, PLAUSIBLE_DAYS, LARGE = 0.04, 0.01, 60, 2000
+TOLERANCE, BEDS_APART, PLAUSIBLE_DAYS = 0.04, 0.01, 60
 CENSORED = "censored:present-at-first-crawl"
 
 
@@ -49,36 +49,33 @@ def candidates(listings: DataFrame, upstream: list[str], aggregators: list[str],
     return pairs.select("building", "u_fp", "a_fp", "u_source", "a_source", "u_price", "a_price", "u_order", "a_order", F.when(exact, 0.0).otherwise(gap).alias("penalty"), F.when(exact, "building+beds+price").otherwise("building+beds+near-price").alias("matched_by"))
 
 
-def assign(pairs: DataFrame, large: int = LARGE) -> DataFrame:
+def assign(pairs: DataFrame) -> DataFrame:
     """The pairs that a greedy pass by (penalty, order, fingerprint) takes, no side twice.
 
-    A building's pass is independent of all others. Buildings of up to `large`
-    pairs are folded natively; larger ones go through a grouped pandas pass with
-    two sets, linear after the sort.
+    A building's pass is independent of all others. Spark sorts its pairs (and
+    spills them); the pass streams over them and holds the sides taken so far, not
+    the pairs.
     """
-    counted = pairs.withColumn("_n", F.count("*").over(Window.partitionBy("building")))
-    key = F.struct("penalty", "u_order", "a_order", "u_fp", "a_fp", "u_source", "a_source", "u_price", "a_price", "matched_by")
-    sorted_ = F.array_sort(F.collect_list(key))
-    small = counted.where(F.col("_n") <= large).groupBy("building").agg(sorted_.alias("c"))
-    start = F.filter("c", lambda x: F.lit(False))
-    free = lambda taken, x: ~F.exists(taken, lambda y: (y["u_fp"] == x["u_fp"]) | (y["a_fp"] == x["a_fp"]))
-    taken = F.aggregate("c", start, lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    out = small.select("building", F.explode(taken).alias("m")).select("building", "m.*")
-    columns = out.columns
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema)
-
-    def greedy(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["penalty", "u_order", "a_order", "u_fp", "a_fp"], kind="stable")
-        ups, aggs, rows = set(), set(), []
-        for i, (u, a) in enumerate(zip(group["u_fp"], group["a_fp"], strict=True)):
-            if u not in ups and a not in aggs:
-                ups.add(u)
-                aggs.add(a)
-                rows.append(i)
-        return group.iloc[rows][columns]
-
-    big = counted.where(F.col("_n") > large).select(*columns).groupBy("building").applyInPandas(greedy, kinds)
-    return out.unionByName(big)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
+    columns = pairs.columns
+    place = [columns.index(c) for c in ("building", "u_fp", "a_fp")]
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, ups, aggs = None, set(), set()
+        for batch in batches:
+            rows = []
+            for i, (building, u, a) in enumerate(zip(*(batch.column(k).to_pylist() for k in place), strict=True)):
+                if building != here:
+                    here, ups, aggs = building, set(), set()
+                if u not in ups and a not in aggs:
+                    ups.add(u)
+                    aggs.add(a)
+                    rows.append(i)
+            if rows:
+                yield pa.RecordBatch.from_arrays([c.take(pa.array(rows)) for c in batch.columns], names=columns)
+
+    order = ["building", "penalty", "u_order", "a_order", "u_fp", "a_fp"]
+    return pairs.repartition("building").sortWithinPartitions(*order).mapInArrow(take, kinds)
 
 
 def second_runs(runs: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A snapshot is written whole under a new version; only then is the version added
 to the list of versions, an append that readers see at once or not at all. A job
-that dies in between leaves the old version current.
+that dies in between leaves the old version current. The list says under which
+version each table was last written, so a table that didn't change isn't copied.
 """
 
 from __future__ import annotations
@@ -31,15 +32,26 @@ class History:
         where = jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
 
+    def _versions(self) -> DataFrame | None:
+        """version and, per table, the version that wrote it (0: none did); null before the first."""
+        path = f"{self.path}/versions"
+        if not self._exists(path):
+            return None
+        rows = self.spark.read.schema(", ".join(["version long", *[f"{t} long" for t in TABLES]])).parquet(path)
+        return rows.select("version", *[F.coalesce(t, "version").alias(t) for t in TABLES])
+
+    def _current(self) -> dict[str, int]:
+        rows = self._versions()
+        last = rows.orderBy(F.desc("version")).first() if rows is not None else None
+        return last.asDict() if last else dict.fromkeys(("version", *TABLES), 0)
+
     def version(self) -> int:
         """The current version, 0 before the first."""
-        path = f"{self.path}/versions"
-        return (self.spark.read.schema("version long").parquet(path).agg(F.max("version")).first()[0] or 0) if self._exists(path) else 0
+        return self._current()["version"]
 
     def read(self, table: str) -> DataFrame:
-        schema, v = TABLES[table], self.version()
-        path = f"{self.path}/{table}/v={v}"
-        return migrate(self.spark.read.parquet(path), schema) if v and self._exists(path) else self.spark.createDataFrame([], schema)
+        schema, v = TABLES[table], self._current()[table]
+        return migrate(self.spark.read.parquet(f"{self.path}/{table}/v={v}"), schema) if v else self.spark.createDataFrame([], schema)
 
     def log(self, table: str) -> DataFrame:
         """Rows of an append-only table up to the current version."""
@@ -49,14 +61,33 @@ class History:
         return migrate(self.spark.read.parquet(path).where(F.col("version") <= self.version()).drop("version"), schema)
 
     def commit(self, tables: dict[str, DataFrame], logs: dict[str, DataFrame]) -> int:
-        """Write the next version; tables that aren't given are carried over."""
-        v = self.version() + 1
-        for name in TABLES:
-            (tables[name] if name in tables else self.read(name)).write.mode("overwrite").parquet(f"{self.path}/{name}/v={v}")
+        """Write the next version; tables that aren't given stay where they are."""
+        now = self._current()
+        v = now["version"] + 1
+        for name, rows in tables.items():
+            rows.write.mode("overwrite").parquet(f"{self.path}/{name}/v={v}")
         for name, rows in logs.items():
             rows.write.mode("overwrite").parquet(f"{self.path}/{name}/version={v}")
-        self.spark.createDataFrame([(v,)], "version long").coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
+        at = [v if name in tables else now[name] for name in TABLES]
+        self.spark.createDataFrame([(v, *at)], ", ".join(["version long", *[f"{t} long" for t in TABLES]])).coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
         return v
 
+    def prune(self, keep: int = 2) -> int:
+        """Remove the snapshots that none of the newest `keep` versions reads; returns how many. Logs stay whole.
+
+        Readers of an older version must have ended.
+        """
+        rows = self._versions()
+        if rows is None:
+            return 0
+        kept = rows.orderBy(F.desc("version")).limit(max(1, keep)).collect()
+        jvm, conf, removed = self.spark._jvm, self.spark._jsc.hadoopConfiguration(), 0
+        for name in TABLES:
+            used = {r[name] for r in kept}
+            for r in rows.select(name).distinct().where(F.col(name) < min(used)).collect():
+                where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/v={r[0]}")
+                removed += bool(where.getFileSystem(conf).delete(where, True))
+        return removed
+
     def recent_runs(self, n: int = 12) -> DataFrame:
         return self.log("runs").orderBy(F.desc("started_at"), "source").limit(n)

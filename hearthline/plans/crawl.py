@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthline import schemas
@@ -16,36 +17,47 @@ from hearthline.operators.state import History
 
 
 def crawl(history: History, sources: dict[str, Callable[[], DataFrame]], min_expected: dict[str, int], primary: DataFrame, register: DataFrame | None, now: datetime, sweep: bool = True) -> DataFrame:
-    """Fold all sources, one after the other, into the next version; returns the run rows.
+    """Fold all sources, in their order, into the next version; returns the run rows.
 
     sources make raw records of one source each. One that fails gives a failed run
     and changes nothing; one with fewer rows than expected is folded, but its
-    missing listings are kept. The whole crawl is one version.
+    missing listings are kept. The whole crawl is one lookup, one fold and one
+    version, however many sources it has.
     """
     spark, at = history.spark, F.lit(str(now)).cast("timestamp")
-    state, book, cache = history.read("listings"), history.read("ledger"), history.read("geo")
-    events, runs = spark.createDataFrame([], schemas.EVENT), []
-    for name, make in sources.items():
+    read, failed = {}, {}
+    for turn, (name, make) in enumerate(sources.items()):
         try:
             # cut where the source's own work ends, so that its failure is its own
-            raw = cut(conform(make()).withColumn("_k", F.monotonically_increasing_id()))
-            n = raw.count()
+            raw = cut(conform(make()).withColumns({"_k": F.monotonically_increasing_id(), "turn": F.lit(turn)}))
+            read[name] = (turn, raw, raw.count())
         except Exception as e:
-            runs.append((name, now, now, False, 0, 0, 0, 0, 0, f"{type(e).__name__}: {str(e)[:200]}"))
-            continue
+            failed[name] = f"{type(e).__name__}: {str(e)[:200]}"
+    low = {name for name, (_, _, n) in read.items() if n < min_expected.get(name, 1)}
+    tables, logs, counts, lost = {}, {}, {}, {}
+    if read:
+        state, book, cache = history.read("listings"), history.read("ledger"), history.read("geo")
+        raw = reduce(DataFrame.unionByName, [r for _, r, _ in read.values()])
         resolved = cut(geo.lookup(raw, cache, primary, register))
-        batch = cut(diff.ordinals(normalize(raw, resolved, at), [F.col("_k")]).drop("_k"))
-        low = n < min_expected.get(name, 1)
-        swept = spark.createDataFrame([(name,)], "source string") if sweep and not low else None
-        d = diff.fold(state, batch, at, swept)
-        counts = d.verdicts.agg(F.count_if(F.col("verdict") == "new"), F.count_if(F.col("verdict").isin("price_change", "relisted")), F.count_if(F.col("confidence") == "low")).first()
-        gone = d.events.where("event = 'gone'").count()
-        cache, events = cut(geo.remember(resolved, cache)), cut(events.unionByName(d.events))
-        book = cut(ledger.open_entries(book, d.verdicts.where("verdict = 'new'").select("fingerprint", "first_seen")))
-        state = cut(d.state)
-        runs.append((name, now, now, not low, n, counts[0], counts[1], gone, counts[2], f"only {n} rows returned" if low else None))
+        batch = cut(diff.ordinals(normalize(raw, resolved, at), [F.col("turn"), F.col("_k")]).drop("_k"))
+        turns = [(name, turn) for name, (turn, _, _) in read.items() if sweep and name not in low]
+        d = diff.fold(state, batch, at, spark.createDataFrame(turns, "source string, turn int"))
+        judged = d.verdicts.groupBy("turn").agg(F.count_if(F.col("verdict") == "new").alias("new"), F.count_if(F.col("verdict").isin("price_change", "relisted")).alias("updated"), F.count_if(F.col("confidence") == "low").alias("low"))
+        counts = {r.turn: r for r in judged.collect()}  # as many as sources
+        lost = {r.source: r["n"] for r in d.missing.groupBy("source").agg(F.count("*").alias("n")).collect()}  # as many as sources
+        new = d.verdicts.where("verdict = 'new'").select("fingerprint", "first_seen")
+        tables = {"listings": d.state, "ledger": ledger.open_entries(book, new), "geo": geo.remember(resolved, cache)}
+        logs = {"events": d.events}
+    runs = []
+    for name in sources:
+        if name in failed:
+            runs.append((name, now, now, False, 0, 0, 0, 0, 0, failed[name]))
+            continue
+        turn, _, n = read[name]
+        c = counts.get(turn)
+        runs.append((name, now, now, name not in low, n, c.new if c else 0, c.updated if c else 0, lost.get(name, 0), c.low if c else 0, f"only {n} rows returned" if name in low else None))
     rows = spark.createDataFrame(runs, schemas.RUN)
-    history.commit({"listings": state, "ledger": book, "geo": cache}, {"events": events, "runs": rows})
+    history.commit(tables, logs | {"runs": rows})
     return rows
 
 
@@ -60,7 +72,3 @@ def crossmatch(history: History, upstream: list[str], aggregators: list[str], to
 
 def fresh_measurements(judged: DataFrame, show: int = 20) -> DataFrame:
     return judged.where("outcome = 'recorded'").orderBy(F.desc("lead_hours"), "upstream_fp").limit(show)
-
-
-def session_listings(spark: SparkSession, path: str) -> DataFrame:
-    return History(spark, path).read("listings")

@@ -40,6 +40,21 @@ def test_crawls(spark, tmp_path):
     c = C.crossmatch(h, ["up"], ["agg"]).first()
     assert c.pairs_found == 1
     assert h.read("ledger").where("lead_hours is not null").count() == 1 and h.read("geo").count() == 1
+    written = {t: sorted(p.name for p in (tmp_path / "h" / t).iterdir()) for t in ("listings", "ledger")}
+    assert h.version() == 7 and "v=7" in written["ledger"] and "v=7" not in written["listings"]  # pairing changes the ledger alone
+    assert h.prune(2) == 15 and h.prune(2) == 0 and len(h.read("listings").collect()) == 3 and len(list((tmp_path / "h" / "listings").iterdir())) == 1
+
+
+def test_one_source_brings_back_what_another_loses(spark, tmp_path):
+    h = History(spark, f"{tmp_path}/h")
+    primary = spark.createDataFrame([("350 w 42 st Manhattan", "1010", "77", "350 WEST 42 STREET", "Manhattan", 40.7, -74.0, 0.9, "p")], GEO)
+    go = lambda day, **rows: {r.source: r for r in C.crawl(h, {s: (lambda s=s, x=x: raw(spark, x, s)) for s, x in rows.items()}, {"b": 0, "a": 0}, primary, None, DAY + timedelta(days=day)).collect()}
+    assert go(0, a=[("1", 1000)], b=[("1", 1000), ("2", 2000)])["b"].n_new == 1
+    r = go(1, a=[], b=[("1", 1100), ("2", 2000)])
+    assert (r["a"].n_gone, r["b"].n_updated, r["b"].n_gone) == (1, 1, 0)
+    assert h.read("listings").where("gone_at is null").count() == 2
+    last = [e.event for e in h.log("events").where(f"observed_at = timestamp'{DAY + timedelta(days=1)}'").orderBy("seq").collect()]
+    assert last == ["gone", "relisted", "price_change"]
 
 
 def test_stream(spark, tmp_path):

@@ -100,6 +100,33 @@ def test_fold_equals_the_sequential_rule(spark):
         assert d.state.where("gone_at is not null").count() == sum(g for _, g in known.values())
 
 
+def test_sources_in_one_fold_equal_folds_in_turn(spark):
+    """Also where one source's sweep loses what a later one brings back, and where an earlier one revived it."""
+    r = random.Random(11)
+    named, prices = "abcdefgh", [None, 1, 2, 3]
+    for _ in range(4):
+        known = [(n, r.choice("xyzw"), r.choice(prices), r.random() < 0.4) for n in named if r.random() < 0.8]
+        start = spark.createDataFrame([(*listing(n, s, p), START if g else None) for n, s, p, g in known], schemas.STATE)
+        crawls = {s: [(r.choice(named), r.choice(prices)) for _ in range(r.randint(0, 5))] for s in "xyz"}
+        swept = [s for s in "xyz" if r.random() < 0.8]
+        state, events, verdicts, lost = start, [], [], []
+        flat = lambda df: [(e.fingerprint, e.event, e.old_price, e.new_price) for e in df.orderBy("fingerprint", "seq").collect()]
+        for turn, (s, rows) in enumerate(crawls.items()):
+            d = diff.fold(state, diff.ordinals(crawl(spark, rows, 1, s), [F.col("k")]).drop("k"), stamp(1), spark.createDataFrame([(s,)] if s in swept else [], "source string"))
+            events += flat(d.events)
+            verdicts += [(turn, v.fingerprint, v.verdict, v.old_price) for v in d.verdicts.collect()]
+            lost += [(m.fingerprint, m.source) for m in d.missing.collect()]
+            state = spark.createDataFrame(d.state.collect(), schemas.STATE)
+        every = [crawl(spark, rows, 1, s).withColumn("turn", F.lit(t)) for t, (s, rows) in enumerate(crawls.items())]
+        batch = diff.ordinals(every[0].unionByName(every[1]).unionByName(every[2]), [F.col("turn"), F.col("k")]).drop("k")
+        d = diff.fold(start, batch, stamp(1), spark.createDataFrame([(s, "xyz".index(s)) for s in swept], "source string, turn int"))
+        key = lambda x: tuple(str(y) for y in x)
+        assert flat(d.events) == sorted(events, key=lambda e: e[0])  # in their order within a fingerprint
+        assert sorted(((v.turn, v.fingerprint, v.verdict, v.old_price) for v in d.verdicts.collect()), key=key) == sorted(verdicts, key=key)
+        assert sorted((m.fingerprint, m.source) for m in d.missing.collect()) == sorted(lost)
+        assert sorted(map(str, d.state.collect())) == sorted(map(str, state.collect()))
+
+
 def test_history_equals_folds(spark):
     r = random.Random(9)
     obs, state, want = [], {}, []
@@ -156,7 +183,7 @@ def test_assignment_is_greedy(spark):
             used |= {u, a}
             expected.append((u, a))
     assert pairs.count() == len(want) and got == sorted(expected)
-    assert sorted((p.u_fp, p.a_fp) for p in match.assign(pairs, large=3).collect()) == got
+    assert "Window" not in (plan := match.assign(pairs)._jdf.queryExecution().toString()) and "FlatMapGroups" not in plan
 
 
 def test_ledger(spark):
