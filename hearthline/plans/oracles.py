@@ -122,7 +122,7 @@ ORACLES: dict[str, str] = {
     "lead_distribution": f"with t as {LEAD} {DISTRIBUTION}",
     "greedy_match": f"{MATCHES} select building, u_fp as upstream_fp, a_fp as aggregator_fp, matched_by, basis from m",
     "match_counters": f"{MATCHES} select count(*) as pairs_found, count(*) filter (abs(lead) <= 60 * 24) as recorded, 0 as already_measured, 0 as unusable, count(*) filter (abs(lead) > 60 * 24) as implausible, count(*) filter (matched_by = 'building+beds+price') as exact_price from m",
-    "lead_report": f"""{MATCHES}, t as (select case when abs(m.lead) <= 60 * 24 then m.lead end as lead_hours, m.basis from (select distinct fingerprint from {L} where source in ({_list(UP)})) b left join m on m.u_fp = b.fingerprint) {DISTRIBUTION}""",
+    "lead_report": f"""{MATCHES}, t as (select case when abs(m.lead) <= 60 * 24 then cast(m.lead as double) end as lead_hours, m.basis from (select distinct fingerprint from {L} where source in ({_list(UP)})) b left join m on m.u_fp = b.fingerprint) {DISTRIBUTION}""",
     "page_markup": "select concat('https://x.example/', p_partkey) as source_url, concat(p_partkey, ' Elm St') as address, p_retailprice as price, p_name as title from part",
     "lead_by_basis": f"with t as {LEAD} select basis, count(*) as n from t where {USE} group by 1",
     "lead_by_aggregator": f"with t as {LEAD} select aggregator, count(*) as n from t where lead_hours is not null group by 1",
