@@ -25,11 +25,12 @@ def clock(listed_at: Column | str = "listed_at", first_seen: Column | str = "fir
     return F.struct(F.coalesce(listed, seen).alias("time"), F.when(listed.isNotNull(), "listed_at").otherwise("first_seen").alias("clock"))
 
 
-def candidates(listings: DataFrame, upstream: list[str], aggregators: list[str], tolerance: float = TOLERANCE) -> DataFrame:
+def candidates(listings: DataFrame, upstream: list[str], aggregators: list[str], tolerance: float = TOLERANCE, carry: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of one building, beds equal where both are known, rents within the tolerance.
 
     listings has fingerprint, source, bin, bbl, beds, price and optionally `ordinal`
-    (the order of ties; else the fingerprint). An equi-join on the building with the
+    (the order of ties; else the fingerprint). Columns named in carry go along as
+    u_<name> and a_<name>. An equi-join on the building with the
     rest as residual condition: AQE splits a skewed building, and rent buckets keep
     a large one from meeting all of itself.
     """
@@ -37,7 +38,8 @@ def candidates(listings: DataFrame, upstream: list[str], aggregators: list[str],
     order = F.col("ordinal") if "ordinal" in listings.columns else F.lit(0)
     # a pair's rents differ by at most the tolerance, so their logarithms' cells are equal or next to each other
     cell = F.floor(F.log(F.greatest(F.col("price").cast("double"), F.lit(1.0))) / -F.log(F.lit(1.0 - tolerance - 1e-9))) if tolerance > 0 else F.col("price").cast("long")
-    side = lambda sources, p: own.where(F.col("source").isin(sources)).select("building", F.col("fingerprint").alias(f"{p}_fp"), F.col("source").alias(f"{p}_source"), F.col("beds").alias(f"{p}_beds"), F.col("price").alias(f"{p}_price"), order.alias(f"{p}_order"), cell.cast("long").alias("cell"))
+    more = lambda p: [F.col(c).alias(f"{p}_{c}") for c in carry]
+    side = lambda sources, p: own.where(F.col("source").isin(sources)).select("building", F.col("fingerprint").alias(f"{p}_fp"), F.col("source").alias(f"{p}_source"), F.col("beds").alias(f"{p}_beds"), F.col("price").alias(f"{p}_price"), order.alias(f"{p}_order"), cell.cast("long").alias("cell"), *more(p))
     a, u = side(aggregators, "a"), side(upstream, "u")
     if tolerance > 0:
         u = u.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
@@ -46,7 +48,7 @@ def candidates(listings: DataFrame, upstream: list[str], aggregators: list[str],
     beds = F.coalesce(F.abs(F.col("u_beds") - F.col("a_beds")) <= BEDS_APART, F.lit(True))
     pairs = u.join(a, ["building", "cell"]).where(beds & near)
     exact = F.col("u_price") == F.col("a_price")
-    return pairs.select("building", "u_fp", "a_fp", "u_source", "a_source", "u_price", "a_price", "u_order", "a_order", F.when(exact, 0.0).otherwise(gap).alias("penalty"), F.when(exact, "building+beds+price").otherwise("building+beds+near-price").alias("matched_by"))
+    return pairs.select("building", "u_fp", "a_fp", "u_source", "a_source", "u_price", "a_price", "u_order", "a_order", F.when(exact, 0.0).otherwise(gap).alias("penalty"), F.when(exact, "building+beds+price").otherwise("building+beds+near-price").alias("matched_by"), *[f"{p}_{c}" for p in "ua" for c in carry])
 
 
 def assign(pairs: DataFrame) -> DataFrame:
@@ -87,14 +89,13 @@ def second_runs(runs: DataFrame) -> DataFrame:
 
 def matches(listings: DataFrame, runs: DataFrame, upstream: list[str], aggregators: list[str], tolerance: float = TOLERANCE) -> DataFrame:
     """One-to-one pairs with their times and the basis that says which clocks were compared."""
-    pairs = assign(candidates(listings, upstream, aggregators, tolerance))
-    side = lambda p: listings.select(F.col("fingerprint").alias(f"{p}_fp"), clock().alias(f"{p}_c"), *([F.col("first_seen").alias("_seen"), "address", "unit_key"] if p == "u" else []))
-    out = pairs.join(side("u"), "u_fp").join(side("a"), "a_fp")
+    # what the pairs need of their listings goes along, so that they needn't be joined to them again
+    out = assign(candidates(listings.withColumn("c", clock()), upstream, aggregators, tolerance, ("c", "first_seen", "address", "unit_key")))
     cutoffs = second_runs(runs).withColumnRenamed("source", "u_source")
     out = out.join(cutoffs, "u_source", "left")
-    censored = (F.col("u_c.clock") == "first_seen") & F.coalesce("has_runs", F.lit(False)) & (F.col("second_run").isNull() | (F.col("_seen") < F.col("second_run")))
+    censored = (F.col("u_c.clock") == "first_seen") & F.coalesce("has_runs", F.lit(False)) & (F.col("second_run").isNull() | (F.col("u_first_seen") < F.col("second_run")))
     basis = F.when(censored, CENSORED).otherwise(F.concat_ws("->", F.col("u_c.clock"), F.col("a_c.clock")))
-    return out.select("building", F.col("u_fp").alias("upstream_fp"), F.col("a_fp").alias("aggregator_fp"), F.col("a_source").alias("aggregator"), "matched_by", "penalty", F.col("u_c.time").alias("upstream_time"), F.col("a_c.time").alias("aggregator_time"), basis.alias("basis"), "address", F.col("unit_key").alias("unit"), F.col("u_price").alias("price"))
+    return out.select("building", F.col("u_fp").alias("upstream_fp"), F.col("a_fp").alias("aggregator_fp"), F.col("a_source").alias("aggregator"), "matched_by", "penalty", F.col("u_c.time").alias("upstream_time"), F.col("a_c.time").alias("aggregator_time"), basis.alias("basis"), F.col("u_address").alias("address"), F.col("u_unit_key").alias("unit"), F.col("u_price").alias("price"))
 
 
 def implausible(days: float = PLAUSIBLE_DAYS) -> Column:
