@@ -50,6 +50,21 @@ def comparable(basis: Column | str = "basis") -> Column:
     return F.coalesce(~b.startswith("censored:") & (F.size(sides) == 2) & (F.try_element_at(sides, F.lit(1)) == F.try_element_at(sides, F.lit(2))), F.lit(False))
 
 
+def _placed(counts: DataFrame) -> DataFrame:
+    """counts (v, c) with `part`, their range of values; kept, so that all uses see the same ranges and nothing is counted twice."""
+    return cut(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+
+
+def _indexed(ranged: DataFrame, shares: dict[str, float]) -> DataFrame:
+    ranged = ranged.where("v is not null")
+    n = ranged.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    sums = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over as many rows as partitions
+    before = ranged.groupBy("part").agg(F.sum("c").alias("s")).select("part", F.coalesce(F.sum("s").over(sums), F.lit(0)).alias("before"))
+    upto = ranged.join(F.broadcast(before), "part").withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("part").orderBy("v")))
+    index = {k: max(1, math.floor(n * s)) if s < 0.5 else min(n, math.floor(n * s) + 1) for k, s in shares.items()} | {"m1": (n + 1) // 2, "m2": n // 2 + 1}
+    return upto.agg(*[F.min(F.when(F.col("upto") >= i, F.col("v"))).alias(k) for k, i in index.items()])
+
+
 def indexed_quantiles(rows: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
     """One row: the values at indexes of the sorted values, and of the median's two (`m1`, `m2`), without collecting them.
 
@@ -58,29 +73,27 @@ def indexed_quantiles(rows: DataFrame, value: str, shares: dict[str, float]) ->
     the indexes that fall into it.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    ranged = cut(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()))  # kept, so that both uses see the same ranges
-    n = ranged.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    sums = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over as many rows as partitions
-    before = ranged.groupBy("part").agg(F.sum("c").alias("s")).select("part", F.coalesce(F.sum("s").over(sums), F.lit(0)).alias("before"))
-    upto = ranged.join(F.broadcast(before), "part").withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("part").orderBy("v")))
-    index = {k: max(1, math.floor(n * s)) if s < 0.5 else min(n, math.floor(n * s) + 1) for k, s in shares.items()} | {"m1": (n + 1) // 2, "m2": n // 2 + 1}
-    return upto.agg(*[F.min(F.when(F.col("upto") >= i, F.col("v"))).alias(k) for k, i in index.items()])
+    return _indexed(_placed(counts), shares)
 
 
 def distribution(ledger: DataFrame) -> DataFrame:
     """One row: how many are measured, pending and excluded, and the order statistics of the comparable leads.
 
-    Without any, the statistics are null and `note` says why.
+    Without any, the statistics are null and `note` says why. The ledger is read
+    once, into counts of equal leads.
     """
     has = F.col("lead_hours").isNotNull()
     use = has & comparable()
-    lead = F.when(use, F.col("lead_hours"))
-    share = lambda on: F.avg(F.when(use, on.cast("double")))
-    shape = ledger.agg(
-        F.count_if(use).alias("measured"), F.count_if(F.col("aggregator_seen").isNull()).alias("pending"), F.count_if(has & ~comparable()).alias("excluded_mixed_basis"),
-        F.avg(lead).alias("a"), share(F.col("lead_hours") > 0).alias("s0"), share(F.col("lead_hours") >= 24).alias("s24"), share(F.col("lead_hours") >= 72).alias("s72"),
+    kinds = ledger.groupBy(F.when(use, F.col("lead_hours")).alias("v"), F.col("aggregator_seen").isNull().alias("pending"), (has & ~comparable()).alias("excluded")).agg(F.count("*").alias("c"))
+    ranged = _placed(kinds)
+    number = lambda on: F.coalesce(F.sum(F.when(on, F.col("c"))), F.lit(0))
+    measured = number(F.col("v").isNotNull())
+    share = lambda on: F.try_divide(number(on), measured)
+    shape = ranged.agg(
+        measured.alias("measured"), number(F.col("pending")).alias("pending"), number(F.col("excluded")).alias("excluded_mixed_basis"), F.try_divide(F.sum(F.col("v") * F.col("c")), measured).alias("a"),
+        share(F.col("v") > 0).alias("s0"), share(F.col("v") >= 24).alias("s24"), share(F.col("v") >= 72).alias("s72"),
     )
-    tails = indexed_quantiles(ledger.where(use), "lead_hours", {"q10": 0.10, "q90": 0.90})
+    tails = _indexed(ranged, {"q10": 0.10, "q90": 0.90})
     r = lambda c, d: F.bround(F.col(c), d)
     note = F.when((F.col("measured") == 0) & (F.col("excluded_mixed_basis") > 0), F.format_string("%d pairs found, none of them usable yet", "excluded_mixed_basis")).when(F.col("measured") == 0, "no aggregator timestamps recorded yet")
     caveat = F.when((F.col("measured") > 0) & (F.col("measured") < SMALL_SAMPLE), "small sample")
