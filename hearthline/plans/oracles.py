@@ -81,7 +81,7 @@ ORACLES: dict[str, str] = {
     "fingerprints": f"""with t as (select *, coalesce(nullif(bin, ''), nullif(bbl, '')) as b, nullif(unit_key, '') as u, case when sqft > 1000 then concat('ref:', source, ':', fingerprint) end as r, coalesce(cast(beds as varchar), '') as bs from {L})
         select fingerprint, substr(sha1(case when b is not null and u is not null then concat(b, '|', u) when b is not null and r is not null then concat(b, '|', r) when b is not null then concat(b, '||', bs)
             else concat('nobbl|', {_street('address')}, '|', coalesce(u, r, ''), '|', bs) end), 1, 20) as identity from t""",
-    "titles": f"""select c_custkey, {UNIT.replace('upper(unit)', "upper(regexp_replace(unit, '^[A-Za-z]+[. ]*', ''))")} as unit from {A}""",
+    "titles": f"""select c_custkey, {UNIT.replace('upper(unit)', "upper(regexp_replace(regexp_replace(unit, '^[A-Za-z]+[. ]*', ''), '-b$', ''))")} as unit from {A}""",  # an unmarked token ends at a dash
     "normalized": f"""with r as (select *, {KEY} as query, {UNIT} as u, c_custkey % 9000 + 400 as rent from {A}),
         n as (select *, len(query) % 3 <> 0 as hit from r)
         select case when hit then 'high' else 'low' end as confidence, case when hit then 'Queens' else place end as borough, count(*) as n,
