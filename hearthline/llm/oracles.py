@@ -19,4 +19,22 @@ JACCARD_JOIN = f"""with recursive w as (select doc_id, regexp_extract_all(transl
     e as (select a, b from h union all select b, a from h), n as (select doc_id as a from k), {COMPONENTS}
     select c.a as doc_id, k.k as n_shingles, c.b as component_id from c join k on k.doc_id = c.a"""
 
-ORACLE_SQL = {"op4_embedding_dedup": EMBEDDING_DEDUP, "op9_jaccard_join": JACCARD_JOIN}
+#: Five filters replayed in the 120 orders, by document and order.
+FILTER_AUDIT = """with t as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+    m as (select text, min(doc_id) as least from t group by 1),
+    l as (select doc_id, bool_or(coalesce(quality = 1, false)) as good, bool_or(coalesce(toxic = 1, false)) as toxic from labels group by 1),
+    d as (select part, concat(case when len(w) < 100 then 'A' end, case when 100 * len(list_distinct(w)) < 80 * len(w) then 'B' end,
+            case when 100 * length(regexp_replace(t.text, '[^A-Z]', '', 'g')) > 10 * length(t.text) then 'C' end, case when regexp_matches(t.text, '[#$%&*|]') then 'D' end,
+            case when t.doc_id > m.least then 'E' end) as fails, coalesce(l.good, false) as good, coalesce(l.toxic, false) as toxic
+        from t join m using (text) left join l on l.doc_id = t.doc_id),
+    x as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+    o as (select concat(a.x, b.x, c.x, d.x, e.x) as filter_order from x a, x b, x c, x d, x e
+        where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    s as (select part, fails, good, toxic, filter_order, cast(step as integer) as step, filter_order[step] as letter, contains(fails, filter_order[step]) as fails_here,
+            length(translate(filter_order[1:step - 1], fails, '')) < step - 1 as gone from d, o, range(1, 6) r(step)),
+    g as (select part, filter_order, step, any_value(letter) as letter, count(*) filter (not gone and not fails_here) as kept, count(*) filter (not gone and fails_here) as removed,
+            count(*) filter (gone and fails_here) as redundant, count(*) filter (fails = letter) as unique_fails, count(*) filter (not gone and fails_here and good) as good_lost,
+            count(*) filter (not gone and fails_here and toxic) as toxic_lost from s group by 1, 2, 3)
+    select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, cast(sum(removed) over (partition by part, letter) as bigint) as shapley from g"""
+
+ORACLE_SQL = {"op13_filter_audit": FILTER_AUDIT, "op4_embedding_dedup": EMBEDDING_DEDUP, "op9_jaccard_join": JACCARD_JOIN}
