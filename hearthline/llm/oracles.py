@@ -37,4 +37,22 @@ FILTER_AUDIT = """with t as (select doc_id, coalesce(lang, '') as part, coalesce
             count(*) filter (not gone and fails_here and toxic) as toxic_lost from s group by 1, 2, 3)
     select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, cast(sum(removed) over (partition by part, letter) as bigint) as shapley from g"""
 
-ORACLE_SQL = {"op13_filter_audit": FILTER_AUDIT, "op4_embedding_dedup": EMBEDDING_DEDUP, "op9_jaccard_join": JACCARD_JOIN}
+#: Every kept term for every group and language, then all pairs of a language's groups term by term.
+SOURCE_DIVERGENCE = """with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents),
+    t as (select r, lang, source, unnest(w) as term from d),
+    k as (select lang, term, count(*) as cl from t group by 1, 2 having count(distinct r) >= 3),
+    l as (select lang, count(*) as v, cast(sum(cl) as hugeint) as nl from k group by 1),
+    g as (select distinct lang, source from d),
+    c as (select lang, source, term, count(*) as c from t semi join k using (lang, term) group by 1, 2, 3),
+    n as (select g.lang, g.source, cast(coalesce(sum(c.c), 0) as hugeint) as n from g left join c using (lang, source) group by 1, 2),
+    e as (select n.lang, n.source, k.term, coalesce(c.c, 0) as c, 1 + (1000000000::hugeint * (coalesce(c.c, 0) + 1)) // (n.n + l.v) as p, 1 + (1000000000::hugeint * (k.cl + 1)) // (l.nl + l.v) as q
+        from n join k using (lang) join l using (lang) left join c on c.lang = n.lang and c.source = n.source and c.term = k.term),
+    pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(sum(((x.p - y.p) * (x.p - y.p)) // y.p), 0) as value
+        from g a join g b on a.lang = b.lang and a.source <> b.source
+        left join e x on x.lang = a.lang and x.source = a.source left join e y on y.lang = b.lang and y.source = b.source and y.term = x.term group by all),
+    terms as (select lang, source, 'term' as part, term as item, ((p - q) * (p - q)) // q as value from e where c > 0 and p > q),
+    ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (select * from pairs union all select * from terms))
+    select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from ranked where part = 'pair' or rank <= 200"""
+
+ORACLE_SQL = {"op11_source_divergence": SOURCE_DIVERGENCE, "op13_filter_audit": FILTER_AUDIT, "op4_embedding_dedup": EMBEDDING_DEDUP, "op9_jaccard_join": JACCARD_JOIN}
