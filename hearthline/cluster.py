@@ -24,18 +24,23 @@ def ship(spark: SparkSession) -> None:
     context._hearthline_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder that all executors share and go on from there.
+def folder(spark: SparkSession) -> str:
+    """The folder for intermediate results that driver and executors share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir; where that is unset a local
-    master gets a temporary one, as in tests, and a cluster an error.
+    Where that is unset a session of one process gets a temporary one, as in tests, and a cluster an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="hearthline-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and go on from there."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from hearthline import schemas
 from hearthline.cluster import cut
+from hearthline.functions import text as T
 from hearthline.operators import diff, geo, ledger, match
 from hearthline.operators.normalize import conform, normalize
-from hearthline.operators.state import History
+from hearthline.operators.state import History, Part
 
 
 def crawl(history: History, sources: dict[str, Callable[[], DataFrame]], min_expected: dict[str, int], primary: DataFrame, register: DataFrame | None, now: datetime, sweep: bool = True) -> DataFrame:
@@ -36,17 +37,24 @@ def crawl(history: History, sources: dict[str, Callable[[], DataFrame]], min_exp
     low = {name for name, (_, _, n) in read.items() if n < min_expected.get(name, 1)}
     tables, logs, counts, lost = {}, {}, {}, {}
     if read:
-        state, book, cache = history.read("listings"), history.read("ledger"), history.read("geo")
         raw = reduce(DataFrame.unionByName, [r for _, r, _ in read.values()])
+        asked = history.touched("geo", raw.select(T.geo_key("address", "borough_hint").alias("query")))
+        cache = history.read("geo", asked)
         resolved = cut(geo.lookup(raw, cache, primary, register))
         batch = cut(diff.ordinals(normalize(raw, resolved, at), [F.col("turn"), F.col("_k")]).drop("_k"))
         turns = [(name, turn) for name, (turn, _, _) in read.items() if sweep and name not in low]
-        d = diff.fold(state, batch, at, spark.createDataFrame(turns, "source string, turn int"))
+        swept = spark.createDataFrame(turns, "source string, turn int")
+        # the fold meets the buckets that hold a key of the batch or a listing that the sweeps lose; no others change
+        lost = diff.gone(history.read("listings").select("fingerprint", "source", "gone_at"), batch, swept)
+        met = sorted({*history.touched("listings", batch), *history.touched("listings", lost)})
+        d = diff.fold(history.read("listings", met), batch, at, swept)
         judged = d.verdicts.groupBy("turn").agg(F.count_if(F.col("verdict") == "new").alias("new"), F.count_if(F.col("verdict").isin("price_change", "relisted")).alias("updated"), F.count_if(F.col("confidence") == "low").alias("low"))
         counts = {r.turn: r for r in judged.collect()}  # as many as sources
         lost = {r.source: r["n"] for r in d.missing.groupBy("source").agg(F.count("*").alias("n")).collect()}  # as many as sources
         new = d.verdicts.where("verdict = 'new'").select("fingerprint", "first_seen")
-        tables = {"listings": d.state, "ledger": ledger.open_entries(book, new), "geo": geo.remember(resolved, cache)}
+        opened = history.touched("ledger", new)
+        entries = ledger.open_entries(history.read("ledger", opened), new)
+        tables = {"listings": Part(d.state, met), "ledger": Part(entries, opened), "geo": Part(geo.remember(resolved, cache), asked)}
         logs = {"events": d.events}
     runs = []
     for name in sources:
@@ -64,9 +72,10 @@ def crawl(history: History, sources: dict[str, Callable[[], DataFrame]], min_exp
 def crossmatch(history: History, upstream: list[str], aggregators: list[str], tolerance: float = match.TOLERANCE) -> DataFrame:
     """Pair the current listings, record what is new in the ledger as the next version; returns the counters."""
     runs = history.log("runs").select("source", "started_at")
-    judged = ledger.judge(match.matches(history.read("listings"), runs, upstream, aggregators, tolerance), history.read("ledger"))
+    judged = cut(ledger.judge(match.matches(history.read("listings"), runs, upstream, aggregators, tolerance), history.read("ledger")))
     counters = ledger.run_counters(judged)
-    history.commit({"ledger": ledger.record(history.read("ledger"), judged)}, {})
+    hit = history.touched("ledger", judged.where("outcome = 'recorded'"), "upstream_fp")
+    history.commit({"ledger": Part(ledger.record(history.read("ledger", hit), judged), hit)}, {})
     return counters
 
 
