@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearthline.cluster import cut, folder, ship
+
 #: Odd multiplier of the rolling word hash, and the two of its finisher.
 ROLL = np.uint64(0x9E3779B97F4A7C15)
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -26,21 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Let the executors import this package, once a session; Spark serves the archive to them."""
-    context = spark.sparkContext
-    if getattr(context, "_hearthline_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    if package.is_dir():
-        archive = Path(tempfile.mkdtemp(prefix="hearthline-")) / "hearthline.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for path in sorted(package.rglob("*.py")):
-                z.write(path, path.relative_to(package.parent))
-        context.addPyFile(str(archive))
-    context._hearthline_shipped = True
-
-
 def tune(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, whatever the length of the texts."""
     ship(spark)
@@ -48,26 +32,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def folder(spark: SparkSession) -> str:
-    """The folder for intermediate results, the session's spark.checkpoint.dir, which all executors share.
-
-    Where that is unset a local master gets a temporary folder of its own, as in tests; a cluster gets an error.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="hearthline-"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder and go on from there; for small results."""
-    folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def store(df: DataFrame) -> DataFrame:
     """Write df as Parquet below the checkpoint folder and read it again; for wide or large results."""
     path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
@@ -187,28 +151,32 @@ def known(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS, on: tuple[st
     negatives, and what passes it is joined exactly.
     """
     some, _ = _sifted(docs, ids, on, bits)
-    return some.join(_ids(ids, on).distinct().hint("shuffle_hash"), list(on), "left_semi").select(docs.columns)
+    return some.join(_ids(ids, on).distinct().hint("shuffle_hash"), _keys(on), "left_semi").select("row.*")
 
 
 def without(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS, on: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The rows of docs whose key is not in ids; what the filter of known() rules out doesn't move."""
     some, rest = _sifted(docs, ids, on, bits)
-    return rest.unionByName(some.join(_ids(ids, on).distinct().hint("shuffle_hash"), list(on), "left_anti").select(docs.columns))
+    return rest.select("row.*").unionByName(some.join(_ids(ids, on).distinct().hint("shuffle_hash"), _keys(on), "left_anti").select("row.*"))
+
+
+def _keys(on: tuple[str, ...]) -> list[str]:
+    return [f"k{i}" for i in range(len(on))]
 
 
 def _ids(ids: DataFrame, on: tuple[str, ...]) -> DataFrame:
-    return ids.select(*[F.col(c).cast("long").alias(c) for c in on]).dropna()
+    return ids.select(*[F.col(c).cast("long").alias(k) for c, k in zip(on, _keys(on), strict=True)]).dropna()
 
 
 def _sifted(docs: DataFrame, ids: DataFrame, on: tuple[str, ...], bits: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of docs that the filter of ids lets pass, and the others."""
-    slot = f"pmod(xxhash64({', '.join(f'cast({c} as bigint)' for c in on)}), {1 << bits})"
+    """Rows of docs (as the struct `row`, so that their names meet no other) with their keys: those that the filter of ids lets pass, and the others."""
+    slot = f"pmod(xxhash64({', '.join(_keys(on))}), {1 << bits})"
     bit = f"cast({slot} & 63 as int)"
-    words = _ids(ids, on).select(F.expr(f"cast(shiftright({slot}, 6) as int)").alias("_sift_w"), F.expr(f"shiftleft(1L, {bit})").alias("_sift_m")).groupBy("_sift_w").agg(F.bit_or("_sift_m").alias("_sift_m"))
+    words = _ids(ids, on).select(F.expr(f"cast(shiftright({slot}, 6) as int)").alias("word"), F.expr(f"shiftleft(1L, {bit})").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
     words = cut(words)  # at most 2^(bits-6) rows
-    held = docs.withColumn("_sift_w", F.expr(f"cast(shiftright({slot}, 6) as int)"))
-    passes = F.coalesce(F.expr(f"shiftright(_sift_m, {bit}) & 1") == 1, F.lit(False))
-    for c in on:
-        passes = passes & F.col(c).isNotNull()
-    held = held.join(F.broadcast(words), "_sift_w", "left").withColumn("_sift_some", passes)
-    return held.where("_sift_some").select(docs.columns), held.where("not _sift_some").select(docs.columns)
+    held = docs.select(F.struct("*").alias("row"), *[F.col(c).cast("long").alias(k) for c, k in zip(on, _keys(on), strict=True)])
+    passes = F.coalesce(F.expr(f"shiftright(mask, {bit}) & 1") == 1, F.lit(False))
+    for k in _keys(on):
+        passes = passes & F.col(k).isNotNull()
+    held = held.withColumn("word", F.expr(f"cast(shiftright({slot}, 6) as int)")).join(F.broadcast(words), "word", "left").withColumn("some", passes)
+    return held.where("some").select("row", *_keys(on)), held.where("not some").select("row", *_keys(on))

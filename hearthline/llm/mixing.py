@@ -154,7 +154,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows of the same doc_id and text share the copies of the most taken one.
     """
-    plan = mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.max("copies").alias("_copies"))
-    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("p._id")) & (F.xxhash64(F.coalesce(F.col("d.text").cast("string"), F.lit(""))) == F.col("p._h"))
-    joined = docs.alias("d").join(plan.alias("p").hint("shuffle_hash"), same)
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("p._copies")))).select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    plan = mix(docs).where("copies > 0").groupBy("doc_id", "h").agg(F.max("copies").alias("copies")).hint("shuffle_hash")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("t"))
+    joined = rows.join(plan, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("h")))
+    return joined.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -42,6 +42,7 @@ from hearthline.llm.common import by_batch, record, table, text_bytes, tune
 FINDINGS = 6000
 TREES, DEPTH, LEAF = 30, 9, 5
 CUT = 0.5
+MOST_AT_ONCE = 20_000
 RUN = re.compile(rb"[A-Za-z0-9+/_=.-]{16,}")
 ASSIGNED = re.compile(rb"[:=][ \t]*[\"']?")
 VALUE = re.compile(rb"[^\s\"'`<>{}()\[\],;]+")
@@ -238,12 +239,37 @@ def default_forest() -> Forest:
     return train()
 
 
-def judged(texts: list[bytes], forest: Forest) -> list[list[tuple[int, int, float]]]:
-    """For each text its candidates as byte spans with their probabilities; one forest pass for all."""
-    spans = [candidates(t) for t in texts]
-    rows = [features(*context(t, s)) for t, found in zip(texts, spans, strict=True) for s in found]
-    p = iter(np.round(forest.probability(np.array(rows)), 6).tolist() if rows else [])
-    return [[(a, b, next(p)) for a, b in found] for found in spans]
+def judged(texts: list[bytes], forest: Forest, most: int = MOST_AT_ONCE) -> list[list[tuple[int, int, float]]]:
+    """For each text its candidates as byte spans with their probabilities; the forest sees at most `most` of them at a time."""
+    spans = [(k, s) for k, t in enumerate(texts) for s in candidates(t)]
+    out: list[list[tuple[int, int, float]]] = [[] for _ in texts]
+    for i in range(0, len(spans), most):
+        some = spans[i : i + most]
+        p = forest.probability(np.array([features(*context(texts[k], s)) for k, s in some]))
+        for (k, (a, b)), x in zip(some, np.round(p, 6).tolist(), strict=True):
+            out[k].append((a, b, x))
+    return out
+
+
+def in_chars(text: bytes, spans: list[tuple[int, int, float]]) -> list[dict]:
+    """Byte spans, in order, as spans of code points; one pass over the text."""
+    out, at, n = [], 0, 0
+    lead = (np.frombuffer(text, np.uint8) & 0xC0) != 0x80 if spans else None
+    for a, b, p in spans:
+        start = n + int(np.count_nonzero(lead[at:a]))
+        n = start + int(np.count_nonzero(lead[a:b]))
+        at = b
+        out.append({"start": start, "end": n, "score": p})
+    return out
+
+
+def replaced(text: bytes, spans: list[tuple[int, int, float]], mark: bytes) -> bytes:
+    """The text with the mark in place of each span, put together from its pieces."""
+    pieces, at = [], 0
+    for a, b, _ in spans:
+        pieces += [text[at:a], mark]
+        at = b
+    return b"".join([*pieces, text[at:]])
 
 
 def scan_documents(docs: DataFrame, forest: Forest | None = None, cut: float = CUT) -> DataFrame:
@@ -255,8 +281,7 @@ def scan_documents(docs: DataFrame, forest: Forest | None = None, cut: float = C
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1).to_pylist()
         found = judged(texts, held.value)
-        chars = lambda t, i: len(t[:i].decode("utf-8", "replace"))
-        secrets = [[{"start": chars(t, a), "end": chars(t, b), "score": p} for a, b, p in x if p >= cut] for t, x in zip(texts, found, strict=True)]
+        secrets = [in_chars(t, [s for s in x if s[2] >= cut]) for t, x in zip(texts, found, strict=True)]
         return record(doc_id=batch.column(0), n_candidates=pa.array(map(len, found), pa.int64()), n_secrets=pa.array(map(len, secrets), pa.int64()), max_score=pa.array([max((p for _, _, p in x), default=0.0) for x in found], pa.float64()), secrets=pa.array(secrets, pa.list_(span)))
 
     return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()), run, "doc_id long, n_candidates long, n_secrets long, max_score double, secrets array<struct<start:long,end:long,score:double>>")
@@ -271,12 +296,7 @@ def redact(docs: DataFrame, forest: Forest | None = None, cut: float = CUT, mark
     def clean(s: pd.Series) -> pd.Series:
         texts = [None if t is None else t.encode() for t in s]
         found = judged([t or b"" for t in texts], held.value)
-        out = []
-        for t, spans in zip(texts, found, strict=True):
-            for a, b, p in reversed(spans if t is not None else []):
-                if p >= cut:
-                    t = t[:a] + mark.encode() + t[b:]
-            out.append(None if t is None else t.decode("utf-8", "replace"))
+        out = [None if t is None else replaced(t, [s for s in x if s[2] >= cut], mark.encode()).decode("utf-8", "replace") for t, x in zip(texts, found, strict=True)]
         return pd.Series(out, dtype=object)
 
     return docs.withColumn("text", clean(F.col("text").cast("string")))

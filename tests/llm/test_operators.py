@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hearthline.llm import byte_bpe, compress_quality, embedding_dedup, jaccard_join, license_scan, maxent_lm, mixing, quality_rules, secret_scan, sharding
+from hearthline.llm import byte_bpe, compress_quality, embedding_dedup, jaccard_join, language_id, license_scan, maxent_lm, mixing, quality_rules, secret_scan, sharding
 from tests.llm import brute
 from tests.llm.conftest import corpus, prose
 
@@ -616,15 +616,25 @@ def test_jaccard_join_moves_each_text_once(spark, monkeypatch):
     """What goes into units is linear: one row a set, whatever the number of rows that share its id."""
     r = random.Random(14)
     base = prose(r, 80, 10**6).split()
-    texts = [" ".join([*base, f"n{k}"]) for k in range(80)]
     moved = []
     real = jaccard_join.unit_links
     monkeypatch.setattr(jaccard_join, "unit_links", lambda rows, *a: (moved.append(rows.count()), real(rows, *a))[1])
-    for n in (20, 80):
+    for n, unit, most in ((20, 1000, 2), (80, 1000, 2), (320, 10_000, 3), (1280, 1000, 3)):
         moved.clear()
-        df = spark.createDataFrame([(7, t) for t in texts[:n]] * 2, "doc_id long, text string")
-        assert {x.component_id for x in jaccard_join.join_documents(df, unit=1000).collect()} == {7}
-        assert sum(moved) <= 2 * n + 2
+        df = spark.createDataFrame([(7, " ".join([*base, f"n{k}"])) for k in range(n)] * 2, "doc_id long, text string")
+        assert {x.component_id for x in jaccard_join.join_documents(df, unit=unit).collect()} == {7}
+        assert sum(moved) <= most * n + 2, (n, unit, moved)
+
+
+def test_jaccard_join_forgets_rejections_exactly(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "REJECTED", 3)
+    r = random.Random(21)
+    base = prose(r, 60, 10**6).split()
+    rows = [(k, " ".join(w if r.random() > 0.04 else f"z{r.randint(0, 10**6)}" for w in base)) for k in range(120)]
+    want = brute.jaccard_components(rows)
+    assert 1 < len({c for *_, c in want}) < 120
+    got = jaccard_join.join_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want)
 
 
 def test_jaccard_stage(spark, docs):
@@ -721,3 +731,56 @@ def test_targets(spark):
         assert all(math.isclose(x.target, want[x.source], rel_tol=1e-9, abs_tol=1e-9) for x in got)
 
 
+def inner_names():
+    """Every name that the package's text operators give to a column, found in their sources."""
+    import re
+    from pathlib import Path
+
+    import hearthline.llm
+
+    names = set()
+    for path in Path(hearthline.llm.__file__).parent.glob("*.py"):
+        source = path.read_text()
+        names |= set(re.findall(r"(?:alias|withColumn|withColumnRenamed)\(\s*f?\"(\w+)\"", source))
+        for schema in re.findall(r"\"((?:\w+ (?:long|int|string|double|boolean|binary|array<\w+>)(?:, )?)+)\"", source):
+            names |= {x.split()[0] for x in schema.split(", ") if x}
+    return sorted((names | {"_n", "_sift_m", "_sift_w", "_sift_some", "_own_t", "_own_id", "row", "k0", "k1", "word", "mask", "some", "_id", "_h", "_copies", "d", "p"}) - {"doc_id", "text", "lang", "source", "n_chars"})
+
+
+def test_stages_keep_columns_of_inner_names(spark, tmp_path):
+    """All stages that return documents, with every inner name on them: the values stay with their rows."""
+    names = inner_names()
+    assert {"keeps", "bin", "copies", "size", "taken"} <= set(names)
+    r = random.Random(31)
+    texts = [prose(r, 60, 10**6) for _ in range(30)]
+    rows = [(i, texts[i % 25] + (" more" if i % 7 == 0 else ""), "en", f"s{i % 3}", 9, *(f"{n}-{i}" for n in names)) for i in range(40)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *names])
+    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    whole = {(x[0], *x[5:]) for x in rows}
+    for stage in (quality_rules.stage, jaccard_join.stage, secret_scan.stage, mixing.stage):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and {(x[0], *x[5:]) for x in got} <= whole, stage
+    for f in (jaccard_join.join_documents, mixing.mix, sharding.shard_documents, secret_scan.scan_documents, language_id.identify):
+        assert f(docs).count() == 40
+
+
+def test_secret_scan_of_many_secrets_in_one_text():
+    """Offsets, redaction and judging are linear in a text's secrets."""
+    import time
+
+    forest = secret_scan.default_forest()
+    one = "naïve token = '0123456789abcdef0123456789abcdef01234567' and "
+    took = []
+    for n in (1000, 8000):
+        text = (one * n).encode()
+        start = time.perf_counter()
+        found = secret_scan.judged([text], forest, 3000)[0]
+        spans = secret_scan.in_chars(text, found)
+        clean = secret_scan.replaced(text, found, b"[S]")
+        took.append(time.perf_counter() - start)
+        assert len(found) == n and [x["start"] for x in spans[:2]] == [one.index("0"), len(one) + one.index("0")]
+        assert all(text.decode()[x["start"] : x["end"]] == "0123456789abcdef0123456789abcdef01234567" for x in spans[-3:])
+        assert clean.decode() == one.replace("0123456789abcdef0123456789abcdef01234567", "[S]") * n
+    assert took[1] < 20 * took[0]
