@@ -44,10 +44,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], name: str, kind: str = "int") -> DataFrame:
     """df with each row's place (from 1) in an order of all rows; ranges are counted first, so no window holds them all."""
     ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     upto = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over as many rows as partitions
     parts = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.join(F.broadcast(parts), "_part").withColumn(name, (F.col("_before") + inside).cast("int")).drop("_part", "_before")
+    return ranged.join(F.broadcast(parts), "_part").withColumn(name, (F.col("_before") + inside).cast(kind)).drop("_part", "_before")

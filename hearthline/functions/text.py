@@ -83,6 +83,7 @@ POST_PLACES = (
     "lower east side", "upper east side", "upper west side", "hell's kitchen", "murray hill", "flushing",
     "jackson heights", "forest hills", "elmhurst", "mott haven", "dumbo",
 )
+BEYOND_ASCII, PARTING = r"[^\x00-\x7F]", "\x1f"
 RENT_BAND, AREA_BAND, MOST_BEDS, POST_RENT_BAND = (500, 100_000), (80, 20_000), 12, (500, 30_000)
 
 
@@ -104,19 +105,24 @@ def mapped(pairs: dict[str, str]) -> Column:
 
 
 @lru_cache(1)
-def _folds() -> tuple[str, str, str, tuple[tuple[str, str], ...]]:
-    """Characters that lose their marks: from, to, dropped ones, and those that become several."""
-    source, target, several = [], [], []
-    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x2000), *range(0x2000, 0x2150), *range(0x2460, 0x24FF), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
+def _folds() -> tuple[str, str, str, str]:
+    """By compatibility decomposition of every code point, without combining marks: the characters that become one other and what
+    they become (those beyond its end are dropped), and the characters that become several with their texts, parted by PARTING (the first is empty)."""
+    source, target, dropped, several, texts = [], [], [], [], [""]
+    for code in [*range(0x80, 0xD800), *range(0xE000, 0x110000)]:
         c = chr(code)
         bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if len(bare) == 1 and bare != c:
+        if bare == c:
+            continue
+        if len(bare) == 1:
             source.append(c)
             target.append(bare)
-        elif len(bare) > 1:
-            several.append((c, bare))
-    marks = "".join(chr(code) for code in range(0x300, 0x370) if unicodedata.combining(chr(code)))
-    return "".join(source), "".join(target), marks, tuple(several)
+        elif bare:
+            several.append(c)
+            texts.append(bare)
+        else:
+            dropped.append(c)
+    return "".join(source + dropped), "".join(target), "".join(several), PARTING.join(texts)
 
 
 def bound(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -125,18 +131,20 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def strip_accents(c: Column | str) -> Column:
-    """Compatibility decomposition without combining marks, for Latin, punctuation and full-width characters.
+    """Compatibility decomposition without combining marks, for every code point.
 
-    Plain ASCII skips all of it. Characters of other scripts stay as they are.
+    Plain ASCII skips all of it. What becomes one character is translated at once; only
+    where other non-ASCII characters remain is the text taken apart for those that become several.
     """
-    source, target, marks, several = _folds()
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in several])
+    source, target, several, texts = _folds()
+    held, spread = F.lit(several), F.split(F.lit(texts), PARTING)  # the latter is folded to a constant
+
+    def apart(s: Column) -> Column:
+        chars = F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0))
+        return F.array_join(F.transform(chars, lambda x: F.when(x < "\x80", x).otherwise(F.coalesce(F.nullif(F.get(spread, F.instr(held, x)), F.lit("")), x))), "")
 
     def fold(s: Column) -> Column:
-        folded = F.translate(s, source + marks, target)
-        spread = F.aggregate(pairs, folded, lambda acc, p: F.replace(acc, p["a"], p["b"]))
-        held = "".join(a for a, _ in several)
-        return F.when(~s.rlike(r"[^\x00-\x7F]"), s).when(s.rlike(f"[{held}]"), spread).otherwise(folded)
+        return F.when(~s.rlike(BEYOND_ASCII), s).otherwise(bound(F.translate(s, source, target), lambda t: F.when(~t.rlike(BEYOND_ASCII), t).otherwise(apart(t))))
 
     return bound(_text(c), fold)
 

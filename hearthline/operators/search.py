@@ -8,9 +8,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthline.cluster import cut, numbered
 from hearthline.functions import text as T
 
 SEARCHES = 10_000
+#: Price cells and bedroom cells of the index of searches, and its most entries in one broadcast.
+CUTS, BEDS, UNKNOWN = 32, 8, -1
+ENTRIES = 4_000_000
+#: Matches of one message; searches that are broadcast for their counts.
+PAGE, SMALL = 500, 100_000
 RANKS = {"low": 0, "medium": 1, "high": 2}
 
 
@@ -48,38 +54,101 @@ def _rank(c: Column) -> Column:
     return F.coalesce(F.try_element_at(ranks, c), F.lit(0))
 
 
+def _verdicts(rows: DataFrame) -> DataFrame:
+    """The listings `l` of rows with the search `c` beside them judged: `search`, `reject` and `reasons`."""
+    l, c = (lambda name: F.col(f"l.{name}")), (lambda name: F.col(f"c.{name}"))  # noqa: E731, E741
+    floor = F.coalesce(c("min_confidence"), F.lit("medium"))
+    asked = lambda name: c(name).isNotNull()
+    places = F.coalesce(F.size(c("boroughs")), F.lit(0)) > 0
+    reject = F.coalesce(
+        F.when(_rank(F.coalesce(l("confidence"), F.lit(""))) < _rank(floor), "below confidence floor"),
+        F.when(asked("max_price") & l("price").isNull(), "no price published"),
+        F.when(asked("max_price") & (l("price") > c("max_price")), F.concat(F.lit("price "), l("price").cast("string"), F.lit(" > "), c("max_price").cast("string"))),
+        F.when(asked("min_beds") & (l("beds").isNull() | (l("beds") < c("min_beds"))), "too few bedrooms"),
+        F.when(asked("max_beds") & (l("beds") > c("max_beds")), "more bedrooms than requested"),
+        F.when(places & ~F.coalesce(F.array_contains(c("boroughs"), l("borough")), F.lit(False)), F.concat(F.lit("borough "), F.coalesce(l("borough"), F.lit("None")))),
+        F.when(F.coalesce(c("require_no_fee"), F.lit(False)) & ~F.coalesce(l("no_fee"), F.lit(False)), "not confirmed no-fee"),
+        F.when(asked("min_sqft") & (l("sqft").isNull() | (l("sqft") < c("min_sqft"))), "under minimum square footage"),
+    )
+    within = F.when(asked("max_price"), F.concat(F.lit("$"), F.format_number(l("price"), 0), F.lit("/mo within budget")))
+    reasons = F.array_compact(F.array(within, F.when(l("beds").isNotNull(), F.concat(T.short_number(l("beds")), F.lit(" bed"))), F.when(places, l("borough"))))
+    return rows.select("l.*", c("name").alias("search"), reject.alias("reject"), F.when(reject.isNull(), reasons).alias("reasons"))
+
+
+def _in_blocks(f: Callable[[DataFrame, DataFrame], DataFrame], listings: DataFrame, criteria: DataFrame, blocks: int) -> DataFrame:
+    """f of the listings and of each block of the searches, by hash of the search."""
+    if blocks <= 1:
+        return f(listings, criteria)
+    return reduce(DataFrame.unionByName, [f(listings, criteria.where(F.pmod(F.xxhash64(*criteria.columns), F.lit(blocks)) == b)) for b in range(blocks)])
+
+
 def judge(listings: DataFrame, criteria: DataFrame) -> DataFrame:
     """Every listing against every saved search: `reject` (the first reason, else null) and `reasons`.
 
     criteria has the columns of schemas.CRITERIA; it is a stated set of queries, sent
-    around in blocks of at most SEARCHES by hash of the name. Unset bounds are null.
-    zip_codes is carried and not evaluated.
+    around in blocks of at most SEARCHES by hash of the search. Unset bounds are null.
+    zip_codes is carried and not evaluated. To find the matches alone, use matching().
     """
     n = criteria.count()
-    if n > SEARCHES:
-        blocks = -(-n * 2 // SEARCHES)
-        parts = [judge(listings, criteria.where(F.pmod(F.xxhash64(*criteria.columns), F.lit(blocks)) == b)) for b in range(blocks)]
-        return reduce(DataFrame.unionByName, parts)
-    rows = listings.join(F.broadcast(criteria.select(F.struct(*criteria.columns).alias("c"))))
-    floor = F.coalesce(F.col("c.min_confidence"), F.lit("medium"))
-    asked = lambda name: F.col(f"c.{name}").isNotNull()
-    places = F.coalesce(F.size("c.boroughs"), F.lit(0)) > 0
-    reject = F.coalesce(
-        F.when(_rank(F.coalesce("confidence", F.lit(""))) < _rank(floor), "below confidence floor"),
-        F.when(asked("max_price") & F.col("price").isNull(), "no price published"),
-        F.when(asked("max_price") & (F.col("price") > F.col("c.max_price")), F.concat(F.lit("price "), F.col("price").cast("string"), F.lit(" > "), F.col("c.max_price").cast("string"))),
-        F.when(asked("min_beds") & (F.col("beds").isNull() | (F.col("beds") < F.col("c.min_beds"))), "too few bedrooms"),
-        F.when(asked("max_beds") & (F.col("beds") > F.col("c.max_beds")), "more bedrooms than requested"),
-        F.when(places & ~F.coalesce(F.array_contains("c.boroughs", F.col("borough")), F.lit(False)), F.concat(F.lit("borough "), F.coalesce("borough", F.lit("None")))),
-        F.when(F.coalesce("c.require_no_fee", F.lit(False)) & ~F.coalesce("no_fee", F.lit(False)), "not confirmed no-fee"),
-        F.when(asked("min_sqft") & (F.col("sqft").isNull() | (F.col("sqft") < F.col("c.min_sqft"))), "under minimum square footage"),
-    )
-    reasons = F.array_compact(F.array(F.when(asked("max_price"), F.concat(F.lit("$"), F.format_number("price", 0), F.lit("/mo within budget"))), F.when(F.col("beds").isNotNull(), F.concat(T.short_number("beds"), F.lit(" bed"))), F.when(places, F.col("borough"))))
-    return rows.select(*[F.col(x) for x in listings.columns], F.col("c.name").alias("search"), reject.alias("reject"), F.when(reject.isNull(), reasons).alias("reasons"))
+
+    def block(listings: DataFrame, criteria: DataFrame) -> DataFrame:
+        return _verdicts(listings.select(F.struct("*").alias("l")).join(F.broadcast(criteria.select(F.struct("*").alias("c")))))
+
+    return _in_blocks(block, listings, criteria, -(-n * 2 // SEARCHES) if n > SEARCHES else 1)
+
+
+def _beds_cell(beds: Column) -> Column:
+    """Whole bedrooms between 0 and BEDS; null without a number."""
+    return F.when(F.isnan(beds), BEDS).when(beds.isNotNull(), F.least(F.lit(BEDS), F.greatest(F.lit(0), F.floor(beds)))).cast("int")
+
+
+def _price_cell(price: Column, cuts: list[int]) -> Column:
+    """How many cuts lie below the price: a search's own cell and those before it hold all prices up to its bound."""
+    return sum(((price > x).cast("int") for x in cuts), F.lit(0))
+
+
+def covered(criteria: DataFrame, cuts: list[int]) -> DataFrame:
+    """id, borough, price and beds: the cells in which a listing may match the search, for criteria with an id.
+
+    `*` is the borough cell of searches that name none, UNKNOWN the price or beds cell
+    of listings that don't give them, which only searches without that (lower) bound take.
+    """
+    place = F.when(F.coalesce(F.size("boroughs"), F.lit(0)) > 0, F.transform(F.array_distinct(F.array_compact("boroughs")), lambda b: F.concat(F.lit("="), b))).otherwise(F.array(F.lit("*")))
+    unknown = F.array(F.lit(UNKNOWN))
+    price = F.when(F.col("max_price").isNull(), F.concat(unknown, F.sequence(F.lit(0), F.lit(len(cuts))))).otherwise(F.sequence(F.lit(0), _price_cell(F.col("max_price"), cuts)))
+    low, high = F.coalesce(_beds_cell(F.col("min_beds")), F.lit(0)), F.coalesce(_beds_cell(F.col("max_beds")), F.lit(BEDS))
+    beds = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    beds = F.when(F.col("min_beds").isNull(), F.concat(unknown, beds)).otherwise(beds)
+    return criteria.select("id", F.explode(place).alias("borough"), price.alias("price"), beds.alias("beds")).withColumn("price", F.explode("price")).withColumn("beds", F.explode("beds"))
+
+
+def candidates(listings: DataFrame, criteria: DataFrame, cuts: list[int]) -> DataFrame:
+    """`l` and `c`: the listings beside the searches (with an id) whose cells hold them.
+
+    A listing meets its two cells (its borough's, and that of searches without one) by
+    equality with a broadcast index from cell to searches, of at most ENTRIES entries.
+    """
+    index = covered(criteria, cuts).groupBy("borough", "price", "beds").agg(F.collect_list("id").alias("ids"))
+    place = F.array_compact(F.array(F.lit("*"), F.concat(F.lit("="), "l.borough")))
+    unknown = F.lit(UNKNOWN)
+    rows = listings.select(F.struct("*").alias("l")).select("l", F.explode(place).alias("borough"), F.coalesce(_price_cell(F.col("l.price"), cuts), unknown).alias("price"), F.coalesce(_beds_cell(F.col("l.beds")), unknown).alias("beds"))
+    met = rows.join(F.broadcast(index), ["borough", "price", "beds"]).select("l", F.explode("ids").alias("id"))
+    return met.join(F.broadcast(criteria.select("id", F.struct("*").alias("c"))), "id").select("l", "c")
 
 
 def matching(listings: DataFrame, criteria: DataFrame) -> DataFrame:
-    return judge(listings, criteria).where("reject is null").drop("reject")
+    """The listings that match a saved search, with `search` and `reasons`: what judge() doesn't reject.
+
+    Searches are indexed by cells of borough, price and bedrooms, so a listing is judged
+    for the searches of its cells alone; what the cells leave open is decided as judge() does.
+    """
+    held = cut(criteria.withColumn("id", F.monotonically_increasing_id()))  # the queries: their numbers must stay
+    shares = [k / CUTS for k in range(1, CUTS + 1)]
+    n, bounds = held.agg(F.count("*"), F.percentile_approx("max_price", shares)).first()
+    cuts = sorted(set(bounds or []))
+    entries = covered(held, cuts).count()
+    blocks = max(-(-n * 2 // SEARCHES) if n > SEARCHES else 1, -(-entries * 2 // ENTRIES) if entries > ENTRIES else 1)
+    return _in_blocks(lambda x, c: _verdicts(candidates(x, c, cuts)), listings, held, blocks).where("reject is null").drop("reject")
 
 
 def message(reasons: str = "reasons") -> Column:
@@ -92,12 +161,23 @@ def message(reasons: str = "reasons") -> Column:
     return F.concat(price, F.lit(" — "), text("address"), unit, F.lit("\n  "), F.concat_ws(", ", reasons), area, fee, F.lit("\n  first seen "), text("first_seen"), F.lit(" via "), text("source"), F.lit("\n  "), F.coalesce(T.first_filled("detail_url", "source_url"), F.lit("")))
 
 
-def digests(matches: DataFrame) -> DataFrame:
-    """One message per saved search that has matches: search, n, subject, body."""
-    rows = matches.withColumn("line", message())
-    out = rows.groupBy("search").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_seen", "fingerprint", "line"))), lambda x: x["line"]), "\n\n").alias("body"))
+def digests(matches: DataFrame, page: int = PAGE) -> DataFrame:
+    """Messages of the saved searches that have matches: search, page, pages, n, subject, body.
+
+    A message holds at most `page` matches, oldest first; a search with more gets several,
+    numbered in the subject. Matches are numbered by ranges of their order and grouped by
+    page, so no task gathers all of a search.
+    """
+    rows = matches.select("search", "first_seen", "fingerprint", message().alias("line"))
+    placed = numbered(rows, [F.col(c) for c in ("search", "first_seen", "fingerprint", "line")], "place", "long")
+    first = cut(placed.groupBy("search").agg(F.min("place").alias("first"), F.count("*").alias("n")))  # as many as searches
+    few = first.count() <= SMALL
+    paged = placed.join(F.broadcast(first) if few else first, "search").withColumn("page", (F.floor((F.col("place") - F.col("first")) / page) + 1).cast("int"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"])
+    out = paged.groupBy("search", "n", "page").agg(F.array_join(lines, "\n\n").alias("body")).withColumn("pages", F.ceil(F.col("n") / page).cast("int"))
     subject = F.concat(F.col("n").cast("string"), F.when(F.col("n") > 1, " new matches for ").otherwise(" new match for "), F.col("search"))
-    return out.select("search", "n", subject.alias("subject"), "body")
+    subject = F.concat(subject, F.when(F.col("pages") > 1, F.concat(F.lit(" ("), "page", F.lit("/"), "pages", F.lit(")"))).otherwise(""))
+    return out.select("search", "page", "pages", "n", subject.alias("subject"), "body")
 
 
 def deliver(messages: DataFrame, sink: Callable[[str, str], None]) -> int:

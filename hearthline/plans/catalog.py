@@ -62,6 +62,12 @@ VIEWS = {
     "searches": """
         select 'cheap' as name, 3000 as max_price, cast(1 as double) as min_beds, cast(null as double) as max_beds, array('Queens', 'Bronx') as boroughs, cast(null as boolean) as require_no_fee, cast(null as int) as min_sqft, 'medium' as min_confidence
         union all select 'large', cast(null as int), cast(null as double), cast(2 as double), cast(null as array<string>), true, 1700, 'high'""",
+    "wishes": """
+        select concat('c', cast(c_custkey as string)) as name, case when c_custkey % 8 = 7 then null else cast(550 + c_custkey * 7 % 400 as int) end as max_price,
+               case when c_custkey % 5 = 4 then null else cast(c_custkey % 4 as double) end as min_beds, case when c_custkey % 6 = 5 then null else cast(c_custkey % 4 + c_custkey % 3 as double) end as max_beds,
+               case when c_custkey % 3 = 0 then array('Queens', 'Bronx') else array('Bronx') end as boroughs, case when c_custkey % 8 = 7 then true else c_custkey % 4 = 0 end as require_no_fee,
+               case when c_custkey % 8 = 7 then 1960 when c_custkey % 2 = 0 then 900 else null end as min_sqft, case when c_custkey % 3 = 1 then 'high' else 'medium' end as min_confidence
+        from {customer}""",
 }
 
 
@@ -72,7 +78,7 @@ def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _duck(name: str) -> str:
-    sql = VIEWS[name].replace("{", "").replace("}", "").replace("array('Queens', 'Bronx')", "['Queens', 'Bronx']").replace("array<string>", "varchar[]")
+    sql = VIEWS[name].replace("{", "").replace("}", "").replace("array('Queens', 'Bronx')", "['Queens', 'Bronx']").replace("array('Bronx')", "['Bronx']").replace("array<string>", "varchar[]")
     return f"({sql})"
 
 
@@ -266,11 +272,13 @@ def json_dig(spark: SparkSession, d: str) -> DataFrame:
 
 
 def json_records(spark: SparkSession, d: str) -> DataFrame:
-    n = spark.read.parquet(f"{d}/nation.parquet")
-    body = F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("unitNumber"), F.struct(F.col("n_name").alias("line1")).alias("address"), (F.col("n_nationkey") * 100 + 1000).alias("marketRent")))).alias("units")))
-    payloads = n.groupBy("n_regionkey").agg(body.alias("body")).select(F.col("n_regionkey").cast("string").alias("url"), F.lit("GET").alias("method"), "body")
+    """A payload for each order, its lines the records; the list sits beside a shorter one."""
+    own = F.col("l_linenumber").alias("unitNumber"), F.struct(F.concat("l_partkey", F.lit(" Elm St")).alias("line1")).alias("address"), (F.col("l_partkey") % 9000 + 1000).alias("marketRent")
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*own))).alias("units"))
+    body = F.to_json(F.struct(F.array(F.struct(F.lit(1).alias("page"))).alias("paging"), F.struct("units").alias("data")))
+    payloads = lines.select(F.col("l_orderkey").cast("string").alias("url"), F.lit("GET").alias("method"), body.alias("body"))
     rows = jsonx.json_api(payloads, "api", {"address": "address.line1", "unit_raw": "unitNumber", "price": "marketRent"})
-    return rows.select(F.col("source_url").alias("region"), "address", "unit_raw", T.parse_price("price_raw", "price_num").alias("price"))
+    return rows.select(F.col("source_url").alias("payload"), "address", "unit_raw", T.parse_price("price_raw", "price_num").alias("price"))
 
 
 def survey_rank(spark: SparkSession, d: str) -> DataFrame:
@@ -311,6 +319,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
-    from hearthline.plans import landed
+    from hearthline.plans import histories, landed, mixed
 
-    return {k: shipped(f) for k, f in (QUERIES | landed.QUERIES).items()}
+    return {k: shipped(f) for k, f in (QUERIES | landed.QUERIES | histories.QUERIES | mixed.QUERIES).items()}

@@ -57,8 +57,8 @@ def cards(spark: SparkSession, d: str) -> DataFrame:
         F.lit('<article class="card"><a href="/apartmentlistings/'), F.md5(k), F.lit('.html"><p class="card__title">Flat '), k, F.lit('</p></a><div class="card__adress">'), k, F.lit(' Elm Street (Astoria, QN)</div><p class="card__price">$'), rent.cast("string"),
         F.lit(',500 net effective</p><p class="card__facilities">2 bed, 1.5 bath</p><p class="card__info">Acme Homes, posted 3 days ago</p><div class="card__labels">No Fee</div><ul><li>Gym</li><li>2 bed</li></ul></article>'),
     )
-    pages = _read(spark, d, "part").groupBy((F.col("p_partkey") % 20).alias("seq")).agg(F.array_join(F.array_sort(F.collect_list(card)), "\n").alias("html")).withColumn("url", F.concat(F.lit("https://c.example/"), F.col("seq")))
-    twice = pages.unionByName(pages.withColumn("seq", F.col("seq") + 100))  # the same results once more: each card counts once
+    pages = _read(spark, d, "part").groupBy(F.expr("p_partkey div 100").alias("seq")).agg(F.array_join(F.array_sort(F.collect_list(card)), "\n").alias("html")).withColumn("url", F.concat(F.lit("https://c.example/"), F.col("seq")))
+    twice = pages.unionByName(pages.withColumn("seq", -1 - F.col("seq")))  # the same results once more: each card counts once
     out = htmlx.cards(twice, "cards", F.lit(NOW).cast("timestamp"), "https://c.example")
     return out.select("source_url", "address", "price_raw", "beds_raw", "baths_raw", "listed_at", "title", "detail_url", "no_fee", "source_ref", F.col("extra")["neighborhood"].alias("hood"), F.col("extra")["amenities"].alias("amenities"), F.col("extra")["net_effective"].alias("net_effective"))
 
@@ -70,7 +70,7 @@ def lotteries(spark: SparkSession, d: str) -> DataFrame:
         k.alias("lottery_id"), F.col("s_name").alias("lottery_name"), F.when(F.col("s_suppkey") % 2 == 0, "Active").otherwise("Closed").alias("lottery_status"), F.when(F.col("s_suppkey") % 7 == 0, "Homeowner").otherwise("Rental").alias("development_type"),
         F.lpad(k, 9, "0").alias("lottery_start_date"), F.when(F.col("s_suppkey") % 3 == 0, "Multiple").otherwise("10001").alias("postcode"), F.lit("QUEENS").alias("borough"), F.lit("3").alias("applied_income_ami_40"), k.alias("unit_distribution_1bed"),
     ))
-    out = jsonx.lotteries(s.select(body.alias("body")), "lot", limit=1_000_000)
+    out = jsonx.lotteries(s.select(body.alias("body")), "lot", limit=None)
     return out.select("source_url", "address", "title", "borough_hint", F.col("extra")["ami_bands"].alias("ami"), F.col("extra")["unit_mix"].alias("mix"), F.col("extra")["multi_building"].alias("several"))
 
 
@@ -79,21 +79,23 @@ def posts(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     title = F.when(k % 4 == 0, "Looking for a room").otherwise(F.concat(F.lit("No fee "), (k % 3 + 1).cast("string"), F.lit("br for rent $"), "rent"))
     child = F.struct(F.struct(k.cast("string").alias("id"), title.alias("title"), F.lit("Sunny flat in Astoria.").alias("selftext"), F.lit("a").alias("author"), F.concat(F.lit("/p/"), k).alias("permalink")).alias("data"))
-    pages = o.groupBy((k % 40).cast("string").alias("channel")).agg(F.to_json(F.struct(F.struct(F.collect_list(child).alias("children")).alias("data"))).alias("body"))
+    pages = o.groupBy(F.expr("o_orderkey div 100").cast("string").alias("channel")).agg(F.to_json(F.struct(F.struct(F.collect_list(child).alias("children")).alias("data"))).alias("body"))
     return jsonx.posts(pages, "board").select("source_url", "address", "price_num", "beds_raw", "no_fee", "source_ref", "detail_url")
 
 
 def index_links(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     link = F.concat(F.lit('<a href="/homes/'), k, F.lit('?from=index">x</a>'))
-    pages = _read(spark, d, "part").groupBy((k % 5).alias("seq")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, link.alias("a")))), lambda x: x["a"]), " ").alias("html")).withColumn("url", F.lit("https://i.example/all"))
+    pages = _read(spark, d, "part").groupBy(F.expr("p_partkey div 100").alias("seq")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, link.alias("a")))), lambda x: x["a"]), " ").alias("html")).withColumn("url", F.lit("https://i.example/all"))
     return htmlx.detail_links(pages, r"/homes/\d+\?from=index", 60).select("link", F.col("seq").cast("int").alias("seq"), "pos")
 
 
 def digests(spark: SparkSession, d: str) -> DataFrame:
     wanted = _view(spark, d, "searches").withColumn("zip_codes", F.lit(None).cast("array<string>"))
     held = _state(spark, d).withColumns({c: F.lit(None).cast("string") for c in ("detail_url", "source_url")})
-    return search.digests(search.matching(held, wanted)).select("search", "n", "subject", (F.size(F.split("body", "\n\n")) == F.col("n")).alias("whole"))
+    pages = search.digests(search.matching(held, wanted)).withColumn("lines", F.size(F.split("body", "\n\n")))
+    whole = pages.groupBy("search", "n").agg(F.min(F.regexp_replace("subject", r" \(page .*$| \(\d+/\d+\)$", "")).alias("subject"), F.sum("lines").alias("lines"))
+    return whole.select("search", "n", "subject", (F.col("lines") == F.col("n")).alias("whole"))
 
 
 def geo_cache(spark: SparkSession, d: str) -> DataFrame:
@@ -182,9 +184,12 @@ def recent(spark: SparkSession, d: str) -> DataFrame:
 
 
 def registry_entries(spark: SparkSession, d: str) -> DataFrame:
-    """The entries of a registry's text and what is expected of each."""
-    specs = registry.enabled(registry.entries('{"sources": [{"id": "a", "type": "jsonld"}, {"id": "b", "type": "cards", "enabled": false}, {"id": "c", "type": "posts", "min_expected": 7}]}'))
-    return registry.expectations(spark, specs)
+    """The entries of a registry's text, what is expected of each, and how many rows the orders' priorities, taken as sources, have."""
+    text = """{"sources": [{"id": "1-URGENT", "type": "jsonld"}, {"id": "2-HIGH", "type": "cards", "enabled": false},
+        {"id": "3-MEDIUM", "type": "posts", "min_expected": 1000000000}, {"id": "none", "type": "posts", "min_expected": 7}]}"""
+    read = _read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("source")).agg(F.count("*").alias("n"))
+    rows = registry.expectations(spark, registry.enabled(registry.entries(text))).join(read, "source", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return rows.select("source", "min_expected", "n", (F.col("n") < F.col("min_expected")).alias("short"))
 
 
 def ledger_entries(spark: SparkSession, d: str) -> DataFrame:
@@ -206,12 +211,12 @@ _HIT = f"""{_RANK('l.confidence')} >= {_RANK('s.min_confidence')} and (s.max_pri
 EXPECTED: dict[str, str] = {
     "field_maps": f"select {_URL} as url, n as n_records, {_MAP} as fields, cast(case k % 3 when 0 then 11 else 13 end + n // 10 as int) as score from ({_SHAPES})",
     "endpoints": f"with s as ({_SHAPES}) select {_URL} as url, cast(case k % 3 when 0 then 11 else 13 end + n // 10 as int) as score, n as n_records, k as seq from s where k in (select min(k) from s group by k % 50)",
-    "cards": """select concat('https://c.example/', p_partkey % 20) as source_url, concat(p_partkey, ' Elm Street') as address, concat(p_partkey % 8 + 1, ',500') as price_raw, '2 bed' as beds_raw, '1.5' as baths_raw, '2026-08-28 12:00:00' as listed_at, concat('Flat ', p_partkey) as title,
+    "cards": """select concat('https://c.example/', p_partkey // 100) as source_url, concat(p_partkey, ' Elm Street') as address, concat(p_partkey % 8 + 1, ',500') as price_raw, '2 bed' as beds_raw, '1.5' as baths_raw, '2026-08-28 12:00:00' as listed_at, concat('Flat ', p_partkey) as title,
         concat('https://c.example/apartmentlistings/', md5(cast(p_partkey as varchar)), '.html') as detail_url, true as no_fee, md5(cast(p_partkey as varchar)) as source_ref, 'Astoria' as hood, '["Gym"]' as amenities, 'true' as net_effective from part""",
     "lotteries": """select concat('lottery:', s_suppkey) as source_url, concat(s_name, case when s_suppkey % 3 <> 0 then ' 10001' else '' end) as address, s_name as title, 'Queens' as borough_hint, '{"40":"3"}' as ami, concat('{"1bed":"', s_suppkey, '"}') as mix,
         case when s_suppkey % 3 = 0 then 'true' else 'false' end as several from supplier where s_suppkey % 2 = 0 and s_suppkey % 7 <> 0""",
-    "posts": """select cast(o_orderkey % 40 as varchar) as source_url, 'astoria' as address, cast(o_orderkey % 30 * 100 + 900 as double) as price_num, concat(o_orderkey % 3 + 1, 'br') as beds_raw, true as no_fee, cast(o_orderkey as varchar) as source_ref, concat('/p/', o_orderkey) as detail_url from orders where o_orderkey % 4 <> 0""",
-    "index_links": "select concat('https://i.example/homes/', p_partkey) as link, cast(p_partkey % 5 as int) as seq, cast(row_number() over (partition by p_partkey % 5 order by p_partkey) - 1 as int) as pos from part order by 2, 3 limit 60",
+    "posts": """select cast(o_orderkey // 100 as varchar) as source_url, 'astoria' as address, cast(o_orderkey % 30 * 100 + 900 as double) as price_num, concat(o_orderkey % 3 + 1, 'br') as beds_raw, true as no_fee, cast(o_orderkey as varchar) as source_ref, concat('/p/', o_orderkey) as detail_url from orders where o_orderkey % 4 <> 0""",
+    "index_links": "select concat('https://i.example/homes/', p_partkey) as link, cast(p_partkey // 100 as int) as seq, cast(row_number() over (partition by p_partkey // 100 order by p_partkey) - 1 as int) as pos from part order by 2, 3 limit 60",
     "digests": f"select s.name as search, count(*) as n, concat(count(*), case when count(*) > 1 then ' new matches for ' else ' new match for ' end, s.name) as subject, true as whole from {_L} l join {_S} s on {_HIT} group by 1",
     "geo_cache": """with o as (select case s_suppkey % 3 when 0 then 'resolved' when 1 then 'low' else case when s_suppkey % 6 = 2 then 'fallback' else 'empty' end end as outcome from supplier)
         select outcome, count(*) as n, 0 as worse, 1 as run from o group by 1 union all select case when outcome in ('resolved', 'fallback') then 'hit' else 'negative' end, count(*), 0, 2 from o group by 1""",
@@ -232,7 +237,8 @@ EXPECTED: dict[str, str] = {
     "best_pages": """select site, url, cast(rank as int) as rank from (select p_partkey % 50 as site, concat('u', p_partkey) as url, p_size % 4 as rank,
         row_number() over (partition by p_partkey % 50 order by case when p_partkey < 50 and p_size % 4 = 0 then -1 else p_size % 4 end, p_partkey < 50, p_partkey) as k from part) where k = 1""",
     "recent": f"select source, count(*) as n from {_L} where gone_at is null and first_seen > timestamp '1998-01-03 00:00:00' group by 1",
-    "registry_entries": "select * from (values ('a', 1), ('c', 7)) as t(source, min_expected)",
+    "registry_entries": """select source, min_expected, count(o_orderkey) as n, count(o_orderkey) < min_expected as short
+        from (values ('1-URGENT', 1), ('3-MEDIUM', 1000000000), ('none', 7)) as t(source, min_expected) left join orders on o_orderpriority = source group by 1, 2""",
     "ledger_entries": f"select fingerprint, case when fingerprint < '8' then '1990-01-01' else strftime(min(first_seen), '%Y-%m-%d') end as seen from {_L} group by fingerprint",
 }
 

@@ -7,7 +7,7 @@ The greedy matching walks each building's sorted pairs by recursion.
 from __future__ import annotations
 
 from hearthline.functions import text as T
-from hearthline.plans import landed
+from hearthline.plans import histories, landed, mixed
 from hearthline.plans.catalog import AGG, UP, _duck
 from hearthline.sources import htmlx
 
@@ -142,8 +142,9 @@ ORACLES: dict[str, str] = {
         select conv_id, turn, turn % 3 <> 0 as offer, list_min(list_filter(list_transform(regexp_extract_all(x, '\\$\\s?([1-9][\\d,]{{2,6}})', 1), lambda p: try_cast(replace(p, ',', '') as int)), lambda p: p between 500 and 30000)) as price,
             nullif(regexp_extract(x, '(?i)\\b(studio|\\d+\\s*(?:bed\\s?rooms?|beds?|br|bd))\\b', 1), '') as beds, {_cases('lower(x)', [(p, p) for p in T.POST_PLACES])} as neighborhood from t""",
     "json_dig": "select event_id, cast(json_extract_string(props, '$.k') as int) as k, cast(null as varchar) as missing from events",
-    "json_records": "select cast(n_regionkey as varchar) as region, n_name as address, cast(n_nationkey as varchar) as unit_raw, cast(n_nationkey * 100 + 1000 as int) as price from nation where n_regionkey in (select n_regionkey from nation group by 1 having count(*) >= 3)",
+    "json_records": """select cast(l_orderkey as varchar) as payload, concat(l_partkey, ' Elm St') as address, cast(l_linenumber as varchar) as unit_raw, cast(l_partkey % 9000 + 1000 as int) as price
+        from lineitem where l_orderkey in (select l_orderkey from lineitem group by 1 having count(*) >= 3)""",
     "survey_rank": "select s_name as name, case s_suppkey % 4 when 0 then 'JSONLD' when 1 then 'PMS' when 2 then 'HTML' else 'DEAD' end as verdict, cast(row_number() over (order by case s_suppkey % 4 when 0 then 0 when 1 then 1 when 2 then 3 else 5 end, lower(s_name), s_name) as int) as place from supplier",
     "queue_slice": "select s_suppkey as seq, s_name, 'Acme PMS' as vendor from supplier where s_nationkey % 2 = 0 order by s_suppkey limit 20 offset 5",
 }
-ORACLES |= landed.EXPECTED
+ORACLES |= landed.EXPECTED | histories.EXPECTED | mixed.EXPECTED | {"stream_events": ORACLES["cdc_events"]}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
 from urllib.parse import urljoin
 from urllib.robotparser import RobotFileParser
 
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from hearthline.cluster import cut
 from hearthline.functions import text as T
 from hearthline.functions import times
 from hearthline.sources.jsonx import nodes_of_all, object_nodes
@@ -47,6 +50,9 @@ PORTFOLIO_PATH = r"(?i)/(buildings?|propert(y|ies)|residences?|communit(y|ies)|a
 SKIP_PATH = r"(?i)/(about|team|contact|careers|news|press|blog|privacy|terms|search|amenities|neighborhood|gallery|resident|owner|invest|sustainab)"
 SKIP_LINK = r"(?i)/(about|team|contact|careers?|news|press|blog|privacy|terms|legal|accessibility|amenit|neighborhood|gallery|resident|owner|invest|sustainab|search$|faq|login|apply)"
 SHELL_KB, ENOUGH = 40, 3
+NODES_NOTE, DECLARED_NOTE, SHELL_NOTE, PLAIN_NOTE, NAMED_NOTE = "%d listing nodes", " of %d declared (rest client-side)", "%dKB shell", "%dKB, no structured data", " (fingerprint only)"
+UNRESOLVED = "name or service|nodename|resolve|getaddrinfo|dns"
+CHOSEN = 1_000_000  # keys of landings that are broadcast at most
 FALLBACK = ("/apartments", "/availability", "/rentals")
 AREAS, BED_SEARCHES = ("downtown-manhattan", "midtown-manhattan", "upper-manhattan", "uptown-manhattan", "brooklyn", "queens"), ("studio", "1br", "2br", "3more")
 
@@ -204,16 +210,36 @@ def markup(pages: DataFrame, source: str, operator: str = "", borough_hint: str
     return out.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k", "block", "pos")
 
 
+@lru_cache(1)
+def _vendor_hosts() -> dict[str, str]:
+    """VENDORS without hosts that an earlier one already ends, so that one pattern tells the first that fits."""
+    kept: dict[str, str] = {}
+    for name, of in VENDORS.items():
+        if not any(name.endswith(k) for k in kept):
+            kept[name] = of
+    return kept
+
+
+def vendor_of(of_host: Column) -> Column:
+    """The vendor whose host a host ends in, null for others; one pattern for all vendors."""
+    hosts = _vendor_hosts()
+    ends = "|".join(re.escape(d) for d in hosts)
+    return F.try_element_at(T.mapped(hosts), F.regexp_extract(of_host, f"({ends})$", 1))
+
+
 def vendor(html: Column | str, base_host: Column) -> Column:
-    """The management vendor that a page links to (name, url), or whose host it names (`... (ref only)`)."""
+    """The management vendor that a page links to (name, url), or whose host it names (`... (ref only)`).
+
+    Links are read once, each meets one pattern of all hosts; the page itself one of all names, of which the first by name counts.
+    """
     h = F.col(html) if isinstance(html, str) else html
     links = F.regexp_extract_all(h, F.lit(r'(?:href|src|action)="(https?://[^"]+)"'), F.lit(1))
-    whose = lambda u: F.coalesce(*[F.when(host(u).endswith(d), n) for d, n in VENDORS.items()])
-    foreign = F.filter(links, lambda u: whose(u).isNotNull() & ~((base_host != "") & host(u).endswith(base_host)))
+    judged = F.transform(links, lambda u: F.struct(u.alias("link"), vendor_of(host(u)).alias("vendor")))
+    foreign = F.filter(judged, lambda x: x["vendor"].isNotNull() & ~((base_host != "") & host(x["link"]).endswith(base_host)))
     first = F.try_element_at(foreign, F.lit(1))
-    low = F.lower(h)
-    named = F.coalesce(*[F.when(low.rlike(rf"\b{t}\.(com|net|us|io)\b"), VENDORS.get(f"{t}.com", t) + " (ref only)") for t in VENDOR_TOKENS])
-    return F.struct(F.coalesce(whose(first), named, F.lit("")).alias("vendor"), F.coalesce(first, F.lit("")).alias("link"))
+    token = F.array_min(F.regexp_extract_all(F.lower(h), F.lit(rf"\b({'|'.join(VENDOR_TOKENS)})\.(?:com|net|us|io)\b"), F.lit(1)))
+    named = F.concat(F.coalesce(F.try_element_at(T.mapped(VENDORS), F.concat(token, F.lit(".com"))), token), F.lit(" (ref only)"))
+    return F.struct(F.coalesce(first["vendor"], named, F.lit("")).alias("vendor"), F.coalesce(first["link"], F.lit("")).alias("link"))
 
 
 def _shape(pages: DataFrame) -> DataFrame:
@@ -232,11 +258,11 @@ def verdicts(pages: DataFrame) -> DataFrame:
     """url, verdict, rank and note of each page (url, html): JSONLD, PMS, SPA or HTML; the lowest rank is best."""
     rows = _shape(pages)
     many, has = F.col("nodes") >= ENOUGH, F.col("vendor.vendor") != ""
-    rest = F.when(F.col("declared") > F.col("nodes"), F.format_string(" of %d declared (rest client-side)", "declared")).otherwise("")
-    by = F.when(F.col("vendor.link") != "", F.concat(F.lit(" @ "), F.substring("vendor.link", 1, 70))).otherwise(" (fingerprint only)")
+    rest = F.when(F.col("declared") > F.col("nodes"), F.format_string(DECLARED_NOTE, "declared")).otherwise("")
+    by = F.when(F.col("vendor.link") != "", F.concat(F.lit(" @ "), F.substring("vendor.link", 1, 70))).otherwise(NAMED_NOTE)
     shell = F.col("kb") < SHELL_KB
     pick = lambda a, b, c, d: F.when(many, a).when(has, b).when(shell, c).otherwise(d)
-    note = pick(F.concat(F.format_string("%d listing nodes", "nodes"), rest), F.concat(F.col("vendor.vendor"), by), F.format_string("%dKB shell", "kb"), F.format_string("%dKB, no structured data", "kb"))
+    note = pick(F.concat(F.format_string(NODES_NOTE, "nodes"), rest), F.concat(F.col("vendor.vendor"), by), F.format_string(SHELL_NOTE, "kb"), F.format_string(PLAIN_NOTE, "kb"))
     return rows.select("url", pick(F.lit("JSONLD"), F.lit("PMS"), F.lit("SPA"), F.lit("HTML")).alias("verdict"), pick(F.lit(0), F.lit(1), F.lit(2), F.lit(3)).alias("rank"), note.alias("note"))
 
 
@@ -282,7 +308,7 @@ def building_links(pages: DataFrame, k: int = 60) -> DataFrame:
     """The links of each page that look most like single buildings, on its site or a vendor's."""
     own, p = host("url"), F.col("link_path")
     same = (F.col("link_host") == own) | F.col("link_host").endswith(F.concat(F.lit("."), own))
-    foreign = F.coalesce(*[F.when(F.col("link_host").endswith(d), True) for d in VENDORS], F.lit(False))
+    foreign = vendor_of(F.col("link_host")).isNotNull()
     on = lambda c, n: F.when(c, n).otherwise(0)
     score = on(foreign, 6) + on(F.col("label").rlike(ADDRESS_HINT), 5) + on(F.replace(p, F.lit("-"), F.lit(" ")).rlike(ADDRESS_HINT), 4) + on(p.rlike(BUILDING_PATH), 3) + on(_depth() >= 1, 1)
     rows = anchors(pages).where((same | foreign) & (F.length("label") <= 90) & (~p.rlike(SKIP_PATH) | foreign) & ~p.isin("", "/"))
@@ -302,13 +328,21 @@ def portfolio_links(pages: DataFrame, k: int = 6) -> DataFrame:
 
 
 def building_pages(links: DataFrame, pages: DataFrame) -> DataFrame:
-    """The ranked links of portfolio pages (url, link, label, place) joined to the landed pages of their buildings.
+    """The ranked links of portfolio pages (url, link, label, place) joined to the landed pages (url, html, optionally seq) of their buildings.
 
-    portfolio, label, place, url, html; a link without a page keeps a null html. Of
-    several landings of one address the least html counts.
+    portfolio, label, place, url, html; a link without a page keeps a null html. Of several
+    landings of one address the last by seq counts, ties by content. Keys and hashes alone
+    are compared and joined; bodies are fetched for the chosen landings only, where a
+    broadcast of their keys (up to CHOSEN) lets the others stay where they are.
     """
-    landed = pages.groupBy(bare("url").alias("link")).agg(F.min("html").alias("html"))
-    return links.select(F.col("url").alias("portfolio"), "link", "label", "place").join(landed, "link", "left").select("portfolio", "label", "place", F.col("link").alias("url"), "html")
+    seq = F.col("seq") if "seq" in pages.columns else F.lit(0)
+    keyed = pages.select(bare("url").alias("link"), seq.cast("long").alias("seq"), F.xxhash64("html").alias("h"), F.xxhash64("html", F.lit(1)).alias("i"), "html")
+    asked = links.select("link").distinct()
+    newest = F.struct("seq", "h", "i")
+    chosen = cut(keyed.select("link", "seq", "h", "i").join(asked, "link", "left_semi").groupBy("link").agg(F.max(newest).alias("at")).select("link", "at.*"))
+    few = F.broadcast(chosen) if chosen.limit(CHOSEN + 1).count() <= CHOSEN else chosen
+    bodies = keyed.join(few, ["link", "seq", "h", "i"], "left_semi").dropDuplicates(["link"]).select("link", "html")
+    return links.select(F.col("url").alias("portfolio"), "link", "label", "place").join(bodies, "link", "left").select("portfolio", "label", "place", F.col("link").alias("url"), "html")
 
 
 def entry_points(homes: DataFrame, links: DataFrame) -> DataFrame:
@@ -341,7 +375,7 @@ def reachable(fetches: DataFrame) -> DataFrame:
     refused = F.col("status").isin(401, 403, 406, 429)
     rows = fetches.withColumn("kind", F.when(refused, "BLOCKED").when(F.col("status").between(200, 399), "OK"))
     out = rows.groupBy("domain").agg(F.min_by("kind", F.when(F.col("kind").isNotNull(), F.col("attempt"))).alias("verdict"), F.max_by("error", "attempt").alias("error"))
-    lost = F.lower(F.coalesce("error", F.lit(""))).rlike("name or service|nodename|resolve|getaddrinfo|dns")
+    lost = F.lower(F.coalesce("error", F.lit(""))).rlike(UNRESOLVED)
     return out.select("domain", F.coalesce("verdict", F.when(lost, "DEAD").otherwise("BLOCKED")).alias("verdict"))
 
 

@@ -198,15 +198,17 @@ def json_api(payloads: DataFrame, source: str, fields: dict[str, str], root: str
     ).where(F.coalesce("address", F.lit("")) != "")
 
 
-def lotteries(rows: DataFrame, source: str, only_open: bool = True, limit: int = 1000) -> DataFrame:
-    """Raw records of an open-data table of housing lotteries (JSON lines as strings in `body`), newest start first.
+def lotteries(rows: DataFrame, source: str, only_open: bool = True, limit: int | None = 1000) -> DataFrame:
+    """Raw records of an open-data table of housing lotteries (JSON lines as strings in `body`): the newest starts up to limit, or all.
 
     Columns named by a prefix become maps; `Multiple` stands for several buildings.
     """
     v = F.try_parse_json("body")
     get = lambda f: F.try_variant_get(F.col("v"), f"$.{f}", "string")
     all_ = F.from_json("body", "map<string,string>")
-    rows = rows.withColumn("v", v).where(get("development_type") == "Rental").orderBy(F.desc(get("lottery_start_date")), get("lottery_id")).limit(limit)
+    rows = rows.withColumn("v", v).where(get("development_type") == "Rental")
+    if limit is not None:
+        rows = rows.orderBy(F.desc(get("lottery_start_date")), get("lottery_id")).limit(limit)
     if only_open:
         rows = rows.where(F.lower(F.trim(get("lottery_status"))) == "active")
     several = (F.coalesce(get("latitude"), F.lit("")) == "Multiple") | (F.coalesce(get("postcode"), F.lit("")) == "Multiple")

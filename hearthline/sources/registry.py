@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthline import schemas
 from hearthline.cluster import numbered
+from hearthline.operators.normalize import conform
 from hearthline.sources import htmlx, jsonx
 
 #: Adapters by type: each makes raw records of landed pages or payloads.
@@ -23,6 +25,15 @@ def build(spec: dict, landed: DataFrame, **more) -> DataFrame:
     return ADAPTERS[spec["type"]](landed, spec["id"], **{k: v for k, v in spec.items() if k not in META}, **more)
 
 
+def build_all(specs: list[dict], landed: DataFrame) -> DataFrame:
+    """Raw records of all entries (schemas.RAW), each built from the landings of its own `source`.
+
+    Every entry reads its part alone: where the landings are stored by source, the others are pruned.
+    """
+    parts = [conform(build(s, landed.where(F.col("source") == s["id"]).drop("source"))).select(schemas.RAW.names) for s in specs]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def enabled(specs: list[dict]) -> list[dict]:
     return [s for s in specs if s.get("enabled", True)]
 

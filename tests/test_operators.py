@@ -292,3 +292,49 @@ def test_searches_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(search, "SEARCHES", 10)
     assert sorted(map(str, search.judge(held, wanted).collect())) == want and len(want) == 50
     assert search.judge(held, wanted.limit(0)).count() == 0
+
+
+def wish_list(n, seed=1):
+    r = random.Random(seed)
+    pick = lambda *xs: r.choice(xs)
+    return [(f"s{k}", pick(None, r.randint(500, 9000)), pick(None, float(r.randint(0, 4)), 1.5), pick(None, float(r.randint(0, 9)), 2.5), pick(None, ["Queens"], ["Bronx", None, "Bronx"], [], [None]), None, pick(None, True, False), pick(None, 700), pick(None, "low", "medium", "high", "odd")) for k in range(n)]
+
+
+def test_matching_equals_judging_all(spark, monkeypatch):
+    """The index of searches loses nothing and adds nothing, over all nulls, bounds and blocks; extra columns stay."""
+    r = random.Random(2)
+    pick = lambda *xs: r.choice(xs)
+    held = [(f"f{k}", pick(None, r.randint(400, 9500), 3000), pick(None, float(r.randint(0, 12)), 1.5, float("nan")), pick(None, "Queens", "Bronx", ""), pick(None, "low", "medium", "high"), pick(None, True, False), pick(None, 650, 900), "x", 7) for k in range(300)]
+    listings = spark.createDataFrame(held, "fingerprint string, price int, beds double, borough string, confidence string, no_fee boolean, sqft int, id string, ids int")
+    wanted = spark.createDataFrame([*wish_list(150), ("s1", 3000, 1.0, 0.5, None, None, None, None, None)], schemas.CRITERIA)
+    want = sorted(map(str, search.judge(listings, wanted).where("reject is null").drop("reject").collect()))
+    assert len(want) > 1500
+    assert sorted(map(str, search.matching(listings, wanted).collect())) == want
+    monkeypatch.setattr(search, "SEARCHES", 40)
+    monkeypatch.setattr(search, "ENTRIES", 3000)
+    assert sorted(map(str, search.matching(listings, wanted).collect())) == want
+    assert search.matching(listings, wanted.where("false")).count() == 0
+
+
+def test_few_listings_meet_a_search(spark):
+    """At 10 000 narrow searches a listing is judged for the searches of its cells alone."""
+    r = random.Random(3)
+    wanted = spark.createDataFrame([(f"s{k}", r.randint(500, 9000), float(k % 5), float(k % 5), [r.choice(["Queens", "Bronx", "Brooklyn", "Manhattan", "Staten Island"])], None, None, None, "low") for k in range(10_000)], schemas.CRITERIA)
+    places = F.element_at(F.array(*map(F.lit, ["Queens", "Bronx", "Brooklyn", "Manhattan", "Staten Island"])), (F.col("id") % 5 + 1).cast("int"))
+    listings = spark.range(2000).select(F.concat(F.lit("f"), "id").alias("fingerprint"), (500 + F.col("id") * 7919 % 9000).cast("int").alias("price"), (F.col("id") % 7 % 5).cast("double").alias("beds"), places.alias("borough"), F.lit("high").alias("confidence"), F.lit(True).alias("no_fee"), F.lit(900).alias("sqft"))
+    held = wanted.withColumn("id", F.monotonically_increasing_id()).cache()
+    cuts = sorted(set(held.agg(F.percentile_approx("max_price", [k / search.CUTS for k in range(1, search.CUTS + 1)])).first()[0]))
+    met, matched = search.candidates(listings, held, cuts).count(), search.matching(listings, wanted).count()
+    print(f" {met} pairs judged of {2000 * 10_000}, {matched} match", end="")
+    assert matched <= met < 1.2 * matched < 2000 * 10_000 / 10
+
+
+def test_digests_are_paged(spark):
+    rows = [("s", f"f{k:03}", 1000 + k, START) for k in range(23)] + [("t", "f1", 5, START)]
+    found = spark.createDataFrame(rows, "search string, fingerprint string, price int, first_seen timestamp")
+    for c, kind in (("address", "string"), ("unit_key", "string"), ("sqft", "int"), ("no_fee", "boolean"), ("source", "string"), ("detail_url", "string"), ("source_url", "string"), ("reasons", "array<string>")):
+        found = found.withColumn(c, F.lit(None).cast(kind))
+    got = search.digests(found, page=10).orderBy("search", "page").collect()
+    assert [(x.search, x.page, x.pages, x.n, x.subject) for x in got] == [("s", 1, 3, 23, "23 new matches for s (1/3)"), ("s", 2, 3, 23, "23 new matches for s (2/3)"), ("s", 3, 3, 23, "23 new matches for s (3/3)"), ("t", 1, 1, 1, "1 new match for t")]
+    lines = [x for g in got[:3] for x in g.body.split("\n\n")]
+    assert [x.split("/mo")[0] for x in lines] == [f"${1000 + k:,}" for k in range(23)]

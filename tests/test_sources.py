@@ -172,3 +172,22 @@ def test_pages_do_not_move(spark):
     for out in (htmlx.verdicts(df), htmlx.building_verdicts(df)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_building_pages_move_no_body_before_the_choice(spark):
+    """The last landing counts; keys and hashes alone are shuffled, bodies only once they are chosen."""
+    pages = spark.createDataFrame([("https://b.example/1?x=1", "old", 1), ("https://b.example/1", "new", 2), ("https://b.example/1#a", "mid", 1), ("https://b.example/2", "two", 9), ("https://b.example/2", "two", 9), ("https://b.example/3", None, 1)], "url string, html string, seq long")
+    links = spark.createDataFrame([("https://p.example", f"https://b.example/{k}", "x", k) for k in (1, 2, 3, 4)], "url string, link string, label string, place int")
+    out = htmlx.building_pages(links, pages)
+    assert [(x.url[-1], x.html) for x in out.orderBy("place").collect()] == [("1", "new"), ("2", "two"), ("3", None), ("4", None)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("html") and "LeftSemi" in plan
+    physical = out._jdf.queryExecution().sparkPlan().toString()
+    below = physical.split("LeftSemi")[1]
+    assert "Aggregate" not in below and "BroadcastHashJoin" in physical.split("LeftSemi")[0] + "LeftSemi"
+
+
+def test_vendors_by_one_pattern(spark):
+    hosts = [*htmlx.VENDORS, *("x." + h for h in htmlx.VENDORS), "rentcafe.com.example", "my" + "resman.com", "", "example.com"]
+    got = {x.h: x.v for x in spark.createDataFrame([(h,) for h in hosts], "h string").select("h", htmlx.vendor_of(F.col("h")).alias("v")).collect()}
+    assert got == {h: next((n for d, n in htmlx.VENDORS.items() if h.endswith(d)), None) for h in hosts}

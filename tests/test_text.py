@@ -1,3 +1,5 @@
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +72,13 @@ def test_posts(spark):
     out = df.select("want", T.is_offer("title", "body").alias("got"), T.post_fields("title", "body").alias("f")).collect()
     assert [r.got for r in out] == [r.want for r in out]
     assert out[0].f.asDict() == {"price": 600, "beds": "2BR", "address": "123 West 45th Street", "neighborhood": "astoria"}
+
+
+def test_accents_of_every_code_point(spark):
+    """Equal to the compatibility decomposition without combining marks, alone and inside other text."""
+    codes = [c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    bare = lambda t: "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x))
+    rows = [(chr(c),) for c in codes] + [("".join(f"a{chr(c)}" for c in codes[i : i + 50]),) for i in range(0, len(codes), 997)] + [("plain",), ("",), (None,), ("ﬁn é 𝐀 한 x̂",)]
+    df = spark.createDataFrame(rows, "t string").repartition(8)
+    wrong = [(x.t, x.s) for x in df.select("t", T.strip_accents("t").alias("s")).collect() if x.s != (None if x.t is None else bare(x.t))]
+    assert not wrong, wrong[:5]
