@@ -10,7 +10,7 @@ import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Abbreviations, places and patterns that listings are read with.
@@ -130,6 +130,11 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row: what follows doesn't repeat its expression, and no filter is moved before it."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def strip_accents(c: Column | str) -> Column:
     """Compatibility decomposition without combining marks, for every code point.
 

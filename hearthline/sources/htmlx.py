@@ -244,12 +244,12 @@ def vendor(html: Column | str, base_host: Column) -> Column:
 
 def _shape(pages: DataFrame) -> DataFrame:
     """pages with nodes (listing nodes in the JSON-LD), declared (the longest list that it declares), vendor and kb; in one pass, no page moves."""
-    rows = pages.withColumn("_texts", nodes_of_all(F.regexp_extract_all("html", F.lit(JSON_LD), F.lit(1))))
-    rows = rows.withColumn("_v", F.transform("_texts", lambda t: F.try_parse_json(t)))
+    texts = nodes_of_all(F.regexp_extract_all("html", F.lit(JSON_LD), F.lit(1)))
+    rows = T.once(pages, "_v", F.transform(texts, lambda t: F.try_parse_json(t)))
     listed = F.filter("_v", lambda v: F.coalesce(F.arrays_overlap(_types(v), F.array(*map(F.lit, COUNTED_TYPES))), F.lit(False)))
     count = lambda v, p: F.coalesce(F.try_variant_get(v, p, "int"), F.lit(0))
     declared = F.array_max(F.transform("_v", lambda v: F.greatest(count(v, "$.numberOfItems"), count(v, "$.mainEntity.numberOfItems"))))
-    rows = rows.withColumns({"nodes": F.coalesce(F.when(F.col("_v").isNotNull(), F.size(listed)), F.lit(0)), "declared": F.coalesce(declared, F.lit(0))}).drop("_texts", "_v")
+    rows = rows.withColumns({"nodes": F.coalesce(F.when(F.col("_v").isNotNull(), F.size(listed)), F.lit(0)), "declared": F.coalesce(declared, F.lit(0))}).drop("_v")
     own = F.regexp_replace(host("url"), r"^www\.", "")
     return rows.withColumns({"vendor": vendor("html", own), "kb": F.floor(F.length("html") / 1024)})
 

@@ -1,18 +1,14 @@
 """Landed JSON: every object of a payload, the record list in it, paths, and guessed field maps.
 
-Walking a payload in its own order needs Python (a variant re-orders keys), so
-these are Arrow-batched functions of one column; the rest is expressions.
+Everything is an expression. A payload is walked level by level in its own order:
+maps of texts keep the order of keys, which a variant loses, and variants tell nested
+values from texts that look like them.
 """
 
 from __future__ import annotations
 
-import json
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hearthline.functions import text as X
 
@@ -35,104 +31,108 @@ SKIP_HOSTS = (
 LEAST_BODY, LEAST_RECORDS = 200, 3
 
 
-def loads(text: str | None):
-    """The value of a JSON text, trailing commas forgiven; None if there is none."""
-    if text is None:
-        return None
-    for t in (text.strip(), re.sub(r",\s*([}\]])", r"\1", text.strip())):
-        try:
-            return json.loads(t)
-        except ValueError:
-            continue
-    return None
-
-
-def objects(value) -> list[dict]:
-    """All objects of a value, each before those inside it."""
-    out, rest = [], [value]
-    while rest:
-        v = rest.pop()
-        if isinstance(v, dict):
-            out.append(v)
-            rest.extend(reversed(v.values()))
-        elif isinstance(v, list):
-            rest.extend(reversed(v))
-    return out
-
-
-def record_list(value, least: int = LEAST_RECORDS) -> list[dict]:
-    """The objects of the list that holds most of them, the first on a tie."""
-    best: list[dict] = []
-    rest = [value]
-    while rest:
-        v = rest.pop()
-        if isinstance(v, list):
-            held = [x for x in v if isinstance(x, dict)]
-            if len(held) >= max(least, len(best) + 1):
-                best = held
-        if isinstance(v, (list, dict)):
-            rest.extend(reversed(v.values() if isinstance(v, dict) else v))
-    return best
-
-
-def at_path(value, path: str):
-    for part in path.split(".") if path else []:
-        if isinstance(value, list):
-            value = value[int(part)] if part.isdigit() and int(part) < len(value) else None
-        else:
-            value = value.get(part) if isinstance(value, dict) else None
-    return value
-
-
-def _texts(values) -> list[str]:
-    return [json.dumps(v, ensure_ascii=False) for v in values]
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def object_nodes(s: pd.Series) -> pd.Series:
-    """Each object of a JSON text as JSON text."""
-    return s.map(lambda t: _texts(objects(loads(t))))
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def records(s: pd.Series, root: pd.Series) -> pd.Series:
-    """The records of a payload: at a root path, or the largest list of objects."""
-
-    def found(text: str | None, path: str | None) -> list[str]:
-        value = loads(text)
-        if path:
-            value = at_path(value, path)
-            return _texts(x for x in value if isinstance(x, dict)) if isinstance(value, list) else []
-        return _texts(record_list(value))
-
-    return pd.Series([found(t, p) for t, p in zip(s, root, strict=True)], dtype=object)
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def nodes_of_all(blocks: pd.Series) -> pd.Series:
+STRICT = {"allowSingleQuotes": "false"}
+DEEPEST, LEVELS = 1000, 3
+
+
+def cleaned(text: Column | str) -> Column:
+    """A JSON text without white space around it, trailing commas forgiven; null if it isn't one (a repeated key makes it none)."""
+    t = F.regexp_replace(F.col(text) if isinstance(text, str) else text, r"^\s+|\s+$", "")
+    # within brackets, as the parser stops after a first value
+    valid = lambda x: F.when(F.size(F.try_parse_json(F.concat(F.lit("["), x, F.lit("]"))).try_cast("array<variant>")) == 1, x)
+    return X.bound(t, lambda t: F.coalesce(valid(t), X.bound(F.regexp_replace(t, r",\s*([}\]])", "$1"), valid)))
+
+
+def _is_object(text: Column) -> Column:
+    return text.startswith("{")
+
+
+def inside(text: Column) -> Column:
+    """The values directly in an object or list, in its order: key (a list's is its index), text, nested (an object or a list) and v (the variant).
+
+    The text is read twice, as texts, which keep the order of the keys, and as variants, which tell a nested value from a text that looks like one.
+    """
+    read = lambda kind: F.from_json(text, kind, STRICT)
+
+    def told(key: Column, own: Column, value: Column) -> Column:
+        nested = value.try_cast("map<string,variant>").isNotNull() | value.try_cast("array<variant>").isNotNull()
+        return F.struct(key.alias("key"), own.alias("text"), F.coalesce(nested, F.lit(False)).alias("nested"), value.alias("v"))
+
+    pairs = F.arrays_zip(F.map_entries(read("map<string,string>")).alias("s"), F.map_values(read("map<string,variant>")).alias("v"))
+    items = F.arrays_zip(read("array<string>").alias("s"), read("array<variant>").alias("v"))
+    of_object = F.transform(pairs, lambda e: told(e["s"]["key"], e["s"]["value"], e["v"]))
+    of_list = F.transform(items, lambda e, i: told(i.cast("string"), e["s"], e["v"]))
+    return F.when(_is_object(text), of_object).when(text.startswith("["), of_list).otherwise(F.array().cast("array<struct<key:string,text:string,nested:boolean,v:variant>>"))
+
+
+def nodes(text: Column) -> Column:
+    """The texts of all objects and lists of a cleaned JSON text, each before those inside it.
+
+    Level by level: every round takes the nested values of the round before, with their
+    places, by which all are put in order at the end. Rounds without any are free.
+    """
+    braces = F.regexp_count(text, F.lit(r"[{\[]"))
+    root = F.when(text.rlike(r"^[{\[]"), F.array(F.struct(F.array().cast("array<int>").alias("at"), text.alias("text")))).otherwise(F.array().cast("array<struct<at:array<int>,text:string>>"))
+
+    def below(n: Column) -> Column:
+        placed = F.transform(inside(n["text"]), lambda c, i: F.struct(F.concat(n["at"], F.array(i)).alias("at"), c["text"].alias("text"), c["nested"].alias("nested")))
+        return F.transform(F.filter(placed, lambda c: c["nested"]), lambda c: F.struct(c["at"].alias("at"), c["text"].alias("text")))
+
+    def step(held: Column, _: Column) -> Column:
+        more = lambda found: F.struct(F.concat(held["all"], found).alias("all"), found.alias("last"))
+        return F.when(F.size(held["last"]) == 0, held).otherwise(X.bound(F.flatten(F.transform(held["last"], below)), more))
+
+    rounds = F.when(braces > 0, F.sequence(F.lit(1), F.least(braces, F.lit(DEEPEST)))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(rounds, F.struct(root.alias("all"), root.alias("last")), step, lambda held: F.transform(F.array_sort(held["all"]), lambda n: n["text"]))
+
+
+def object_nodes(text: Column | str) -> Column:
+    """Each object of a JSON text as JSON text; null for none."""
+    return X.bound(cleaned(text), lambda t: F.filter(nodes(t), _is_object))
+
+
+def nodes_of_all(blocks: Column) -> Column:
     """Each object of several JSON texts as JSON text."""
-    return blocks.map(lambda many: [n for t in (many if many is not None else []) for n in _texts(objects(loads(t)))])
+    return F.flatten(F.filter(F.transform(blocks, object_nodes), lambda found: found.isNotNull()))
+
+
+def _objects_of(a_list: Column) -> Column:
+    return F.transform(F.filter(inside(a_list), lambda c: c["nested"] & _is_object(c["text"])), lambda c: c["text"])
+
+
+def _at(text: Column, dotted: str) -> Column:
+    """The object or list at a dotted path, as text."""
+    for part in filter(None, dotted.split(".")):
+        here = F.lit(part)
+        text = F.try_element_at(F.filter(inside(text), lambda c: c["nested"] & (c["key"] == here)), F.lit(1))["text"]
+    return text
+
+
+def records(text: Column | str, root: str | None = None) -> Column:
+    """The records of a payload: the objects of the list at a root path, or of the list that holds most of them (LEAST_RECORDS at least), the first on a tie."""
+    none = F.array().cast("array<string>")
+    if root:
+        return F.coalesce(X.bound(_at(cleaned(text), root), lambda t: F.when(t.startswith("["), _objects_of(t))), none)
+    held = lambda t: F.transform(F.filter(nodes(t), lambda n: n.startswith("[")), _objects_of)
+    best = lambda lists: F.aggregate(lists, none, lambda kept, new: F.when(F.size(new) > F.size(kept), new).otherwise(kept))
+    found = X.bound(cleaned(text), lambda t: best(held(t)))
+    return X.bound(F.coalesce(found, none), lambda r: F.when(F.size(r) >= LEAST_RECORDS, r).otherwise(none))
 
 
-LEVELS = 3
+def flat_keys(record: Column | str, levels: int = LEVELS) -> Column:
+    """path and flag (a boolean) of the values of a record that are neither objects nor lists, with dotted paths of at most `levels` keys, in its order."""
 
+    def plain(text: Column, before: Column, deep: int) -> Column:
+        none = F.array().cast("array<struct<path:string,flag:boolean>>")
 
-def plain_keys(record: dict) -> list[dict]:
-    """The values of a record that are neither objects nor lists, with dotted paths of at most LEVELS keys, in its order."""
-    found, waiting = [], [((), record)]
-    while waiting:
-        keys, value = waiting.pop()
-        if not isinstance(value, (dict, list)):
-            found.append({"path": ".".join(keys), "kind": type(value).__name__, "empty": value in (None, "", 0)})
-        elif isinstance(value, dict) and len(keys) < LEVELS:
-            waiting += [((*keys, k), v) for k, v in reversed(value.items())]
-    return found
+        def one(c: Column) -> Column:
+            path = F.concat(before, c["key"])
+            own = F.when(~c["nested"], F.array(F.struct(path.alias("path"), F.coalesce(F.schema_of_variant(c["v"]) == "BOOLEAN", F.lit(False)).alias("flag"))))
+            return own.when(_is_object(c["text"]), plain(c["text"], F.concat(path, F.lit(".")), deep + 1)).otherwise(none) if deep < levels else own.otherwise(none)
 
+        return F.flatten(F.transform(inside(text), one))
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("empty", T.BooleanType())])))
-def flat_keys(s: pd.Series) -> pd.Series:
-    """plain_keys of the record in a JSON text; none of anything else."""
-    return s.map(lambda t: plain_keys(v) if isinstance(v := loads(t), dict) else [])
+    return X.bound(F.col(record) if isinstance(record, str) else record, lambda t: F.when(_is_object(t), plain(t, F.lit(""), 1)).otherwise(F.array().cast("array<struct<path:string,flag:boolean>>")))
 
 
 def path_of(dotted: str) -> str:
@@ -159,14 +159,14 @@ def field_maps(payloads: DataFrame) -> DataFrame:
     that a key (or its last part) matches wins, and of its keys the first; booleans
     don't count. Each payload is judged in its own row.
     """
-    rows = payloads.withColumn("recs", records("body", F.lit(None).cast("string"))).where(F.size("recs") >= LEAST_RECORDS)
-    rows = rows.withColumn("keys", flat_keys(F.col("recs")[0])).withColumn("keys", F.filter("keys", lambda k: k["kind"] != "bool"))
+    rows = X.once(payloads, "recs", records("body")).where(F.size("recs") >= LEAST_RECORDS)
+    rows = X.once(rows, "keys", F.filter(flat_keys(F.get("recs", F.lit(0))), lambda k: ~k["flag"]))
     found = [F.struct(F.lit(field).alias("field"), field_of(F.col("keys"), SIGNALS[field]).alias("path")) for field in sorted(SIGNALS)]
-    rows = rows.withColumn("fields", F.map_from_entries(F.filter(F.array(*found), lambda x: x["path"].isNotNull()))).where(F.size("fields") > 0)
+    rows = X.once(rows, "fields", F.map_from_entries(F.filter(F.array(*found), lambda x: x["path"].isNotNull()))).where(F.size("fields") > 0)
     score = sum((F.when(F.map_contains_key("fields", f), w).otherwise(0) for f, w in WEIGHTS.items()), F.floor(F.least(F.size("recs"), F.lit(40)) / 10))
     origin = F.col("origin") if "origin" in payloads.columns else F.lit("")
     more = ["seq"] if "seq" in payloads.columns else []
-    return rows.select("url", "method", origin.alias("origin"), F.size("recs").alias("n_records"), "fields", score.cast("int").alias("score"), F.col("recs")[0].alias("sample"), *more)
+    return rows.select("url", "method", origin.alias("origin"), F.size("recs").alias("n_records"), "fields", score.cast("int").alias("score"), F.get("recs", F.lit(0)).alias("sample"), *more)
 
 
 def endpoints(captures: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def source_spec(candidates: DataFrame, source_id: Column, operator: Column | Non
 
 def json_api(payloads: DataFrame, source: str, fields: dict[str, str], root: str | None = None, operator: str = "", borough_hint: str | None = None, no_fee: bool | None = None) -> DataFrame:
     """Raw records of landed JSON payloads (url, body) by a field map; records without an address are left out."""
-    rows = payloads.select("url", F.explode(records("body", F.lit(root).cast("string"))).alias("r")).withColumn("v", F.try_parse_json("r"))
+    rows = payloads.select("url", F.explode(records("body", root)).alias("r")).withColumn("v", F.try_parse_json("r"))
     get = lambda f, kind="string": dig("v", fields.get(f, ""), kind)
     number = lambda f: F.when(F.schema_of_variant(dig("v", fields.get(f, ""), "variant")).rlike("BIGINT|DOUBLE|DECIMAL|INT|FLOAT"), get(f, "double")) if fields.get(f) else F.lit(None).cast("double")
     return rows.select(

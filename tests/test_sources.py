@@ -1,9 +1,11 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from hearthline.sources import htmlx, jsonx, registry
+from tests import json_plain
 
 
 
@@ -38,8 +40,13 @@ def test_json_api(spark):
 
 def test_paths():
     assert jsonx.path_of("data.items.0.price") == "$['data']['items'][0]['price']"
-    value = json.loads('{"a": {"b": [{"c": 5}]}}')
-    assert jsonx.at_path(value, "a.b.0.c") == 5 and jsonx.at_path(value, "a.x.0") is None and jsonx.at_path(value, "a.b.9") is None
+
+
+def test_records_at_a_root(spark):
+    text = json.dumps({"a": {"b": [{"r": [{"c": 5}, 3, {"c": "[]"}]}], "s": "[{}]"}})
+    for root, want in (("a.b.0.r", [{"c": 5}, {"c": "[]"}]), ("a.s", []), ("a.b", [{"r": [{"c": 5}, 3, {"c": "[]"}]}]), ("a.x.0", []), ("a.b.9", []), ("a", [])):
+        (x,) = spark.createDataFrame([(text,)], "t string").select(jsonx.records("t", root).alias("r")).collect()
+        assert [json.loads(n) for n in x.r] == want, root
 
 
 def test_endpoints(spark):
@@ -146,9 +153,41 @@ def test_field_maps_after_a_shuffle(spark):
     assert got == {f"u{k}": shapes[k % 5][2] for k in range(1000) if shapes[k % 5][2]}
 
 
+def random_value(r, deep=0):
+    kind = r.random()
+    if deep < 5 and kind < 0.35:
+        return {r.choice("zyxwvutsa") + r.choice(["", "1", " é", "."]): random_value(r, deep + 1) for _ in range(r.randint(0, 4))}
+    if deep < 5 and kind < 0.6:
+        return [random_value(r, deep + 1) for _ in range(r.randint(0, 5))]
+    return r.choice([None, True, False, 0, 7, -1.5, "", "text", '{"looks": "like"}', "[1, {}]", 'q"\\ \n', "é漢"])
+
+
+def test_walks_equal_plain_ones(spark):
+    """Objects, record lists and dotted keys of random payloads, in order; broken texts and trailing commas; no Python in the plan."""
+    r = random.Random(8)
+    values = [random_value(r) for _ in range(150)] + [{"rows": [{"b": 1, "a": {"c": [{"d": k}]}} for k in range(9)], "other": [{"x": 1}] * 9}]
+    texts = [json.dumps(v, ensure_ascii=k % 2 == 0, indent=2 if k % 3 == 0 else None) for k, v in enumerate(values)]
+    texts += ['  {"a": [1, 2,], "b": {"c": {},},}  ', "{'a': 1}", "nothing", "", None, '{"a": 1} more', "[[[[[[[[{}]]]]]]]]"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(3)
+    out = df.select("k", jsonx.object_nodes("t").alias("nodes"), jsonx.records("t").alias("recs"), jsonx.flat_keys(jsonx.cleaned("t")).alias("keys"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    for x in out.collect():
+        value = json_plain.loads(texts[x.k])
+        assert [json.loads(n) for n in x.nodes or []] == json_plain.objects(value), texts[x.k]
+        assert [json.loads(n) for n in x.recs] == json_plain.record_list(value), texts[x.k]
+        assert [tuple(k) for k in x["keys"] or []] == (json_plain.plain_paths(value) if isinstance(value, dict) else []), texts[x.k]
+
+
+def test_deep_payloads(spark):
+    deep = '{"a":' * 150 + "[1,{}]" + "}" * 150
+    df = spark.createDataFrame([(deep,)], "t string")
+    (x,) = df.select(F.size(jsonx.object_nodes("t")).alias("n")).collect()
+    assert x.n == 151
+
+
 def test_plain_keys():
-    assert [k["path"] for k in jsonx.plain_keys({"a": 1, "b": {"c": None, "d": {"e": "x", "f": {"g": 1}}, "h": [1]}, "i": ""})] == ["a", "b.c", "b.d.e", "i"]
-    assert [k["empty"] for k in jsonx.plain_keys({"a": 0, "b": False, "c": "", "d": None, "e": "x", "f": 2})] == [True, True, True, True, False, False]
+    value = {"a": 1, "b": {"c": None, "d": {"e": "x", "f": {"g": 1}}, "h": [1]}, "i": True}
+    assert json_plain.plain_paths(value) == [("a", False), ("b.c", False), ("b.d.e", False), ("i", True)]
 
 
 def test_endpoints_of_one_address(spark):
