@@ -18,7 +18,8 @@ Vectors that are null, zero, or hold null or non-finite components link with
 nothing: n_links 0 and the own id as component; so do rows of a null vec_id
 (kept false). Vectors of different lengths never link. Repeated rows are copies:
 each counts the others; rows of one vec_id with different vectors are placed by
-their own vector. An empty table gives no rows. Other columns are left aside.
+their own vector. A pair of exactly the threshold links; of equal ids or partners the
+least id names the component. An empty table gives no rows. Other columns are left aside.
 """
 
 from __future__ import annotations

@@ -17,8 +17,9 @@ a bin, so a source with a third of all rows is no task of its own. The number of
 slots is about the words of the mix over a block's, which grows with the input
 between fixed bounds, and LEAST_SLOTS for each source that fills fewer.
 
-Null texts have size 0 and are taken 0 times; a null source is a source, the
-last. An empty table, or one without words, has targets 0. Repeated rows are rows
+Null and empty texts have size 0 and are taken 0 times; a text of any length is counted
+whole and may be cut by many blocks. A null doc_id is a document like any other. A null
+source is a source, the last. An empty table, or one without words, has targets 0. Repeated rows are rows
 of their own; ties in the shuffle are broken by doc_id, and among equal rows by
 place. Columns of other names are left aside.
 """

@@ -13,7 +13,8 @@ the target's counts. Scoring looks at each text alone, with no shuffle.
 
 Null and empty texts have no words: base_failed, score 0, not kept. Repeated
 rows count as often as they stand and get the same result. Without trusted rows
-every ratio is 0 by definition. An empty table gives no rows. Texts of any length
+every ratio is 0 by definition. A score equal to the threshold keeps the document. A
+null doc_id is judged like any other and is never trusted. An empty table gives no rows. Texts of any length
 are read whole. `score_documents` leaves other columns aside by name, the pipeline's
 stage keeps them.
 """

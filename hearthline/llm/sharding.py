@@ -13,10 +13,13 @@ agree, which happens after a few rounds, as each makes the segments 2^MORE_BITS
 Only DataFrame functions run on the data, and no text is moved: each row's hash,
 size and checksum are computed where it is read.
 
-Null texts count as empty and share the empty text's group. An empty table gives
-no rows; with fewer groups than shards some shards are empty. Repeated rows are
-rows of their own in the shard of their text; ties of doc_id are broken by place
-only among equal rows. Law: `bytes`; grown_shard is null.
+Null texts count as empty and share the empty text's group. Texts of any length are
+hashed and measured whole; one longer than an equal share fills its shard. A null
+doc_id changes nothing: rows are placed by text, and come first among equal texts.
+An empty table gives no rows; with fewer groups than shards some shards are empty.
+Repeated rows are rows of their own in the shard of their text; ties of doc_id are
+broken by place only among equal rows. Other columns are left aside, whatever their
+names. Law: `bytes`; grown_shard is null.
 """
 
 from __future__ import annotations
