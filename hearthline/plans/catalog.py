@@ -319,6 +319,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
-    from hearthline.plans import histories, landed, mixed
+    from hearthline.plans import histories, landed, mixed, trips
 
-    return {k: shipped(f) for k, f in (QUERIES | landed.QUERIES | histories.QUERIES | mixed.QUERIES).items()}
+    return {k: shipped(f) for k, f in (QUERIES | landed.QUERIES | histories.QUERIES | mixed.QUERIES | trips.QUERIES).items()}

@@ -64,7 +64,8 @@ def crawl_history(spark: SparkSession, d: str) -> DataFrame:
     book = history.read("ledger").select(F.lit("entry").alias("part"), when("our_first_seen").alias("day"), F.col("fingerprint").alias("name"), F.lit("open").alias("what"), *number())
     cache = history.read("geo").groupBy(F.when(F.col("bbl").isNull(), "negative").otherwise("found").alias("what")).agg(F.count("*").alias("n"))
     cache = cache.select(F.lit("cache").alias("part"), none.cast("string").alias("day"), none.cast("string").alias("name"), "what", *number("n"))
-    return runs.unionByName(events).unionByName(state).unionByName(book).unionByName(cache)
+    recent = history.recent_runs(12).select(F.lit("recent").alias("part"), when("started_at").alias("day"), F.col("source").alias("name"), F.lit("run").alias("what"), *number("n_raw"))
+    return runs.unionByName(recent).unionByName(events).unionByName(state).unionByName(book).unionByName(cache)
 
 
 def stream_events(spark: SparkSession, d: str) -> DataFrame:
@@ -121,6 +122,7 @@ EXPECTED: dict[str, str] = {
         d(n, day) as (select r.n, strftime(date '{START}' + cast(r.n as int), '%Y-%m-%d') from range({CRAWLS}) r(n)),
         q as (select source, n, count(*) filter (here) as a, count(*) filter (fresh) as b, count(*) filter (back or moved) as c, count(*) filter (lost) as d, count(*) filter (here and low) as e from g group by 1, 2)
         select 'run' as part, day, source as name, case when k = 1 and n = 1 then 'OSError: no page' when k = 1 and n = 2 then 'only N rows returned' else 'ok' end as what, a, b, c, d, e from q join s using (source) join d using (n)
+        union all (select 'recent', day, source, 'run', a, null, null, null, null from q join d using (n) order by day desc, source limit 12)
         union all select 'event', day, f, 'new', null, price, null, null, null from g join d using (n) where fresh
         union all select 'event', day, f, 'relisted', old, price, null, null, null from g join d using (n) where back
         union all select 'event', day, f, 'price_change', old, price, null, null, null from g join d using (n) where moved

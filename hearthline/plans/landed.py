@@ -40,9 +40,13 @@ def field_maps(spark: SparkSession, d: str) -> DataFrame:
     return jsonx.field_maps(_payloads(spark, d)).select("url", "n_records", F.to_json("fields").alias("fields"), "score")
 
 
-def endpoints(spark: SparkSession, d: str) -> DataFrame:
+def endpoints_of(spark: SparkSession, d: str) -> DataFrame:
     captures = _payloads(spark, d).withColumns({"content_type": F.lit("application/json; charset=utf-8"), "origin": F.lit("https://o.example")})
-    return jsonx.endpoints(captures).select("url", "score", "n_records", "seq")
+    return jsonx.endpoints(captures)
+
+
+def endpoints(spark: SparkSession, d: str) -> DataFrame:
+    return endpoints_of(spark, d).select("url", "score", "n_records", "seq")
 
 
 _SHAPES = "select l_orderkey as k, cast(count(*) as int) as n from lineitem where l_orderkey % 3 <> 2 group by 1 having count(*) >= 3"

@@ -7,7 +7,7 @@ The greedy matching walks each building's sorted pairs by recursion.
 from __future__ import annotations
 
 from hearthline.functions import text as T
-from hearthline.plans import histories, landed, mixed
+from hearthline.plans import histories, landed, mixed, trips
 from hearthline.plans.catalog import AGG, UP, _duck
 from hearthline.sources import htmlx
 
@@ -147,4 +147,10 @@ ORACLES: dict[str, str] = {
     "survey_rank": "select s_name as name, case s_suppkey % 4 when 0 then 'JSONLD' when 1 then 'PMS' when 2 then 'HTML' else 'DEAD' end as verdict, cast(row_number() over (order by case s_suppkey % 4 when 0 then 0 when 1 then 1 when 2 then 3 else 5 end, lower(s_name), s_name) as int) as place from supplier",
     "queue_slice": "select s_suppkey as seq, s_name, 'Acme PMS' as vendor from supplier where s_nationkey % 2 = 0 order by s_suppkey limit 20 offset 5",
 }
-ORACLES |= landed.EXPECTED | histories.EXPECTED | mixed.EXPECTED | {"stream_events": ORACLES["cdc_events"]}
+ORACLES |= landed.EXPECTED | histories.EXPECTED | mixed.EXPECTED | trips.EXPECTED
+ORACLES |= {
+    "stream_events": ORACLES["cdc_events"],
+    "fresh_leads": f"{MATCHES} select u_fp as upstream_fp, cast(lead as double) as lead_hours from m where abs(lead) <= 60 * 24 order by lead desc, u_fp limit 20",
+    "generated_entries": f"""with e as ({landed.EXPECTED["endpoints"]}) select concat('found_', substr(sha1(url), 1, 8)) as id, 'jsonapi' as type, url, true as enabled,
+        case when score - n_records // 10 = 11 then 'address,price,unit_raw' else 'address,beds,price,unit_raw' end as fields, concat('auto-discovered; ', n_records, ' records, score ', score) as notes from e""",
+}

@@ -113,6 +113,12 @@ def searches(base: str) -> list[str]:
     return [f"{base}/{a}/{b}" for a in AREAS for b in BED_SEARCHES]
 
 
+def search_pages(bases: DataFrame) -> DataFrame:
+    """searches() of every site: base and url."""
+    paths = F.array(*map(F.lit, searches("")))
+    return bases.select("base", F.explode(paths).alias("path")).select("base", F.concat("base", "path").alias("url"))
+
+
 def cards(pages: DataFrame, source: str, now: Column, base: str) -> DataFrame:
     """Raw records of result cards; pages has url, html and seq (their order). Of equal refs the first stays."""
     rows = pages.select("url", "seq", F.posexplode(F.regexp_extract_all("html", F.lit(CARD), F.lit(1))).alias("pos", "c"))
