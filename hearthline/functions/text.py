@@ -6,6 +6,7 @@ Patterns use (?U) where words and digits are meant in the Unicode sense.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
@@ -84,6 +85,9 @@ POST_PLACES = (
     "jackson heights", "forest hills", "elmhurst", "mott haven", "dumbo",
 )
 BEYOND_ASCII, PARTING = r"[^\x00-\x7F]", "\x1f"
+#: The composed Korean syllables, and the letters that they are made of, first, middle and last.
+SYLLABLES = "\uac00", "\ud7a3"
+JAMO = tuple("".join(map(chr, range(a, b))) for a, b in ((0x1100, 0x1113), (0x1161, 0x1176), (0x11A8, 0x11C3)))
 RENT_BAND, AREA_BAND, MOST_BEDS, POST_RENT_BAND = (500, 100_000), (80, 20_000), 12, (500, 30_000)
 
 
@@ -107,9 +111,9 @@ def mapped(pairs: dict[str, str]) -> Column:
 @lru_cache(1)
 def _folds() -> tuple[str, str, str, str]:
     """By compatibility decomposition of every code point, without combining marks: the characters that become one other and what
-    they become (those beyond its end are dropped), and the characters that become several with their texts, parted by PARTING (the first is empty)."""
+    they become (those beyond its end are dropped), and the characters that become several with their texts, parted by PARTING (the first is empty); Korean syllables follow a rule."""
     source, target, dropped, several, texts = [], [], [], [], [""]
-    for code in [*range(0x80, 0xD800), *range(0xE000, 0x110000)]:
+    for code in [*range(0x80, ord(SYLLABLES[0])), *range(ord(SYLLABLES[1]) + 1, 0xD800), *range(0xE000, 0x110000)]:
         c = chr(code)
         bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
         if bare == c:
@@ -144,9 +148,14 @@ def strip_accents(c: Column | str) -> Column:
     source, target, several, texts = _folds()
     held, spread = F.lit(several), F.split(F.lit(texts), PARTING)  # the latter is folded to a constant
 
+    def syllable(x: Column) -> Column:
+        at = F.ascii(x) - ord(SYLLABLES[0])
+        place = lambda letters, n: F.substring(F.lit(letters), n + 1, 1)
+        return F.concat(place(JAMO[0], F.floor(at / 588).cast("int")), place(JAMO[1], F.floor(at % 588 / 28).cast("int")), F.when(at % 28 > 0, place(JAMO[2], at % 28 - 1)).otherwise(""))
+
     def apart(s: Column) -> Column:
         chars = F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0))
-        return F.array_join(F.transform(chars, lambda x: F.when(x < "\x80", x).otherwise(F.coalesce(F.nullif(F.get(spread, F.instr(held, x)), F.lit("")), x))), "")
+        return F.array_join(F.transform(chars, lambda x: F.when(x < "\x80", x).when(x.between(*SYLLABLES), syllable(x)).otherwise(F.coalesce(F.nullif(F.get(spread, F.instr(held, x)), F.lit("")), x))), "")
 
     def fold(s: Column) -> Column:
         return F.when(~s.rlike(BEYOND_ASCII), s).otherwise(bound(F.translate(s, source, target), lambda t: F.when(~t.rlike(BEYOND_ASCII), t).otherwise(apart(t))))
@@ -207,10 +216,19 @@ def unit_from_title(title: Column | str, address: Column | str) -> Column:
     return F.coalesce(F.when(marked != "", normalize_unit(marked)).otherwise(normalize_unit(last)), F.lit(""))
 
 
+def first_named(low: Column, names: dict[str, str]) -> Column:
+    """What the first of the names (in their order, wherever they stand) that a text holds stands for.
+
+    At each place a look ahead finds the first name that begins there, so one pass of one pattern finds what asking for each name would.
+    """
+    ranked = {n: f"{k:04}{of}" for k, (n, of) in enumerate(names.items())}
+    found = F.regexp_extract_all(low, F.lit(f"(?=({'|'.join(map(re.escape, names))}))"), F.lit(1))
+    return F.substring(F.array_min(F.transform(found, lambda n: F.try_element_at(mapped(ranked), n))), 5, 100)
+
+
 def infer_borough(c: Column | str) -> Column:
     """A borough named in the text, else that of a neighbourhood named in it, in fixed order."""
-    named = [(b.lower(), b) for b in BOROUGHS] + list(NEIGHBORHOODS.items())
-    return bound(F.lower(strip_accents(c)), lambda low: F.coalesce(*[F.when(low.contains(n), b) for n, b in named]))
+    return first_named(F.lower(strip_accents(c)), {b.lower(): b for b in BOROUGHS} | {n: b for n, b in NEIGHBORHOODS.items() if n not in {x.lower() for x in BOROUGHS}})
 
 
 def borough_from_zip(c: Column | str) -> Column:
@@ -292,7 +310,7 @@ def post_fields(title: Column | str, body: Column | str) -> Column:
         F.array_min(F.filter(prices, lambda p: p.between(*POST_RENT_BAND))).alias("price"),
         F.nullif(F.regexp_extract(text, POST_BEDS, 1), F.lit("")).alias("beds"),
         F.nullif(F.trim(F.regexp_extract(text, POST_ADDRESS, 1)), F.lit("")).alias("address"),
-        bound(F.lower(text), lambda low: F.coalesce(*[F.when(low.contains(p), p) for p in POST_PLACES])).alias("neighborhood"),
+        first_named(F.lower(text), {p: p for p in POST_PLACES}).alias("neighborhood"),
     )
 
 
