@@ -199,6 +199,12 @@ def match_counters(spark: SparkSession, d: str) -> DataFrame:
     return ledger.run_counters(_book(spark, d)[1])
 
 
+def match_counters_again(spark: SparkSession, d: str) -> DataFrame:
+    """The counters of a second pairing, over a ledger that holds the first one's measurements but has lost half of its entries."""
+    book = _book(spark, d)[0].where("fingerprint >= '8'")
+    return ledger.run_counters(ledger.judge(match.matches(_state(spark, d), _runs(spark), UP, AGG), book))
+
+
 def _pairs_ledger(spark: SparkSession, d: str) -> DataFrame:
     """A ledger made straight from the listings, so that SQL can follow it: each order's own dates as its two clocks."""
     x = _state(spark, d)
@@ -225,8 +231,9 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_anchors(spark: SparkSession, d: str) -> DataFrame:
-    pair = F.posexplode(F.regexp_extract_all("html", F.lit(htmlx.ANCHOR), F.lit(1))).alias("pos", "href")
-    return _pages(spark, d).select("page_id", pair)
+    """The links of each page that lead to addresses, in their places."""
+    pages = _pages(spark, d).select(F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("url"), "html")
+    return htmlx.anchors(pages).select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("page_id"), "pos", "href", "link")
 
 
 def page_links(spark: SparkSession, d: str) -> DataFrame:
@@ -245,8 +252,8 @@ def verdict_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_counts(spark: SparkSession, d: str) -> DataFrame:
-    p = _pages(spark, d)
-    return p.select("page_id", F.size(F.array_distinct(F.regexp_extract_all("html", F.lit(htmlx.RENT_IN_PAGE), F.lit(0)))).alias("prices"), F.regexp_count("html", F.lit(htmlx.BED_IN_PAGE)).alias("beds"), F.floor(F.length("html") / 1024).cast("int").alias("kb"))
+    pages = _pages(spark, d).select(F.col("page_id").cast("string").alias("url"), "html")
+    return htmlx.building_verdicts(pages).select(F.col("url").cast("long").alias("page_id"), "prices", "beds", "units")
 
 
 def page_details(spark: SparkSession, d: str) -> DataFrame:
@@ -304,7 +311,7 @@ def normalized(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        lead_report, lead_distribution, lead_by_basis, lead_by_aggregator, match_candidates, greedy_match, match_counters, text_fields, numbers, stamps, fingerprints, titles, geo_lookup, normalized,
+        lead_report, lead_distribution, lead_by_basis, lead_by_aggregator, match_candidates, greedy_match, match_counters, match_counters_again, text_fields, numbers, stamps, fingerprints, titles, geo_lookup, normalized,
         active_listings, new_since, summary, criteria, second_run, cdc_events, cdc_verdicts, mark_gone, page_anchors, page_links, page_verdicts, verdict_totals, page_counts, page_details, page_markup,
         social, json_dig, json_records, survey_rank, queue_slice,
     )

@@ -122,18 +122,24 @@ ORACLES: dict[str, str] = {
     "lead_distribution": f"with t as {LEAD} {DISTRIBUTION}",
     "greedy_match": f"{MATCHES} select building, u_fp as upstream_fp, a_fp as aggregator_fp, matched_by, basis from m",
     "match_counters": f"{MATCHES} select count(*) as pairs_found, count(*) filter (abs(lead) <= 60 * 24) as recorded, 0 as already_measured, 0 as unusable, count(*) filter (abs(lead) > 60 * 24) as implausible, count(*) filter (matched_by = 'building+beds+price') as exact_price from m",
+    "match_counters_again": f"""{MATCHES} select count(*) as pairs_found, 0 as recorded, count(*) filter (abs(lead) <= 60 * 24 and u_fp >= '8') as already_measured,
+        count(*) filter (abs(lead) <= 60 * 24 and u_fp < '8') as unusable, count(*) filter (abs(lead) > 60 * 24) as implausible, count(*) filter (matched_by = 'building+beds+price') as exact_price from m""",
     "lead_report": f"""{MATCHES}, t as (select case when abs(m.lead) <= 60 * 24 then cast(m.lead as double) end as lead_hours, m.basis from (select distinct fingerprint from {L} where source in ({_list(UP)})) b left join m on m.u_fp = b.fingerprint) {DISTRIBUTION}""",
     "page_markup": "select concat('https://x.example/', p_partkey) as source_url, concat(p_partkey, ' Elm St') as address, p_retailprice as price, p_name as title from part",
     "lead_by_basis": f"with t as {LEAD} select basis, count(*) as n from t where {USE} group by 1",
     "lead_by_aggregator": f"with t as {LEAD} select aggregator, count(*) as n from t where lead_hours is not null group by 1",
-    "page_anchors": f"select page_id, cast(unnest(generate_series(0, len(h) - 1)) as int) as pos, unnest(h) as href from (select page_id, regexp_extract_all(html, '{htmlx.ANCHOR}', 1) as h from pages)",
+    # addresses of the pages are absolute or begin at the site's root, without dots
+    "page_anchors": f"""select page_id, cast(pos as int) as pos, href, regexp_replace(case when starts_with(href, '/') then concat(regexp_extract(url, '^[a-z]+://[^/?#]*'), href) else href end, '[?#].*$', '') as link
+        from (select page_id, url, unnest(generate_series(0, len(h) - 1)) as pos, unnest(h) as href from (select page_id, url, regexp_extract_all(html, '{htmlx.ANCHOR}', 1) as h from pages))
+        where starts_with(href, '/') or starts_with(href, 'http')""",
     # the two links that the query adds to each page are all that score; numbers of five digits aren't house numbers
     "page_links": """with p as (select url, page_id < 10000 as house, regexp_extract(url, '^[a-z]+://[^/?#]*') as root, cast(page_id as varchar) as k from pages),
         t as (select *, root || '/available-apartments/' || k as flats, root || '/buildings/' || k || '-main-st' as building, k || ' East 21st Street' as name from p)
         select url, flats as link, 'Available apartments' as label, 9 as score, 1 as place from t
         union all select url, building, name, case when house then 9 else 4 end, 1 from t union all select url, flats, 'Available apartments', 1, 2 from t
         union all select url, building, name, case when house then 13 else 6 end, 1 from t union all select url, flats, 'Available apartments', 2, 2 from t""",
-    "page_counts": f"select page_id, cast(len(list_distinct(regexp_extract_all(html, '{htmlx.RENT_IN_PAGE}'))) as int) as prices, cast(len(regexp_extract_all(html, '{htmlx.BED_IN_PAGE}')) as int) as beds, cast(length(html) // 1024 as int) as kb from pages",
+    "page_counts": f"""select page_id, cast(len(list_distinct(regexp_extract_all(html, '{htmlx.RENT_IN_PAGE}'))) as int) as prices, cast(len(regexp_extract_all(html, '{htmlx.BED_IN_PAGE}')) as int) as beds,
+        cast(len(regexp_extract_all(html, '{htmlx.UNIT_IN_PAGE}')) as int) as units from pages""",
     "page_verdicts": f"""select concat(url, '#', page_id) as url, case when v then 'PMS' when length(html) // 1024 < 40 then 'SPA' else 'HTML' end as verdict, case when v then 1 when length(html) // 1024 < 40 then 2 else 3 end as rank
         from (select *, regexp_matches(lower(html), '\\b({"|".join(htmlx.VENDOR_TOKENS)})\\.(com|net|us|io)\\b') as v from pages)""",
     "verdict_totals": f"""select verdict, count(*) as n, round(count(*) / cast(sum(count(*)) over () as double), 6) as share from (select case when regexp_matches(lower(html), '\\b({"|".join(htmlx.VENDOR_TOKENS)})\\.(com|net|us|io)\\b') then 'PMS' when length(html) // 1024 < 40 then 'SPA' else 'HTML' end as verdict from pages) group by 1""",

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from urllib.parse import urljoin
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
@@ -57,17 +56,37 @@ FALLBACK = ("/apartments", "/availability", "/rentals")
 AREAS, BED_SEARCHES = ("downtown-manhattan", "midtown-manhattan", "upper-manhattan", "uptown-manhattan", "brooklyn", "queens"), ("studio", "1br", "2br", "3more")
 
 
-@F.pandas_udf(StringType())
-def resolve_url(base: pd.Series, href: pd.Series) -> pd.Series:
-    """href as an absolute address; null if it can't be one."""
+def _without_dots(segments: Column) -> Column:
+    """A path's segments joined, `.` and `..` followed."""
+    up = lambda kept: F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
+    kept = F.aggregate(segments, F.array().cast("array<string>"), lambda kept, x: F.when(x == "..", up(kept)).when(x == ".", kept).otherwise(F.concat(kept, F.array(x))))
+    last = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    joined = F.array_join(F.concat(kept, last), "/")
+    return F.when(joined == "", "/").otherwise(joined)
+
+
+def resolve_url(base: Column | str, href: Column | str) -> Column:
+    """href as an absolute address, seen from the page at base (an address with a host); null if either is, or its host is malformed."""
+    base, href = (F.col(c) if isinstance(c, str) else c for c in (base, href))
+    part = lambda c, n: F.regexp_extract(c, r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$", n)
 
-    def one(b: str | None, h: str | None) -> str | None:
-        try:
-            return None if b is None or h is None else urljoin(b, h)
-        except ValueError:
-            return None
+    def joined(b: Column, h: Column) -> Column:
+        scheme, own, path_, query = part(h, 1), part(h, 2), part(h, 3), part(h, 4)
+        root = F.concat(part(b, 1), F.lit(":"), part(b, 2))
+        whole = F.split(part(b, 3), "/")
+        folder = F.when(F.element_at(whole, -1) != "", F.slice(whole, 1, F.size(whole) - 1)).otherwise(whole)
+        merged = F.concat(folder, F.split(path_, "/"))
+        inner = F.filter(F.slice(merged, 2, F.greatest(F.size(merged) - 2, F.lit(0))), lambda x: x != "")
+        merged = F.when(F.size(merged) > 1, F.concat(F.slice(merged, 1, 1), inner, F.slice(merged, -1, 1))).otherwise(merged)
+        path_ = F.when(path_ == "", part(b, 3)).when(path_.startswith("/"), _without_dots(F.split(path_, "/"))).otherwise(_without_dots(merged))
+        rooted = F.when((path_ == "") | path_.startswith("/"), path_).otherwise(F.concat(F.lit("/"), path_))
+        asked = F.when((part(h, 3) == "") & (query == ""), part(b, 4)).otherwise(query)
+        other = (scheme != "") & (F.lower(scheme) != F.lower(part(b, 1)))
+        found = F.when(h == "", b).when(other, h).when(own != "", F.concat(part(b, 1), F.lit(":"), own, part(h, 3), query, part(h, 5))).otherwise(F.concat(root, rooted, asked, part(h, 5)))
+        return F.when(~F.translate(own, "[]", "").eqNullSafe(own) & ~own.rlike(r"^//[^\[\]]*\[[^\[\]]*\][^\[\]]*$"), None).otherwise(found)
 
-    return pd.Series([one(b, h) for b, h in zip(base, href, strict=True)], dtype=object)
+    clean = F.regexp_replace(href, r"^[\x00-\x20]+|[\t\r\n]", "")
+    return F.element_at(F.transform(F.array(F.struct(base.alias("b"), clean.alias("h"))), lambda x: joined(x["b"], x["h"])), 1)
 
 
 @F.pandas_udf(StringType())
@@ -151,7 +170,7 @@ def cards(pages: DataFrame, source: str, now: Column, base: str) -> DataFrame:
 def detail_links(pages: DataFrame, pattern: str, cap: int = 60) -> DataFrame:
     """Distinct detail addresses of index pages (url, html, seq) in order of their first place, at most cap (a feature of the crawl)."""
     rows = pages.select("url", "seq", F.posexplode(F.regexp_extract_all("html", F.lit(pattern), F.lit(0))).alias("pos", "href"))
-    found = rows.select(bare(resolve_url("url", "href")).alias("link"), F.struct("seq", "pos").alias("at")).where("link is not null")
+    found = T.once(rows, "link", bare(resolve_url("url", "href"))).select("link", F.struct("seq", "pos").alias("at")).where("link is not null")
     return found.groupBy("link").agg(F.min("at").alias("at")).orderBy("at").limit(cap).select("link", "at.seq", "at.pos")
 
 
@@ -284,7 +303,7 @@ def anchors(pages: DataFrame) -> DataFrame:
     """Links of pages (url, html): url, pos, href, label, link (absolute, bare), link_host, link_path."""
     pair = F.arrays_zip(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(2)).alias("inner"))
     rows = pages.select("url", F.posexplode(pair).alias("pos", "a")).select("url", "pos", "a.href", T.plain_text(F.col("a.inner")).alias("label"))
-    rows = rows.withColumn("link", resolve_url("url", "href")).where(F.col("link").rlike("(?i)^https?://"))
+    rows = T.once(rows, "link", resolve_url("url", "href")).where(F.col("link").rlike("(?i)^https?://"))
     return rows.withColumns({"link_host": host("link"), "link_path": path("link"), "link": bare("link")})
 
 

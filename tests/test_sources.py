@@ -1,5 +1,6 @@
 import json
 import random
+from urllib.parse import urljoin
 
 import pytest
 from pyspark.sql import functions as F
@@ -213,6 +214,26 @@ def test_pages_do_not_move(spark):
         assert "Join" not in plan and "Exchange" not in plan
 
 
+def test_addresses_are_resolved_as_urljoin_does(spark):
+    r = random.Random(1)
+    piece = lambda: r.choice(["a", "b.html", "..", ".", "", "c-d", "x y", "é"])
+    way = lambda: "/".join(piece() for _ in range(r.randint(0, 4)))
+    bases = ["https://a.example", "http://A.example:80/", "https://a.example/x/y.html?q=1#f", *(f"https://h.example/{way()}" for _ in range(20))]
+    hrefs = ["", "#top", "?q=2", "//other.example/p", "mailto:x@y", "javascript:void(0)", "HTTPS://b.example/Z", "http://b.example", "/", "/a/../b", "../..", " /sp ", "a\nb", "https:rel/x", "tel:1", "./", "x?y=/../z", "http://[bad/x", "//[::1]/x"]
+    hrefs += [way() + r.choice(["", "?a=b", "#f", "?a#f"]) for _ in range(40)] + ["/" + way() for _ in range(30)]
+
+    def want(base, href):
+        try:
+            return urljoin(base, href)
+        except ValueError:
+            return None
+
+    rows = [(b, h) for b in bases for h in hrefs]
+    out = spark.createDataFrame([*rows, (None, "x"), ("https://a.example", None)], "b string, h string").select("b", "h", htmlx.resolve_url("b", "h").alias("u"))
+    assert not [x for x in out.collect() if x.u != (want(x.b, x.h) if x.b and x.h is not None else None)]
+    assert "Python" not in htmlx.navigation(spark.createDataFrame([("https://a.example", "")], "url string, html string"))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_building_pages_move_no_body_before_the_choice(spark):
     """The last landing counts; keys and hashes alone are shuffled, bodies only once they are chosen."""
     pages = spark.createDataFrame([("https://b.example/1?x=1", "old", 1), ("https://b.example/1", "new", 2), ("https://b.example/1#a", "mid", 1), ("https://b.example/2", "two", 9), ("https://b.example/2", "two", 9), ("https://b.example/3", None, 1)], "url string, html string, seq long")
