@@ -160,6 +160,21 @@ def without(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS, on: tuple[
     return rest.select("row.*").unionByName(some.join(_ids(ids, on).distinct().hint("shuffle_hash"), _keys(on), "left_anti").select("row.*"))
 
 
+def copies_numbered(rows: DataFrame, heavy: int = 1000, chunk: int = 10_000) -> DataFrame:
+    """rows with `copy`: 0, but 1, 2, .. for equal rows that are more than a `heavy`-th of all, so that a hash of row and copy spreads them.
+
+    Such rows are counted and made anew, chunk by chunk; so their numbers don't depend on
+    where they stood. At most `heavy` rows are broadcast. rows should be stored.
+    """
+    bound = max(1, -(-rows.count() // heavy))
+    many = cut(rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")).where(F.col("copies") > bound))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"m.{c}")) for c in rows.columns]
+    others = rows.alias("r").join(F.broadcast(many.alias("m")), same, "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    chunks = many.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / chunk)))).repartition(*rows.columns, "chunk")
+    anew = chunks.withColumn("copy", F.explode(F.sequence(F.col("chunk") * chunk + 1, F.least(F.col("copies"), (F.col("chunk") + 1) * chunk))))
+    return others.unionByName(anew.select(*rows.columns, "copy"))
+
+
 def _keys(on: tuple[str, ...]) -> list[str]:
     return [f"k{i}" for i in range(len(on))]
 

@@ -20,8 +20,8 @@ between fixed bounds, and LEAST_SLOTS for each source that fills fewer.
 Null and empty texts have size 0 and are taken 0 times; a text of any length is counted
 whole and may be cut by many blocks. A null doc_id is a document like any other. A null
 source is a source, the last. An empty table, or one without words, has targets 0. Repeated rows are rows
-of their own; ties in the shuffle are broken by doc_id, and among equal rows by
-place. Columns of other names are left aside.
+of their own, dealt anew by a number each where they are more than a thousandth of
+all; ties in the shuffle are broken by doc_id, and among equal rows by place. Columns of other names are left aside.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import cut, store, table
+from hearthline.llm.common import copies_numbered, cut, store, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -127,8 +127,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     taken = schedule(sources, n_sources, sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0])
     bins = max(1, min(1 << 16, n_rows // BIN_ROWS))
     sources = sources.select("source", "rank", "source_size", "target", "length")
+    rows = cut(copies_numbered(rows))
     rows = rows.join(_if_small(sources, n_sources), rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "h", F.lit(17))).withColumn("bin", F.pmod("key", F.lit(bins)))
+    key = F.xxhash64("doc_id", "h", F.lit(17))
+    rows = rows.withColumn("key", F.when(F.col("copy") == 0, key).otherwise(F.xxhash64("doc_id", "h", "copy", F.lit(17)))).drop("copy").withColumn("bin", F.pmod("key", F.lit(bins)))
     sums = rows.groupBy("rank", "bin").agg(F.sum("size").alias("n"))
     upto = Window.partitionBy("rank").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("rank", "bin", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))

@@ -18,7 +18,8 @@ hashed and measured whole; one longer than an equal share fills its shard. A nul
 doc_id changes nothing: rows are placed by text, and come first among equal texts.
 An empty table gives no rows; with fewer groups than shards some shards are empty.
 Repeated rows are rows of their own in the shard of their text; ties of doc_id are
-broken by place only among equal rows. Other columns are left aside, whatever their
+broken by place only among equal rows, of which those that are more than a thousandth
+of the table are dealt to bins by a number of their own. Other columns are left aside, whatever their
 names. Law: `bytes`; grown_shard is null.
 """
 
@@ -30,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import cut, table
+from hearthline.llm.common import copies_numbered, cut, table
 
 SHARDS = 40
 OVERHEAD = 16
@@ -186,7 +187,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERH
     for first in firsts:
         shard = shard + (F.col("h") >= first).cast("int")
     bins = max(1, min(4096, rows.count() // (shards * SLOT_ROWS)))
-    placed = rows.withColumn("shard", shard).withColumn("bin", F.pmod(F.xxhash64("doc_id", "h"), F.lit(bins)).cast("int"))
+    bin_ = F.when(F.col("copy") == 0, F.xxhash64("doc_id", "h")).otherwise(F.xxhash64("doc_id", "h", "copy"))
+    placed = cut(copies_numbered(rows).withColumn("shard", shard).withColumn("bin", F.pmod(bin_, F.lit(bins)).cast("int")))
     sums = placed.groupBy("shard", "bin").agg(F.count("*").alias("n"))  # at most shards * 4096 rows
     before = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("shard", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

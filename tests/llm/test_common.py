@@ -51,3 +51,15 @@ def test_components(spark):
 
 def test_store(docs):
     assert common.store(docs.select("doc_id", F.lit(1).alias("one"))).count() == docs.count()
+
+
+def test_equal_rows_are_numbered(spark):
+    """Rows that are a good part of all get numbers, wherever they stood; no row is lost or gained, nulls are equal to nulls."""
+    rows = [(None, None, 1)] * 250 + [(7, "a", 2)] * 120 + [(k, "b", 3) for k in range(300)] + [(5, "c", 4)] * 2
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "doc_id long, source string, h long").repartition(parts)
+        got = [tuple(x) for x in common.copies_numbered(df, heavy=100, chunk=64).collect()]
+        assert sorted(((a, b, c) for a, b, c, _ in got), key=str) == sorted(rows, key=str)
+        assert sorted(n for *_, c, n in got if c == 1) == list(range(1, 251)) and sorted(n for *_, c, n in got if c == 2) == list(range(1, 121))
+        assert {n for *_, c, n in got if c > 2} == {0}
+    assert common.copies_numbered(df.where("false")).count() == 0

@@ -784,3 +784,22 @@ def test_secret_scan_of_many_secrets_in_one_text():
         assert all(text.decode()[x["start"] : x["end"]] == "0123456789abcdef0123456789abcdef01234567" for x in spans[-3:])
         assert clean.decode() == one.replace("0123456789abcdef0123456789abcdef01234567", "[S]") * n
     assert took[1] < 20 * took[0]
+
+
+def test_one_row_that_fills_the_table(spark):
+    """A row repeated 3000 times: shards stay gapless, the mix near its targets, whatever the partitions."""
+    rows = [(1, "the same few words again", "s1")] * 3000 + [(k, f"other words {k} here", f"s{k % 3}") for k in range(2, 400)]
+    seen = []
+    for parts in (1, 6):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        placed = sharding.shard_documents(df, shards=3).collect()
+        for shard in range(3):
+            slots = sorted(x.slot for x in placed if x.shard == shard)
+            assert slots == list(range(len(slots)))
+        mixed = mixing.mix(df).collect()
+        assert len(placed) == len(mixed) == len(rows) and max(x.taken / x.size for x in mixed) <= 2
+        for s in ("s0", "s1", "s2"):
+            mine = [x for x in mixed if x.source == s]
+            assert abs(sum(x.taken for x in mine) - mine[0].target) <= 1
+        seen.append(sorted((x.doc_id, x.source, x.taken, x.copies) for x in mixed))
+    assert seen[0] == seen[1]
