@@ -135,6 +135,23 @@ def lot_numbers(spark: SparkSession, d: str) -> DataFrame:
     return geo.lookup(asked, nothing, nothing, known).select("query", "outcome", "bbl", "bin", "label")
 
 
+ROBOTS = (
+    "User-agent: *\nDisallow: /private", "User-agent: bot # ours\nDisallow: /\nAllow: /x\n\nUser-agent: *\nDisallow:",
+    "User-agent: other\nUser-agent: third\nDisallow: /\n\nUser-agent: *\nCrawl-delay: 2\nAllow: /private/ok\nDisallow: /private\n\nDisallow: /y",
+)
+
+
+def robots_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of sites with and without a robots file, asked for by one agent."""
+    k = F.col("s_suppkey")
+    site = F.concat(F.lit("s"), k)
+    sites = _read(spark, d, "supplier")
+    files = sites.select(site.alias("site"), F.get(F.array(*map(F.lit, ROBOTS)), (k % 4 - 1).cast("int")).alias("body"))
+    pages = F.explode(F.array(*map(F.lit, ("/private/ok/1", "/private/2?z=1", "/y", "")))).alias("page")
+    asked = sites.select(site.alias("site"), F.lit("Bot/1.0").alias("agent"), pages).withColumn("url", F.concat(F.lit("https://"), "site", F.lit(".example"), "page"))
+    return htmlx.robots_verdicts(asked, files).select("site", "page", "verdict")
+
+
 _NODES = "p_partkey % 6 * 2"
 EXPECTED: dict[str, str] = {
     "mixed_registry": """select * from (
@@ -155,10 +172,13 @@ EXPECTED: dict[str, str] = {
         case s_suppkey % 6 when 0 then 'https://12.securecafe.com/a' when 3 then 'https://onesite.realpage.com/a' when 5 then 'https://myresman.com/a' else '' end as link from supplier""",
     "accented_streets": """select c_custkey, concat(c_custkey, ' ', case c_custkey % 8 when 0 then 'rue elysee st' when 1 then 'ave n' when 2 then 'fifth canon rd' when 3 then '1 angstrom blvd'
         when 4 then 'dzamonja st' when 5 then 'HANGUL ave' when 6 then 'ete ln' else 'main st' end) as street from customer""".replace("HANGUL", "한강"),
+    "robots_checks": """select concat('s', s_suppkey) as site, page, case s_suppkey % 4 when 0 then 'none' when 2 then 'DISALLOW'
+        when 1 then case when starts_with(page, '/private') then 'DISALLOW' else 'allow' end else case when page = '/private/2?z=1' then 'DISALLOW' else 'allow' end end as verdict
+        from supplier, (values ('/private/ok/1'), ('/private/2?z=1'), ('/y'), ('')) as p(page)""",
     "lot_numbers": """with t as (select *, s_suppkey % 3 <> 0 and s_suppkey % 5 <> 0 as known from supplier)
         select concat(s_suppkey, ' elm st Bronx') as query, case when known then 'fallback' else 'empty' end as outcome,
         case when known then concat('2', lpad(cast(s_suppkey % 7000 as varchar), 5, '0'), lpad(cast(s_suppkey % 900 as varchar), 4, '0')) end as bbl,
         case when known then concat('1', s_suppkey) end as bin, case when known then concat(s_suppkey, ' ELM STREET, BRONX') end as label from t""",
 }
 
-QUERIES = {f.__name__: f for f in (mixed_registry, declared_lists, declared_buildings, rejected_captures, rejected_posts, vendor_links, accented_streets, lot_numbers)}
+QUERIES = {f.__name__: f for f in (mixed_registry, declared_lists, declared_buildings, rejected_captures, rejected_posts, vendor_links, accented_streets, lot_numbers, robots_checks)}

@@ -4,12 +4,9 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from urllib.robotparser import RobotFileParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from hearthline.cluster import cut
 from hearthline.functions import text as T
@@ -89,20 +86,59 @@ def resolve_url(base: Column | str, href: Column | str) -> Column:
     return F.element_at(F.transform(F.array(F.struct(base.alias("b"), clean.alias("h"))), lambda x: joined(x["b"], x["h"])), 1)
 
 
-@F.pandas_udf(StringType())
-def robots_verdict(body: pd.Series, agent: pd.Series, url: pd.Series) -> pd.Series:
-    """allow or DISALLOW by a robots file; none without one. A file is parsed once a batch."""
-    parsed: dict[str, RobotFileParser] = {}
+def _quoted(c: Column) -> Column:
+    """Percent-encoded but for letters, digits and `_.-~/`."""
+    out = F.url_encode(c)
+    for a, b in (("+", "%20"), ("*", "%2A"), ("%2F", "/"), ("%7E", "~")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
 
-    def one(b: str | None, a: str, u: str) -> str:
-        if b is None:
-            return "none"
-        if b not in parsed:
-            parsed[b] = RobotFileParser()
-            parsed[b].parse(b.splitlines())
-        return "allow" if parsed[b].can_fetch(a, u) else "DISALLOW"
 
-    return pd.Series([one(*x) for x in zip(body, agent, url, strict=True)], dtype=object)
+def _unquoted(c: Column) -> Column:
+    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+
+
+def robots_rules(files: DataFrame) -> DataFrame:
+    """site and `entries` of robots files (site, body): for each group of agents its place, agents (lower case) and rules (place, allow, path), in order.
+
+    A group is a run of user-agent lines with the rules behind it, up to a blank line;
+    rules behind none count for nobody, nor do agents without rules.
+    """
+    lines = files.where("body is not null").select("site", F.posexplode(F.split("body", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")).alias("pos", "line"))
+    stripped = F.trim(F.regexp_replace(F.regexp_replace("line", "#.*$", ""), r"^\s+|\s+$", ""))
+    key = F.lower(F.regexp_extract(stripped, r"^([^:]*?)\s*:", 1))
+    value = _unquoted(F.regexp_replace(stripped, r"^[^:]*:\s*", ""))
+    kind = F.when(F.col("line") == "", "end").when(key == "user-agent", "agent").when(key.isin("allow", "disallow", "crawl-delay", "request-rate"), "rule")
+    rows = lines.select("site", "pos", kind.alias("kind"), key.alias("key"), value.alias("value")).where("kind is not null")
+    w = Window.partitionBy("site").orderBy("pos")  # of one file
+    before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("opens", (F.col("kind") == "agent") & ~F.lag("kind").over(w).eqNullSafe(F.lit("agent")))
+    rows = rows.withColumns({"entry": F.sum(F.col("opens").cast("int")).over(before), "state": F.last(F.when(F.col("kind") != "rule", F.col("kind")), ignorenulls=True).over(before)})
+    rows = rows.where("kind != 'end' and state = 'agent'")
+    path_ = _quoted(F.regexp_replace(F.regexp_replace("value", r"\?(?=#|$)", ""), "#$", ""))
+    allow = (F.col("key") == "allow") | (F.col("value") == "")
+    rule = F.when(F.col("key").isin("allow", "disallow"), F.struct("pos", allow.alias("allow"), path_.alias("path")))
+    groups = rows.groupBy("site", "entry").agg(F.collect_set(F.when(F.col("kind") == "agent", F.lower("value"))).alias("agents"), F.array_sort(F.collect_list(rule)).alias("rules"), F.count_if(F.col("kind") == "rule").alias("n"))
+    return groups.where("n > 0").groupBy("site").agg(F.array_sort(F.collect_list(F.struct("entry", "agents", "rules"))).alias("entries"))
+
+
+def robots_verdicts(asked: DataFrame, files: DataFrame) -> DataFrame:
+    """asked (site, agent, url) with `verdict`: allow or DISALLOW by the site's robots file, none without one.
+
+    The first group that names the agent counts, else the first for all agents; in it the
+    first rule whose path begins the address's. A file is parsed once, whatever is asked of it.
+    """
+    known = files.where("body is not null").groupBy("site").agg(F.min("body").alias("body"))
+    rules = known.select("site", F.lit(True).alias("has")).join(robots_rules(known), "site", "left")
+    local = F.regexp_replace(_unquoted(F.col("url")), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?", "")
+    local = _quoted(F.regexp_replace(F.regexp_replace(local, r"\?(?=#|$)", ""), "#$", ""))
+    rows = asked.join(rules, "site", "left").withColumns({"local": F.when(local == "", "/").otherwise(local), "name": F.lower(F.substring_index("agent", "/", 1))})
+    star = lambda e: F.array_contains(e["agents"], "*")
+    named = F.filter("entries", lambda e: ~star(e) & F.exists(e["agents"], lambda a: F.col("name").contains(a)))
+    chosen = F.coalesce(F.try_element_at(named, F.lit(1)), F.try_element_at(F.filter("entries", star), F.lit(1)))
+    first = F.try_element_at(F.filter(chosen["rules"], lambda r: F.col("local").startswith(r["path"])), F.lit(1))
+    verdict = F.when(F.col("has").isNull(), "none").when(F.coalesce(first["allow"], F.lit(True)), "allow").otherwise("DISALLOW")
+    return rows.select(*[F.col(c) for c in asked.columns], verdict.alias("verdict"))
 
 
 def host(url: Column | str) -> Column:

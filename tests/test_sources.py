@@ -1,6 +1,7 @@
 import json
 import random
 from urllib.parse import urljoin
+from urllib.robotparser import RobotFileParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,8 +113,27 @@ def test_survey(spark):
     assert {r.domain: r.verdict for r in htmlx.reachable(f).collect()} == {"a": "BLOCKED", "b": "DEAD", "c": "OK", "d": "BLOCKED"}
     ranked = spark.createDataFrame([("s", "home", "HTML", 3, True, 0), ("s", "nav1", "HTML", 3, False, 1), ("s", "nav2", "HTML", 3, False, 2), ("t", "home", "JSONLD", 0, True, 0), ("t", "nav", "JSONLD", 0, False, 1)], "site string, url string, verdict string, rank int, is_home boolean, pos int")
     assert {r.site: r.url for r in htmlx.best_pages(ranked).collect()} == {"s": "nav1", "t": "home"}
-    robots = spark.createDataFrame([("User-agent: *\nDisallow: /x", "bot", "https://a/x/1"), ("User-agent: *\nDisallow: /x", "bot", "https://a/y"), (None, "bot", "https://a/y")], "b string, a string, u string")
-    assert [r[0] for r in robots.select(htmlx.robots_verdict("b", "a", "u")).collect()] == ["DISALLOW", "allow", "none"]
+
+
+def test_robots_as_the_standard_parser_reads_them(spark):
+    r = random.Random(4)
+    line = lambda: r.choice([
+        f"User-agent: {r.choice(['*', 'bot', 'Other', 'otherbot'])}", f"Disallow: {r.choice(['', '/', '/x', '/x/y', '/a b', '/q?', '/q?z=1', '/%7Ec', '/s*'])}", f"Allow: {r.choice(['/x', '/x/y', '/'])}",
+        "", "", "# said", " Crawl-delay: 3", "Sitemap: https://s", "nonsense", "disallow : /sp # why",
+    ])
+    files = [(f"s{k}", "\n".join(line() for _ in range(r.randint(0, 14)))) for k in range(120)] + [("none", None), ("crlf", "User-agent: bot\r\nDisallow: /x\r\n\r\nUser-agent: *\r\nDisallow: /")]
+    urls = ["https://h.example", "https://h.example/", "https://h.example/x", "https://h.example/x/y/z", "https://h.example/a%20b/c", "https://h.example/q?z=1&y=2", "https://h.example/~c/d", "https://h.example/s*t", "https://h.example/sp#f"]
+    asked = [(s, a, u) for s, _ in [*files, ("missing", "")] for a in ("bot/1.0", "Otherbot", "zzz") for u in urls]
+    got = htmlx.robots_verdicts(spark.createDataFrame(asked, "site string, agent string, url string"), spark.createDataFrame(files, "site string, body string")).collect()
+    parsers = {}
+    for s, body in files:
+        if body is not None:
+            parsers[s] = RobotFileParser()
+            parsers[s].parse(body.splitlines())
+    want = lambda x: "none" if x.site not in parsers else "allow" if parsers[x.site].can_fetch(x.agent, x.url) else "DISALLOW"
+    # a parser without a last-read time refuses everything; parse() sets it
+    wrong = [(x.site, x.agent, x.url, x.verdict, dict(files).get(x.site)) for x in got if x.verdict != want(x)]
+    assert len(got) == len(asked) and not wrong, (len(wrong), wrong[:3])
 
 
 def test_posts_and_lotteries(spark):
