@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from hearthline.cluster import ship
+
 BUCKETS = 256
 OBSERVATION = "source string, bucket int, crawl timestamp, ordinal long, fingerprint string, price int"
 EVENT = "fingerprint string, source string, event string, crawl timestamp, old_price int, new_price int"
@@ -111,6 +113,7 @@ def events(observations: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     one bucket's listings on the market are held by one task.
     """
     session = observations.sparkSession
+    ship(session)
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     return dealt(observations, buckets).groupBy("source", "bucket").transformWithState(Listings(), EVENT, "append", "none")
