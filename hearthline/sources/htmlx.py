@@ -245,8 +245,7 @@ def markup_nodes(pages: DataFrame) -> DataFrame:
     """Every object of the JSON-LD of pages (url, html): url, block, pos, v (variant), types."""
     blocks = pages.select("url", F.posexplode(F.regexp_extract_all("html", F.lit(JSON_LD), F.lit(1))).alias("block", "text"))
     nodes = blocks.select("url", "block", F.posexplode(object_nodes("text")).alias("pos", "node"))
-    nodes = nodes.withColumn("v", F.try_parse_json("node"))
-    return nodes.withColumn("types", _types(F.col("v")))
+    return T.once(T.once(nodes, "v", F.try_parse_json("node")), "types", _types(F.col("v")))
 
 
 def markup(pages: DataFrame, source: str, operator: str = "", borough_hint: str | None = None, no_fee: bool | None = None) -> DataFrame:
