@@ -338,3 +338,16 @@ def test_digests_are_paged(spark):
     assert [(x.search, x.page, x.pages, x.n, x.subject) for x in got] == [("s", 1, 3, 23, "23 new matches for s (1/3)"), ("s", 2, 3, 23, "23 new matches for s (2/3)"), ("s", 3, 3, 23, "23 new matches for s (3/3)"), ("t", 1, 1, 1, "1 new match for t")]
     lines = [x for g in got[:3] for x in g.body.split("\n\n")]
     assert [x.split("/mo")[0] for x in lines] == [f"${1000 + k:,}" for k in range(23)]
+
+
+def test_equal_searches_are_matched_once(spark):
+    """Names that ask the same share a key; what is found for it reaches each of them, and names of several rows keep their own."""
+    wanted = spark.createDataFrame([*((f"s{k}", 2000 + k % 2, None, None, ["Queens", None], None, None, None, "low") for k in range(40)), ("two", 2000, None, None, ["Queens", None], None, None, None, "low"), ("two", 500, None, None, None, None, None, None, "low"), (None, 9000, None, None, None, None, None, None, "low")], schemas.CRITERIA)
+    held = spark.createDataFrame([listing("a", price=2000, borough="Queens"), listing("b", price=2001, borough="Queens"), listing("c", price=400)], schemas.LISTING)
+    asked, members = search.shared(wanted)
+    assert asked.columns == wanted.columns and (asked.count(), members.count()) == (5, 42)
+    one, all_ = search.matching(held, asked), search.matching(held, wanted)
+    assert (one.count(), all_.count()) == (8, 65)
+    assert sorted(map(str, search.named(one, members).collect())) == sorted(map(str, all_.collect()))
+    digests = lambda df: sorted(map(str, df.where("search is not null").collect()))
+    assert digests(search.subjects(search.named(search.bodies(one), members))) == digests(search.digests(all_))
