@@ -271,3 +271,13 @@ def test_vendors_by_one_pattern(spark):
     hosts = [*htmlx.VENDORS, *("x." + h for h in htmlx.VENDORS), "rentcafe.com.example", "my" + "resman.com", "", "example.com"]
     got = {x.h: x.v for x in spark.createDataFrame([(h,) for h in hosts], "h string").select("h", htmlx.vendor_of(F.col("h")).alias("v")).collect()}
     assert got == {h: next((n for d, n in htmlx.VENDORS.items() if h.endswith(d)), None) for h in hosts}
+
+
+def test_of_equal_landings_the_least_text_counts(spark):
+    """Without an order the least text of an address counts, also where the texts begin alike or are missing."""
+    same = "é" * htmlx.BEGINNING
+    pages = spark.createDataFrame([(f"https://b.example/{k % 3}?q={k}", (same, "", "z")[k % 3] + f"{97 - k:02}") for k in range(30)] + [("https://b.example/1", None)], "url string, html string")
+    links = spark.createDataFrame([("https://p.example", f"https://b.example/{k}", "x", k) for k in range(3)], "url string, link string, label string, place int")
+    for parts in (1, 7):
+        got = htmlx.building_pages(links, pages.repartition(parts)).orderBy("place").collect()
+        assert [x.html for x in got] == [same + "70", "69", "z68"]
