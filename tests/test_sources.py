@@ -281,3 +281,11 @@ def test_of_equal_landings_the_least_text_counts(spark):
     for parts in (1, 7):
         got = htmlx.building_pages(links, pages.repartition(parts)).orderBy("place").collect()
         assert [x.html for x in got] == [same + "70", "69", "z68"]
+
+
+def test_a_house_number_is_no_zip(spark):
+    """A house number or unit of five digits isn't read as the ZIP, wherever the address stands; a ZIP of the same digits is."""
+    page = "<title>%s</title><h1>%s</h1><p>2 Beds, 1 Bath, $4,100</p><i>%s</i>"
+    rows = [(f"https://x.example/{k}", page % (h, h, z)) for k, (h, z) in enumerate([("10500 Water Street, #10500A", "New York 10038"), ("10500 Water Street, #10301", "NY 10038"), ("11201 Elm St", ""), ("10038 Elm St, #5", "New York 10038"), ("9 Elm St, New York 10038, #5", "")])]
+    got = {r.source_url[-1]: (r.extra.get("zip"), r.borough_hint) for r in htmlx.details(spark.createDataFrame(rows, "url string, html string"), "d").collect()}
+    assert got == {"0": ("10038", "Manhattan"), "1": ("10038", "Manhattan"), "2": (None, None), "3": ("10038", "Manhattan"), "4": ("10038", "Manhattan")}
