@@ -289,3 +289,11 @@ def test_a_house_number_is_no_zip(spark):
     rows = [(f"https://x.example/{k}", page % (h, h, z)) for k, (h, z) in enumerate([("10500 Water Street, #10500A", "New York 10038"), ("10500 Water Street, #10301", "NY 10038"), ("11201 Elm St", ""), ("10038 Elm St, #5", "New York 10038"), ("9 Elm St, New York 10038, #5", "")])]
     got = {r.source_url[-1]: (r.extra.get("zip"), r.borough_hint) for r in htmlx.details(spark.createDataFrame(rows, "url string, html string"), "d").collect()}
     assert got == {"0": ("10038", "Manhattan"), "1": ("10038", "Manhattan"), "2": (None, None), "3": ("10038", "Manhattan"), "4": ("10038", "Manhattan")}
+
+
+def test_links_of_each_landing(spark):
+    """Of an address that landed twice each landing has its own best links."""
+    pages = spark.createDataFrame([("https://a.example/", k, f'<a href="/available-apartments/{k}">Available apartments</a><a href="/buildings/{k}-main-st">{k} Main Street</a>') for k in range(8)], "url string, seq long, html string")
+    for links, best in ((htmlx.navigation, "available-apartments/{}"), (htmlx.building_links, "buildings/{}-main-st"), (htmlx.portfolio_links, "buildings/{}-main-st")):
+        got = {r.seq: (r.url, r.link) for r in links(pages).where("place = 1").collect()}
+        assert got == {k: ("https://a.example/", f"https://a.example/{best.format(k)}") for k in range(8)}
