@@ -7,6 +7,8 @@ values from texts that look like them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,7 @@ LEAST_BODY, LEAST_RECORDS = 200, 3
 
 STRICT = {"allowSingleQuotes": "false"}
 DEEPEST, LEVELS = 1000, 3
+LOOKS_NESTED = r"\"(?:[{\[]|\\u00[57][bB])"
 
 
 def cleaned(text: Column | str) -> Column:
@@ -47,6 +50,25 @@ def _is_object(text: Column) -> Column:
     return text.startswith("{")
 
 
+def looks_nested(text: Column) -> Column:
+    """Whether a text within a JSON text may look like an object or a list: only then must variants tell them apart."""
+    return text.rlike(LOOKS_NESTED)
+
+
+def _known(text: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """f of a text and of whether no text in it looks nested, both computed once."""
+    return X.bound(F.struct(text.alias("t"), (~looks_nested(text)).alias("p")), lambda x: f(x["t"], x["p"]))
+
+
+def within(text: Column, plain: Column) -> Column:
+    """The texts of the objects and lists directly in one, in its order; `plain` says that no text in it looks like one, so that one reading tells."""
+    none = F.array().cast("array<string>")
+    nested = lambda values: F.filter(values, lambda x: x.startswith("{") | x.startswith("["))
+    at_once = F.when(_is_object(text), nested(F.map_values(F.from_json(text, "map<string,string>", STRICT)))).when(text.startswith("["), nested(F.from_json(text, "array<string>", STRICT))).otherwise(none)
+    told = lambda c: c["text"]
+    return F.when((F.locate("{", text, 2) == 0) & (F.locate("[", text, 2) == 0), none).when(plain, at_once).otherwise(F.transform(F.filter(inside(text), lambda c: c["nested"]), told))
+
+
 def inside(text: Column) -> Column:
     """The values directly in an object or list, in its order: key (a list's is its index), text, nested (an object or a list) and v (the variant).
 
@@ -69,14 +91,18 @@ def nodes(text: Column) -> Column:
     """The texts of all objects and lists of a cleaned JSON text, each before those inside it.
 
     Level by level: every round takes the nested values of the round before, with their
-    places, by which all are put in order at the end. Rounds without any are free.
+    places, by which all are put in order at the end. Rounds without any are free, and
+    what holds no bracket but its own isn't read.
     """
-    braces = F.regexp_count(text, F.lit(r"[{\[]"))
+    return _known(text, _nodes)
+
+
+def _nodes(text: Column, plain: Column) -> Column:
+    braces = sum((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(b), F.lit(""))) for b in "{["), F.lit(0))
     root = F.when(text.rlike(r"^[{\[]"), F.array(F.struct(F.array().cast("array<int>").alias("at"), text.alias("text")))).otherwise(F.array().cast("array<struct<at:array<int>,text:string>>"))
 
     def below(n: Column) -> Column:
-        placed = F.transform(inside(n["text"]), lambda c, i: F.struct(F.concat(n["at"], F.array(i)).alias("at"), c["text"].alias("text"), c["nested"].alias("nested")))
-        return F.transform(F.filter(placed, lambda c: c["nested"]), lambda c: F.struct(c["at"].alias("at"), c["text"].alias("text")))
+        return F.transform(within(n["text"], plain), lambda t, i: F.struct(F.concat(n["at"], F.array(i)).alias("at"), t.alias("text")))
 
     def step(held: Column, _: Column) -> Column:
         more = lambda found: F.struct(F.concat(held["all"], found).alias("all"), found.alias("last"))
@@ -96,8 +122,8 @@ def nodes_of_all(blocks: Column) -> Column:
     return F.flatten(F.filter(F.transform(blocks, object_nodes), lambda found: found.isNotNull()))
 
 
-def _objects_of(a_list: Column) -> Column:
-    return F.transform(F.filter(inside(a_list), lambda c: c["nested"] & _is_object(c["text"])), lambda c: c["text"])
+def _objects_of(a_list: Column, plain: Column) -> Column:
+    return F.filter(within(a_list, plain), _is_object)
 
 
 def _at(text: Column, dotted: str) -> Column:
@@ -112,10 +138,10 @@ def records(text: Column | str, root: str | None = None) -> Column:
     """The records of a payload: the objects of the list at a root path, or of the list that holds most of them (LEAST_RECORDS at least), the first on a tie."""
     none = F.array().cast("array<string>")
     if root:
-        return F.coalesce(X.bound(_at(cleaned(text), root), lambda t: F.when(t.startswith("["), _objects_of(t))), none)
-    held = lambda t: F.transform(F.filter(nodes(t), lambda n: n.startswith("[")), _objects_of)
+        return F.coalesce(X.bound(_at(cleaned(text), root), lambda t: F.when(t.startswith("["), _known(t, _objects_of))), none)
+    held = lambda t, plain: F.transform(F.filter(_nodes(t, plain), lambda n: n.startswith("[")), lambda n: _objects_of(n, plain))
     best = lambda lists: F.aggregate(lists, none, lambda kept, new: F.when(F.size(new) > F.size(kept), new).otherwise(kept))
-    found = X.bound(cleaned(text), lambda t: best(held(t)))
+    found = X.bound(cleaned(text), lambda t: _known(t, lambda t, plain: best(held(t, plain))))
     return X.bound(F.coalesce(found, none), lambda r: F.when(F.size(r) >= LEAST_RECORDS, r).otherwise(none))
 
 
@@ -148,8 +174,11 @@ def dig(value: Column | str, dotted: str, kind: str = "string") -> Column:
 
 def field_of(keys: Column, patterns: tuple[str, ...]) -> Column:
     """The path of the first key that the first matching pattern matches, in its last part or as a whole."""
-    fits = lambda p: lambda k: F.element_at(F.split(k["path"], r"\."), -1).rlike(f"(?i){p}") | k["path"].rlike(f"(?i){p}")
-    return F.coalesce(*[F.try_element_at(F.filter(keys, fits(p)), F.lit(1))["path"] for p in patterns])
+    fits = lambda p: lambda k: F.substring_index(k["path"], ".", -1).rlike(f"(?i){p}") | k["path"].rlike(f"(?i){p}")
+    found = F.coalesce(*[F.try_element_at(F.filter(keys, fits(p)), F.lit(1))["path"] for p in patterns])
+    # one pattern over all keys, a line each, leaves out fields that none of them has
+    lines = F.array_join(F.transform(keys, lambda k: F.concat(k["path"], F.lit("\n"), F.substring_index(k["path"], ".", -1))), "\n")
+    return F.when(lines.rlike(f"(?im){'|'.join(patterns)}"), found)
 
 
 def field_maps(payloads: DataFrame) -> DataFrame:
