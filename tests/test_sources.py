@@ -297,3 +297,28 @@ def test_links_of_each_landing(spark):
     for links, best in ((htmlx.navigation, "available-apartments/{}"), (htmlx.building_links, "buildings/{}-main-st"), (htmlx.portfolio_links, "buildings/{}-main-st")):
         got = {r.seq: (r.url, r.link) for r in links(pages).where("place = 1").collect()}
         assert got == {k: ("https://a.example/", f"https://a.example/{best.format(k)}") for k in range(8)}
+
+
+def test_nested_values_by_one_reading(spark):
+    """The nested values of a text, told by their beginnings where no text in it looks like one, and by variants where one does."""
+    texts = ['{"b": {"x": 1}, "a": [1], "s": "t"}', '[{"a": 1}, "x", [2], null]', '{"s": "{}", "o": {"x": []}}', '["[1", [1]]', '{"s": "\\u007b}", "o": {}}', '{"s": "\\u005B", "o": {}}', '{"a": "say \\"{\\"", "o": {}}', "{}", '{"a": 1}']
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", jsonx.within(F.col("t"), ~jsonx.looks_nested(F.col("t"))).alias("n"), jsonx.looks_nested(F.col("t")).alias("looks")).collect()
+    for x in got:
+        value = json.loads(x.t)
+        assert [json.loads(n) for n in x.n] == [v for v in (value.values() if isinstance(value, dict) else value) if isinstance(v, (dict, list))], x.t
+    assert [x.looks for x in got] == [False, False, True, True, True, True, True, False, False]
+
+
+def test_small_tables_are_spread(spark, tmp_path):
+    """Pages made of a table of one file aren't read by one task, and payloads move once, as lines."""
+    from hearthline.plans import catalog, landed, mixed
+
+    spark.sql("select cast(1 as long) p_partkey, 'n' p_name, 2.0 p_retailprice").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.sql("select cast(1 as long) l_orderkey, cast(1 as long) l_partkey, 1 l_linenumber, 2.0 l_quantity").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    for made in (catalog.page_markup, mixed.declared_lists, mixed.declared_buildings):
+        assert f", {tasks})" in plan(made(spark, str(tmp_path))), made
+    for made in (landed.field_maps, catalog.json_records):
+        assert f", {tasks})" in plan(made(spark, str(tmp_path))) and plan(made(spark, str(tmp_path))).count("Exchange") == 1, made
