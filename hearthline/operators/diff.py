@@ -7,6 +7,7 @@ gone_at stay as first stored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -78,12 +79,13 @@ def gone(state: DataFrame, seen: DataFrame, sources: DataFrame) -> DataFrame:
     return active.join(seen.select("fingerprint", "source").distinct(), ["fingerprint", "source"], "left_anti").select("fingerprint")
 
 
-def fold(state: DataFrame, batch: DataFrame, observed_at: Column, swept: DataFrame | None = None) -> Diff:
+def fold(state: DataFrame, batch: DataFrame, observed_at: Column, swept: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Diff:
     """One crawl. batch has the listing columns and `ordinal`; swept (source) names the sources whose missing listings are gone.
 
     A crawl of several sources, one after the other, is one fold too: batch and
     swept then have `turn`, and ordinals follow it. A source is swept after its
-    turn; a later one that carries what it lost brings that back.
+    turn; a later one that carries what it lost brings that back. keep is applied to
+    what several of the results are made of: cluster.cut, where most of them are wanted.
     """
     turn = "turn" in batch.columns
     batch = batch if turn else batch.withColumn("turn", F.lit(0))
@@ -92,7 +94,7 @@ def fold(state: DataFrame, batch: DataFrame, observed_at: Column, swept: DataFra
     else:
         turns = swept.groupBy("source").agg((F.max("turn") if turn else F.lit(0)).cast("int").alias("_sweep"))
         held = state.join(turns, "source", "left")
-    rows = _judged(held, batch)
+    rows = keep(_judged(held, batch))
     newest, oldest = F.struct("ordinal"), F.struct(F.col("ordinal"))
     last_known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), newest))
     own = [c for c in state.columns if c in batch.columns]
@@ -112,7 +114,7 @@ def fold(state: DataFrame, batch: DataFrame, observed_at: Column, swept: DataFra
     value |= {c: F.when(fresh, F.col(f"_f.{c}")).otherwise(F.col(c)) for c in stored}
     after = joined.select(*[value.get(c, F.col(c)).alias(c) for c in state.columns])
     none = F.lit(None).cast("int")
-    missing = joined.where("_lost").select("fingerprint", "source", (F.coalesce("_n_before", F.lit(0)) * 3 + 2).cast("int").alias("seq"))
+    missing = keep(joined.where("_lost").select("fingerprint", "source", (F.coalesce("_n_before", F.lit(0)) * 3 + 2).cast("int").alias("seq")))
     events = events_of(rows, observed_at).unionByName(missing.select("fingerprint", observed_at.alias("observed_at"), F.lit("gone").alias("event"), none.alias("old_price"), none.alias("new_price"), "seq"))
     rows = rows.drop("_p", "_gone", "_owner", "_sweep", "_known", "_later", *([] if turn else ["turn"]))
     return Diff(after, events, rows, missing.drop("seq"))

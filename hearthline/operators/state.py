@@ -103,7 +103,7 @@ class History:
         for name, given in tables.items():
             part = given if isinstance(given, Part) else Part(given, list(range(now["buckets"])))
             path = f"{self.path}/{name}/v={v}"
-            part.rows.withColumn("bucket", self.bucket(name)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+            part.rows.withColumn("bucket", self.bucket(name)).hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(path)
             written = {int(x.removeprefix("bucket=")) for x in self._children(path) if x.startswith("bucket=")}
             if written - set(part.buckets):
                 raise ValueError(f"rows of {name} outside of the buckets that are replaced")

@@ -4,8 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthline import schemas
+from hearthline.cluster import cut
+from hearthline.operators import diff
 from hearthline.operators.state import History, Part, migrate
 from hearthline.plans import crawl as C
+from hearthline.plans import histories
 from hearthline.streaming import crawl_stream
 
 DAY = datetime(2026, 8, 1, 12)
@@ -117,3 +120,46 @@ def test_stream(spark, tmp_path):
     again = crawl_stream.start(stream, h, primary, f"{tmp_path}/cp2", lambda b: DAY + timedelta(days=b))
     again.awaitTermination()
     assert h.version() == 2
+
+
+def test_a_history_works_out_once_what_all_its_crawls_ask(spark, monkeypatch):
+    """What crawls see, and the provider's answers, are stored before the first crawl: none reads the events again."""
+    monkeypatch.setattr(histories, "_landed", lambda seen, n, source: seen)
+    asked = []
+
+    class Enough(Exception):
+        pass
+
+    def stub(history, sources, expected, primary, *rest):
+        asked.extend([primary, *(make() for make in sources.values())])
+        raise Enough
+
+    monkeypatch.setattr(histories, "crawl", stub)
+    with pytest.raises(Enough):
+        histories.crawl_history(spark, "/root/testdata/sf0.001")
+    assert len(asked) == 6 and not any(x.inputFiles() for x in asked)
+
+
+def test_a_fold_keeps_what_its_results_share(spark):
+    """The judged rows and what was lost are kept once each, and the results are made of them."""
+    batch = spark.sql("select 'a' as fingerprint, 'up' as source, 1 as ordinal, 5 as price, timestamp'2026-08-02' as last_seen, cast(null as date) as available_on, cast(null as string) as detail_url, timestamp'2026-08-02' as first_seen")
+    state = spark.sql("select 'b' as fingerprint, 'up' as source, 4 as price, timestamp'2026-08-01' as last_seen, cast(null as date) as available_on, cast(null as string) as detail_url, timestamp'2026-08-01' as first_seen, cast(null as timestamp) as gone_at")
+    kept = []
+    d = diff.fold(state, batch, F.lit("2026-08-02").cast("timestamp"), spark.sql("select 'up' as source"), keep=lambda df: kept.append(df) or cut(df))
+    assert len(kept) == 2
+    assert {(x.fingerprint, x.event) for x in d.events.collect()} == {("a", "new"), ("b", "gone")}
+    assert [x.fingerprint for x in d.missing.collect()] == ["b"] and d.state.where("gone_at is not null").count() == 1
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    h = History(spark, f"{tmp_path}/h", buckets=1)
+    rows = spark.range(20000, numPartitions=4).select(F.sha1(F.col("id").cast("string")).alias("fingerprint"))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        h.commit({"ledger": migrate(rows, schemas.LEDGER)}, {})
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    held = h.read("ledger")
+    assert held.select("fingerprint").distinct().count() == held.count() == 20000
+    assert len(held.inputFiles()) > 1
