@@ -63,3 +63,22 @@ def test_equal_rows_are_numbered(spark):
         assert sorted(n for *_, c, n in got if c == 1) == list(range(1, 251)) and sorted(n for *_, c, n in got if c == 2) == list(range(1, 121))
         assert {n for *_, c, n in got if c > 2} == {0}
     assert common.copies_numbered(df.where("false")).count() == 0
+
+
+def test_components_shuffle_three_times_a_round(spark, monkeypatch):
+    """Each round deals its edges anew three times at most, and hubs take as few rounds as pairs."""
+    from hearthline.llm import components as module
+
+    shuffles, real = [], module.cut
+
+    def counted(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        shuffles.append(plan.count("Exchange hashpartitioning"))
+        return real(df)
+
+    monkeypatch.setattr(module, "cut", counted)
+    for hub in (-1, 10**6):
+        shuffles.clear()
+        out = module.components(spark.createDataFrame([(hub, i) for i in range(300)], "u long, v long").repartition(5))
+        assert {(x.id, x.component) for x in out.collect()} == {(i, min(hub, 0)) for i in [hub, *range(300)]}
+        assert len(shuffles) == 2 and max(shuffles) <= 3

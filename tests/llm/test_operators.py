@@ -626,6 +626,17 @@ def test_jaccard_join_moves_each_text_once(spark, monkeypatch):
         assert sum(moved) <= most * n + 2, (n, unit, moved)
 
 
+def test_jaccard_join_takes_whole_units_as_they_are(spark, monkeypatch):
+    """Components are sought once, among candidates: what one unit has joined needs none."""
+    r = random.Random(15)
+    rows = [(10 * g + k, " ".join([*t, f"n{k}"])) for g in range(6) for t in [prose(r, 60, 10**6).split()] for k in range(4)]
+    sought, real = [], jaccard_join.components
+    monkeypatch.setattr(jaccard_join, "components", lambda edges: (sought.append(1), real(edges))[1])
+    got = jaccard_join.join_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((x.doc_id, x.component_id) for x in got.collect()) == [(i, i // 10 * 10) for i, _ in rows]
+    assert len(sought) == 1
+
+
 def test_jaccard_join_forgets_rejections_exactly(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "REJECTED", 3)
     r = random.Random(21)
