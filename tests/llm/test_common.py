@@ -1,9 +1,11 @@
 import random
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from hearthline.cluster import RELEASE
 from hearthline.llm import common
 from hearthline.llm.components import components
 from tests.llm import brute
@@ -82,3 +84,18 @@ def test_components_shuffle_three_times_a_round(spark, monkeypatch):
         out = module.components(spark.createDataFrame([(hub, i) for i in range(300)], "u long, v long").repartition(5))
         assert {(x.id, x.component) for x in out.collect()} == {(i, min(hub, 0)) for i in [hub, *range(300)]}
         assert len(shuffles) == 2 and max(shuffles) <= 3
+
+
+def test_what_is_written_releases_its_shuffles(spark):
+    """Else they stay until the driver's garbage is collected: a long job's disk is the sum of all it shuffles."""
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in re.findall(r"shuffle_\d+_\d+_\d+\.data", files.getAllFiles().mkString(" "))}
+    before = shuffles()
+    df = spark.range(5000).withColumn("k", F.xxhash64("id")).repartition(3, "k")
+    written = [write(x) for write in (common.cut, common.store) for x in (df, df.groupBy("k").count())]
+    until = time.time() + 10
+    while (left := shuffles() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert [x.count() for x in written] == [5000] * 4
+    assert spark.conf.get(RELEASE) == "false"

@@ -637,6 +637,29 @@ def test_jaccard_join_takes_whole_units_as_they_are(spark, monkeypatch):
     assert len(sought) == 1
 
 
+def test_jaccard_join_stores_neither_prefixes_nor_texts(spark, monkeypatch):
+    """Both are most of the disk: they are made or read again, unless a group needs several chunks."""
+    r = random.Random(16)
+    rows = [(10 * g + k, " ".join([*t, f"n{k // 2}"])) for g in range(6) for t in [prose(r, 60, 10**6).split()] for k in range(6)]
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string")
+    stored, real = [], jaccard_join.store
+    monkeypatch.setattr(jaccard_join, "store", lambda df: (stored.extend(kind for _, kind in df.dtypes), real(df))[1])
+    want = sorted(brute.jaccard_components(rows * 2))
+    for unit, texts in ((1_500_000, False), (100, True)):
+        stored.clear()
+        assert sorted(tuple(x) for x in jaccard_join.join_documents(df, unit=unit).collect()) == want
+        assert not any(kind.startswith("array") for kind in stored) and ("binary" in stored) == texts, stored
+
+
+def test_jaccard_join_takes_larger_lists_for_equal_nodes(spark, monkeypatch):
+    """Sizes beyond MOST, and sets whose nodes are the same, are candidates more and change no class."""
+    monkeypatch.setattr(jaccard_join, "NODE", 3)
+    r = random.Random(17)
+    rows = [(20 * g + k, " ".join([*t, *(f"n{k}" for _ in range(k % 2))])) for g in range(5) for t in [prose(r, 20 + 20_000 * g, 10**6).split()] for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(x) for x in jaccard_join.join_documents(df).collect()) == sorted(brute.jaccard_components(rows))
+
+
 def test_jaccard_join_forgets_rejections_exactly(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "REJECTED", 3)
     r = random.Random(21)
