@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from hearthline import schemas
+from hearthline import cluster, schemas
 from hearthline.functions import text as T
 from hearthline.operators import diff, geo, ledger, match, normalize, search
 
@@ -340,6 +340,26 @@ def test_digests_are_paged(spark):
     assert [x.split("/mo")[0] for x in lines] == [f"${1000 + k:,}" for k in range(23)]
 
 
+def test_messages_are_made_where_their_lines_are_dealt(spark, monkeypatch):
+    """Lines are not stored, and pages over the edges of spans are whole: equal dates, repeated rows and nulls too."""
+    r, stored = random.Random(5), []
+    for module in (cluster, search):
+        monkeypatch.setattr(module, "cut", lambda df, real=cluster.cut: (stored.extend(df.columns), real(df))[1])
+    monkeypatch.setattr(search, "SPAN", 1)
+    rows = [("s", r.choice([None, *(f"f{k:02}" for k in range(60))]), r.randint(1, 4), r.choice([None, *(START + timedelta(days=d) for d in range(5))])) for _ in range(150)]
+    rows += [(f"t{k}", f"f{i}", i + 1, START) for k in range(3) for i in range(10 * k + 1)]
+    found = spark.createDataFrame(rows, "search string, fingerprint string, price int, first_seen timestamp")
+    for c, kind in (("address", "string"), ("unit_key", "string"), ("sqft", "int"), ("no_fee", "boolean"), ("source", "string"), ("detail_url", "string"), ("source_url", "string"), ("reasons", "array<string>")):
+        found = found.withColumn(c, F.lit(None).cast(kind))
+    got = search.digests(found.repartition(5), page=7).orderBy("search", "page").collect()
+    assert stored and "line" not in stored
+    seen = found.select("search", "first_seen", "fingerprint", search.message().alias("line")).orderBy("search", "first_seen", "fingerprint", "line").collect()
+    for name in ("s", "t0", "t1", "t2"):
+        lines = [x.line for x in seen if x.search == name]
+        pages = [lines[k : k + 7] for k in range(0, len(lines), 7)]
+        assert [(x.page, x.pages, x.n, x.body) for x in got if x.search == name] == [(k + 1, len(pages), len(lines), "\n\n".join(p)) for k, p in enumerate(pages)]
+
+
 def test_equal_searches_are_matched_once(spark):
     """Names that ask the same share a key; what is found for it reaches each of them, and names of several rows keep their own."""
     wanted = spark.createDataFrame([*((f"s{k}", 2000 + k % 2, None, None, ["Queens", None], None, None, None, "low") for k in range(40)), ("two", 2000, None, None, ["Queens", None], None, None, None, "low"), ("two", 500, None, None, None, None, None, None, "low"), (None, 9000, None, None, None, None, None, None, "low")], schemas.CRITERIA)
