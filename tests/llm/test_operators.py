@@ -680,6 +680,14 @@ def test_jaccard_stage(spark, docs):
     assert sorted((r.doc_id for r in out.collect()), key=lambda x: (x is None, x or 0)) == sorted(want, key=lambda x: (x is None, x or 0)) and out.columns == docs.columns
 
 
+def test_jaccard_stage_stores_neither_prefixes_nor_texts(spark, docs, monkeypatch):
+    """The pipeline's second stage: what it stores has numbers alone."""
+    stored, real = [], jaccard_join.store
+    monkeypatch.setattr(jaccard_join, "store", lambda df: (stored.extend(kind for _, kind in df.dtypes), real(df))[1])
+    jaccard_join.stage(spark, docs, "")
+    assert stored and set(stored) <= {"int", "bigint", "struct<doc_id:bigint,t:bigint>"}, stored
+
+
 def shares(rows):
     """Targets by resharing the excess until none is above."""
     size = Counter()
